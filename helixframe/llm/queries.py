@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import language_id, mixing, quality, sentencepiece_codec, url_filter
+from helixframe.llm import chat_format, language_id, mixing, quality, sentencepiece_codec, topk_search, url_filter
 from helixframe.llm._shared import table
 
 
@@ -23,6 +24,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts as exports write them, a marker before each message whose speaker is known, parsed and rendered."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    marked = F.when(F.col("role").isNull(), F.col("text")).otherwise(F.concat(F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit(""))))
+    return chat_format.format_chats(turns.withColumn("text", marked), F.lower("role"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -38,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_language_id": op6_language_id,
+    "op7_chat_format": op7_chat_format,
+    "op8_top_k": op8_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
