@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, language_id, mixing, quality, sentencepiece_codec, topk_search, url_filter
+from helixframe.llm import chat_format, jaccard_join, language_id, mixing, quality, sentencepiece_codec, topk_search, url_filter
 from helixframe.llm._shared import table
 
 
@@ -19,6 +19,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return language_id.identify(docs, language_id.train(docs))
@@ -49,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_chat_format": op7_chat_format,
     "op8_top_k": op8_top_k,
