@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, jaccard_join, language_id, mixing, quality, sentencepiece_codec, topk_search, url_filter
+from helixframe.llm import chat_format, html_extract, jaccard_join, language_id, mixing, quality, sentencepiece_codec, topk_search, url_filter
 from helixframe.llm._shared import table
 
 
@@ -15,6 +15,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -52,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_html_extract": op2_html_extract,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_language_id": op6_language_id,
