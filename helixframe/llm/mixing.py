@@ -20,6 +20,8 @@ from helixframe.llm._shared import materialise, word_count
 
 #: The share of a source's fractional target above which a document is placed on its own, before the small ones.
 LARGE_SHARE = 100
+#: Rows of (id, number) broadcast at most.
+BROADCAST_ROWS = 1 << 20
 
 
 def water_fill(sources: DataFrame, weights: Sequence[float], budget: float, max_epochs: float) -> DataFrame:
@@ -96,7 +98,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: every row as often as `mix_sources` takes it, with the columns of `docs`."""
+    """The mixed documents themselves: every row as often as `mix_sources` takes it, with the columns of `docs`.
+
+    Rows that share an id share the largest of their numbers. Only ids and numbers are gathered; texts move at most once.
+    """
     id_col = options.get("id_col", "doc_id")
-    mixed = mix_sources(docs, extra=[c for c in docs.columns if c != id_col], **options)
-    return mixed.where("hf_reps > 0").withColumn("hf_copy", F.explode(F.sequence(F.lit(1), F.col("hf_reps").cast("int")))).select(*docs.columns)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    reps = materialise(mix_sources(docs, **options).where("hf_reps > 0").groupBy(key(id_col).alias("hf_key")).agg(F.max("hf_reps").cast("int").alias("hf_reps")))
+    small = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    taken = docs.withColumn("hf_key", key(id_col)).join(small, "hf_key")
+    return taken.withColumn("hf_copy", F.explode(F.sequence(F.lit(1), F.col("hf_reps")))).select(*docs.columns)

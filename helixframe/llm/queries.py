@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, html_extract, jaccard_join, language_id, mixing, quality, sentencepiece_codec, topk_search, url_filter
+import corpus_pipeline
+from helixframe.llm import chat_format, html_extract, jaccard_join, language_id, license_scan, mixing, quality, sentencepiece_codec, topk_search, url_filter
 from helixframe.llm._shared import table
 
 
@@ -27,6 +28,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return language_id.identify(docs, language_id.train(docs))
@@ -59,11 +64,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_chat_format": op7_chat_format,
     "op8_top_k": op8_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
