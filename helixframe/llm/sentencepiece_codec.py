@@ -27,8 +27,8 @@ MARK = "▁"
 #: Kinds of pieces and of models, as numbered in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts handed to the library at a time, and words remembered by a task's process.
-BATCH, MEMO = 2048, 500_000
+#: Texts read at a time, words remembered by a task's process, and words handed to the library at a time.
+BATCH, MEMO, LEARN = 1024, 250_000, 8192
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -107,12 +107,16 @@ class Encoder:
         self.ids, self.sizes, self.good = [np.zeros(0, np.int32)], np.zeros(0, np.int64), np.zeros(0, bool)
 
     def learn(self, missing: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing)), strict=True))
-        self.ids.append(np.fromiter((i for x in ids for i in x), np.int32))
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.good = np.concatenate([self.good, np.fromiter((x == y for x, y in zip(missing, back, strict=True)), bool, len(ids))])
+        sizes, good = [self.sizes], [self.good]
+        for at in range(0, len(missing), LEARN):
+            some = missing[at : at + LEARN]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            self.ids.append(np.fromiter((i for x in ids for i in x), np.int32))
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            good.append(np.fromiter((x == y for x, y in zip(some, back, strict=True)), bool, len(ids)))
+        self.ids, self.sizes, self.good = [np.concatenate(self.ids)], np.concatenate(sizes), np.concatenate(good)
 
     def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in one array, the number of each text, and whether decoding gives it back."""
@@ -125,7 +129,6 @@ class Encoder:
             missing = own
         if missing:
             self.learn(missing)
-            self.ids = [np.concatenate(self.ids)]
         place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
         sizes, starts = self.sizes[place], (np.cumsum(self.sizes) - self.sizes)[place]
         ends = np.cumsum(sizes)
@@ -179,7 +182,7 @@ def build(data: bytes):
         low = min(score for *_, score, _ in pieces) - 10.0
         model = models.Unigram([(text, score if kind == NORMAL else low) for text, score, kind in pieces], unknown, fallback)
     elif spec["kind"] == BPE:
-        model = models.BPE({text: i for i, (text, *_) in enumerate(pieces)}, merges(pieces), unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=fallback, cache_capacity=200_000)
+        model = models.BPE({text: i for i, (text, *_) in enumerate(pieces)}, merges(pieces), unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=fallback)
     else:
         raise ValueError(f"model kind {spec['kind']} is not supported")
     steps = [normalizers.Precompiled(spec["charsmap"])] if spec["charsmap"] else []
