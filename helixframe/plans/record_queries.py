@@ -317,7 +317,9 @@ def tata_scan(spark, sf_dir):
     return hits.select("seq_id", "o.start", "o.offset_from_end", "o.matched_text")
 
 
-SQL_MOTIFS = " UNION ALL ".join(f"SELECT seq_id, '{i}' AS pattern_id, i::BIGINT AS \"start\", (i + length(regexp_extract(rest, '^({p})')))::BIGINT AS \"end\" FROM (SELECT seq_id, i, substr(sequence, i + 1, 32) AS rest FROM (SELECT seq_id, sequence, unnest(range(length(sequence))) AS i FROM ({SQL_PROTEIN}))) WHERE regexp_matches(rest, '^({p})')" for i, (_, p) in annotation.MOTIFS.items())
+#: Letters that a match of each motif can begin with.
+FIRST = {i: p[1 : p.index("]")] if p[0] == "[" else p[0] for i, (_, p) in annotation.MOTIFS.items()}
+SQL_MOTIFS = " UNION ALL ".join(f"SELECT seq_id, '{i}' AS pattern_id, i::BIGINT AS \"start\", (i + length(regexp_extract(rest, '^({p})')))::BIGINT AS \"end\" FROM (SELECT seq_id, i, substr(sequence, i + 1, 32) AS rest FROM (SELECT seq_id, sequence, unnest(range(length(sequence))) AS i FROM ({SQL_PROTEIN})) WHERE contains('{FIRST[i]}', sequence[i + 1])) WHERE regexp_matches(rest, '^({p})')" for i, (_, p) in annotation.MOTIFS.items())
 
 
 @query(SQL_MOTIFS)
