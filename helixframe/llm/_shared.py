@@ -37,7 +37,15 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/helixframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.helixframe_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised frame that nothing reads any more, directly or by a lineage."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.helixframe_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
