@@ -133,18 +133,22 @@ def solve(items: DataFrame) -> DataFrame:
         path = best_path([np.array(m).reshape(STATES, STATES) for m in pdf["hf_m"]], entry, exit_)
         return pd.DataFrame({"hf_conv": pdf["hf_conv"].to_numpy(), "hf_pos": pdf["hf_pos"].to_numpy(), "hf_entry": [entry, *path[:-1]], "hf_exit": path})
 
-    low, high = items.agg(F.min("hf_pos"), F.max("hf_pos")).first()
+    low, high, n = items.agg(F.min("hf_pos"), F.max("hf_pos"), F.count("*")).first()
+    bucket = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(max(1, n // 1024)))
+    each = lambda pdf, keys, f: pd.concat([f(g) for _, g in pdf.groupby(list(keys), sort=False)])
     if low is None or high - low < FAN:
-        return items.groupBy("hf_conv").applyInPandas(lambda pdf: chain(pdf), schema)
+        return items.groupBy(bucket("hf_conv").alias("b")).applyInPandas(lambda pdf: each(pdf, ["hf_conv"], chain), schema)
 
     def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
         m = product([np.array(x).reshape(STATES, STATES) for x in pdf.sort_values("hf_pos")["hf_m"]])
         return pd.DataFrame({"hf_conv": [pdf["hf_conv"].iloc[0]], "hf_pos": [pdf["hf_up"].iloc[0]], "hf_m": [m.ravel()]})
 
-    grouped = items.withColumn("hf_up", F.floor(F.col("hf_pos") / FAN))
-    ends = solve(grouped.groupBy("hf_conv", "hf_up").applyInPandas(shrink, "hf_conv string, hf_pos long, hf_m array<double>")).withColumnRenamed("hf_pos", "hf_up")
     keys = ("hf_conv", "hf_up")
-    return grouped.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(lambda a, b: chain(a, int(b["hf_entry"].iloc[0]), int(b["hf_exit"].iloc[0])) if len(a) else pd.DataFrame(columns=["hf_conv", "hf_pos", "hf_entry", "hf_exit"]), schema)
+    grouped = items.withColumn("hf_up", F.floor(F.col("hf_pos") / FAN))
+    upper = grouped.groupBy(bucket(*keys).alias("b")).applyInPandas(lambda pdf: each(pdf, keys, shrink), "hf_conv string, hf_pos long, hf_m array<double>")
+    ends = solve(materialise(upper)).withColumnsRenamed({"hf_pos": "hf_up", "hf_entry": "hf_in", "hf_exit": "hf_out"})
+    inside = lambda g: chain(g, int(g["hf_in"].iloc[0]), int(g["hf_out"].iloc[0]))
+    return grouped.join(ends, list(keys)).groupBy(bucket(*keys).alias("b")).applyInPandas(lambda pdf: each(pdf, keys, inside), schema)
 
 
 def format_chats(rows: DataFrame, role_of_training: Column | None = None, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
@@ -155,38 +159,41 @@ def format_chats(rows: DataFrame, role_of_training: Column | None = None, conv_c
     spark = rows.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     conv = F.coalesce(F.col(conv_col).cast("string"), F.concat(F.lit("null "), F.sha2(text, 256)))
-    pieces = rows.select(F.col(conv_col).alias("hf_id"), conv.alias("hf_conv"), F.col(turn_col).cast("long").alias("hf_turn"), text.alias("hf_text"), (F.lit(None).cast("string") if role_of_training is None else role_of_training).alias("hf_role")).distinct()
+    pieces = rows.select(F.col(conv_col).cast("string").alias("hf_id"), conv.alias("hf_conv"), F.col(turn_col).cast("long").alias("hf_turn"), text.alias("hf_text"), (F.lit(None).cast("string") if role_of_training is None else role_of_training).alias("hf_role")).distinct()
     pieces = materialise(pieces.withColumn("hf_pos", F.floor(F.coalesce("hf_turn", F.lit(-1)) / SEGMENT)))
     order = ("hf_turn", "hf_role", "hf_text")
     before = F.lag("hf_role").over(Window.partitionBy("hf_conv", "hf_pos").orderBy(*order))
     counts = {r["what"]: r["n"] for r in count_lines(pieces.withColumn("hf_before", before)).collect()}
     shared = spark.sparkContext.broadcast(fit(counts))
-    begins = pieces.groupBy("hf_conv").agg(F.min("hf_pos").alias("hf_first"))
-    placed = pieces.drop("hf_role").join(begins, "hf_conv").withColumn("hf_starts", F.col("hf_pos") == F.col("hf_first")).drop("hf_first")
-
-    def lines(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[str], list[int], list[np.ndarray]]:
-        pdf = pdf.sort_values(["hf_turn", "hf_text"], na_position="first", kind="stable")
-        seen, rest, row = [], [], []
-        for i, t in enumerate(pdf["hf_text"]):
-            for line in t.split("\n"):
-                features, clean = observe(line)
-                seen.append(features)
-                rest.append(clean)
-                row.append(i)
-        first = np.flatnonzero(np.diff([-1, *row]))
-        return pdf, rest, row, step_matrices(emissions(seen, first, shared.value), shared.value, bool(pdf["hf_starts"].iloc[0]))
-
-    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, *_, steps = lines(pdf)
-        return pd.DataFrame({"hf_conv": [own["hf_conv"].iloc[0]], "hf_pos": [own["hf_pos"].iloc[0]], "hf_m": [product(steps).ravel()]})
-
-    schema = "conv_id string, turn long, part int, role string, text string, rendered string"
-
-    def decode(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    spans = pieces.groupBy("hf_conv").agg(F.min("hf_pos").alias("hf_first"), F.max("hf_pos").alias("hf_last"))
+    n = pieces.count()
+    placed = materialise(pieces.drop("hf_role").join(spans, "hf_conv").withColumn("hf_bucket", F.pmod(F.xxhash64("hf_conv", "hf_pos"), F.lit(max(1, n // 2048)))))
+
+    def segments(pdf: pd.DataFrame):
+        """(rows, lines without markers, row of each line, step matrices) of every segment of a bucket."""
+        pdf = pdf.sort_values(["hf_conv", "hf_pos", "hf_turn", "hf_text"], na_position="first", kind="stable").reset_index(drop=True)
+        ends = np.flatnonzero((pdf["hf_conv"] != pdf["hf_conv"].shift(-1)) | (pdf["hf_pos"] != pdf["hf_pos"].shift(-1))) + 1
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            own = pdf.iloc[start:end]
+            seen, rest, row = [], [], []
+            for i, t in enumerate(own["hf_text"]):
+                for line in t.split("\n"):
+                    features, clean = observe(line)
+                    seen.append(features)
+                    rest.append(clean)
+                    row.append(i)
+            emitted = emissions(seen, np.flatnonzero(np.diff([-1, *row])), shared.value)
+            yield own, rest, row, step_matrices(emitted, shared.value, own["hf_pos"].iat[0] == own["hf_first"].iat[0])
+
+    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = [(own["hf_conv"].iat[0], own["hf_pos"].iat[0], product(steps).ravel()) for own, _, _, steps in segments(pdf)]
+        return pd.DataFrame(made, columns=["hf_conv", "hf_pos", "hf_m"])
+
+    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         made = []
-        if len(pdf):
-            own, rest, row, steps = lines(pdf)
-            path = best_path(steps, int(ends["hf_entry"].iloc[0]), int(ends["hf_exit"].iloc[0]))
+        for own, rest, row, steps in segments(pdf):
+            entry, exit_ = own["hf_entry"].iat[0], own["hf_exit"].iat[0]
+            path = best_path(steps, int(entry), int(exit_))
             ids, turns = own["hf_id"].tolist(), own["hf_turn"].tolist()
             last = -1
             for line, i, state in zip(rest, row, path, strict=True):
@@ -195,11 +202,12 @@ def format_chats(rows: DataFrame, role_of_training: Column | None = None, conv_c
                 else:
                     made[-1][4].append(line)
                 last = i
-        done = [(None if c is None or c != c else str(int(c)) if isinstance(c, float) else str(c), None if t is None or t != t else int(t), p, r, "\n".join(x), f"<|{r}|>\n" + "\n".join(x) + "\n<|end|>") for c, t, p, r, x in made]
-        out = pd.DataFrame(done, columns=["conv_id", "turn", "part", "role", "text", "rendered"])
-        return out.astype({"turn": "Int64"})
-
-    keys = ("hf_conv", "hf_pos")
-    ends = solve(placed.groupBy(*keys).applyInPandas(matrix, "hf_conv string, hf_pos long, hf_m array<double>"))
-    found = placed.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(decode, schema)
-    return found.withColumn("conv_id", F.col("conv_id").cast(rows.schema[conv_col].dataType)).withColumnRenamed("conv_id", conv_col).withColumnRenamed("turn", turn_col)
+        done = [(c, None if t is None or t != t else int(t), p, r, "\n".join(x), f"<|{r}|>\n" + "\n".join(x) + "\n<|end|>") for c, t, p, r, x in made]
+        return pd.DataFrame(done, columns=["conv_id", "turn", "part", "role", "text", "rendered"]).astype({"turn": "Int64"})
+
+    # only conversations of more than one segment need their ends solved; the others start freely and end freely
+    long = placed.where("hf_first < hf_last")
+    ends = solve(materialise(long.groupBy("hf_bucket").applyInPandas(matrices, "hf_conv string, hf_pos long, hf_m array<double>")))
+    ready = placed.join(ends, ["hf_conv", "hf_pos"], "left").fillna({"hf_entry": 0, "hf_exit": -1})
+    found = ready.groupBy("hf_bucket").applyInPandas(decode, "conv_id string, turn long, part int, role string, text string, rendered string")
+    return found.select(F.col("conv_id").cast(rows.schema[conv_col].dataType).alias(conv_col), F.col("turn").alias(turn_col), "part", "role", "text", "rendered")
