@@ -20,7 +20,7 @@ from helixframe.llm._shared import materialise, word_count
 
 #: The share of a source's fractional target above which a document is placed on its own, before the small ones.
 LARGE_SHARE = 100
-#: Rows of (id, number) broadcast at most.
+#: Rows of an id or source and a few numbers broadcast at most.
 BROADCAST_ROWS = 1 << 20
 
 
@@ -67,6 +67,12 @@ def running_sum(rows: DataFrame, group: Sequence[str], order: Sequence[str], val
     return rows.withColumn("hf_inside", F.sum(value).over(inside)).join(starts, [*group, "hf_bucket"]).withColumn(out, F.col("hf_start") + F.col("hf_inside")).drop("hf_start", "hf_inside", "hf_bucket")
 
 
+def by_source(figures: DataFrame) -> DataFrame:
+    """One row a source, broadcast where the sources are few enough, so that rows of a large source need not meet."""
+    figures = materialise(figures)
+    return F.broadcast(figures) if figures.count() <= BROADCAST_ROWS else figures
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: Sequence[str] = ()) -> DataFrame:
     """How often the mix takes each row: id, `extra` columns, size, source_size, target, hf_reps, taken.
 
@@ -83,15 +89,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
     sources = base.groupBy("hf_key").agg(F.sum("size").alias("source_size")).select("hf_key", (F.col("hf_key") == "n").alias("hf_null"), F.expr("substring(hf_key, 2)").alias("hf_source"), "source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = water_fill(sources, weights, budget, max_epochs).withColumn("hf_whole", whole.cast("long")).withColumn("hf_rest", F.col("target") - F.col("hf_whole") * F.col("source_size"))
-    rows = base.join(targets, "hf_key").withColumn("hf_large", F.col("size") * LARGE_SHARE > F.col("hf_rest"))
+    rows = base.join(by_source(targets), "hf_key").withColumn("hf_large", F.col("size") * LARGE_SHARE > F.col("hf_rest"))
     sized = running_sum(rows, ["hf_key", "hf_large"], ["hf_hash", "hf_id", "size"], "size", "hf_upto")
     large_sizes = rows.where("hf_large").groupBy("hf_key").agg(F.sum("size").alias("hf_large_size"))
-    sized = sized.join(large_sizes, "hf_key", "left").withColumn("hf_large_part", F.when(F.col("source_size") > 0, F.col("hf_rest") * F.coalesce(F.col("hf_large_size"), F.lit(0)) / F.col("source_size")).otherwise(0.0))
+    sized = sized.join(by_source(large_sizes), "hf_key", "left").withColumn("hf_large_part", F.when(F.col("source_size") > 0, F.col("hf_rest") * F.coalesce(F.col("hf_large_size"), F.lit(0)) / F.col("source_size")).otherwise(0.0))
     large_in = F.col("hf_large") & (F.col("hf_upto") <= F.col("hf_large_part"))
     taken_large = sized.where(large_in).groupBy("hf_key").agg(F.sum("size").alias("hf_large_taken"))
     small_in = ~F.col("hf_large") & (F.col("hf_upto") - F.col("size") / F.lit(2.0) <= F.col("hf_rest") - F.coalesce(F.col("hf_large_taken"), F.lit(0)))
     return (
-        sized.join(taken_large, "hf_key", "left")
+        sized.join(by_source(taken_large), "hf_key", "left")
         .withColumn("hf_reps", F.col("hf_whole") + F.when(large_in | small_in, 1).otherwise(0))
         .select(F.col("hf_id").alias(id_col), *[F.col(f"hf_x_{c}").alias(c) for c in extra], "size", "source_size", "target", "hf_reps", (F.col("size") * F.col("hf_reps")).alias("taken"))
     )
