@@ -76,7 +76,7 @@ def cluster_average_linkage(spark, sf_dir):
 
 
 def _clustered(spark, sf_dir):
-    """Records with clusters of equal GC and length class, which any engine finds alike."""
+    """Records in clusters of equal sequences."""
     df = views.records(spark, sf_dir).where(F.char_length("sequence") > 0)
     return df, df.select("ord", F.min("ord").over(_by_sequence()).alias("cluster"))
 
