@@ -28,7 +28,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts read at a time, words remembered by a task's process, and words handed to the library at a time.
-BATCH, MEMO, LEARN = 1024, 250_000, 8192
+BATCH, MEMO, LEARN = 1024, 150_000, 8192
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -221,11 +221,14 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, text_col: str = "
 
     def encode(parts):
         encoder = cached(bytes(shared.value))
-        for whole in parts:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                made = encoder.encode(batch.column("hf_text"))
-                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + list(made), names=[f.name for f in kept] + ["token_ids", "n_tokens", "round_trip"])
+        try:
+            for whole in parts:
+                for at in range(0, whole.num_rows, BATCH):
+                    batch = whole.slice(at, BATCH)
+                    made = encoder.encode(batch.column("hf_text"))
+                    yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + list(made), names=[f.name for f in kept] + ["token_ids", "n_tokens", "round_trip"])
+        finally:
+            encoder.clear()  # the process lives on and serves other tasks, which need the memory
 
     made = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     return source.mapInArrow(encode, T.StructType([*kept, *made]))
