@@ -48,16 +48,17 @@ class Index:
         """(query, row, score) of the k best rows of the block for each query."""
         queries = queries.astype(np.float64)
         length, mass = np.sqrt((queries**2).sum(axis=1)), np.abs(queries).sum(axis=1)
-        so_far = np.zeros((len(queries), len(self.ids)))
+        own = self.ids[None, :] == query_ids[:, None]
+        so_far = np.where(own, -np.inf, 0.0)  # rows of the query's id, however many, never take a place
         open_ = np.arange(len(queries))
         members: list[np.ndarray | None] = [None] * len(queries)
-        need = min(k + 1, len(self.ids))  # the query itself may be among them
+        need = min(k, len(self.ids))
         for (rows, here), (rest, top) in zip(self.segments, self.left, strict=True):
             so_far[np.ix_(open_, rows)] += queries[open_] @ np.where(here[rows], self.vectors[rows], 0.0).T
             bound = np.minimum(length[open_, None] * rest[None, :], mass[open_, None] * top)
             scores = so_far[open_]
             kth = np.partition(scores - bound, len(self.ids) - need, axis=1)[:, len(self.ids) - need]
-            possible = scores + bound >= kth[:, None] - 1e-6
+            possible = (scores + bound >= kth[:, None] - 1e-6) & ~own[open_]
             count = possible.sum(axis=1)
             done = (count <= max(4 * need, 32)) | (top == 0)
             for i in np.flatnonzero(done):
@@ -67,7 +68,6 @@ class Index:
                 break
         found = []
         for q, rows in enumerate(members):
-            rows = rows[self.ids[rows] != query_ids[q]]
             exact = np.rint(self.vectors[rows] @ queries[q]).astype(np.int64)
             best = np.lexsort((self.ids[rows], -exact))[:k]
             found += [(int(query_ids[q]), int(self.ids[rows[i]]), int(exact[i])) for i in best]

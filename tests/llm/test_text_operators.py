@@ -187,3 +187,18 @@ def test_index_stops_only_on_proof():
         got = index.search(np.array([q]), vectors[q : q + 1], 5)
         score = vectors @ vectors[q]
         assert [x[1:] for x in got] == [(int(j), int(score[j])) for j in np.lexsort((np.arange(300), -score)) if j != q][:5]
+
+
+def test_repeated_rows_of_a_query_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-15, 16, (60, 8))  # one level of impact: the first short list is final
+    v[0] = 15  # its own rows score highest
+    ids = np.array([0, 0, 0, *range(1, 60)])
+    whole = v[np.maximum(np.arange(62) - 2, 0)]
+    score = whole @ v[0]
+    want = [(int(ids[j]), int(score[j])) for j in np.lexsort((ids, -score)) if ids[j]][:5]
+    assert [x[1:] for x in topk.Index(ids, whole).search(np.array([0]), v[:1], 5)] == want
+    df = spark.createDataFrame([(int(i), (x / 256).tolist()) for i, x in zip(ids, whole, strict=True)], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(df).where("query_id = 0").orderBy("rank").collect()] == want
+    only = topk.Index(np.zeros(50, np.int64), np.tile(v[0], (50, 1)))
+    assert only.search(np.array([0]), v[:1], 5) == []
