@@ -41,6 +41,22 @@ def test_pages(spark):
     assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><a class='skip-link' href='#m'>Skip to content</a><article><p>whole</p> text</article></body>", "whole text"),
+    ("<article>one <a class=share>Share</a>, two<p>three</p>four</article>", "one , two three four"),
+    ("<article>one<span hidden>no</span>self <span class='ad'>no <span>no</span> no</span> two</article>", "oneself two"),
+    ("<article>one <span class=ad>no<div>no<p>no</div>no</span> two</article>", "one two"),
+    ("<article><p>one <a class=share>no <a href='/x'>two</a> three</article>", "one two three"),
+    ("<article><p>one <span class=ad>never closed<p>two</article>", "one two"),
+    ("<article><p>one <span class=ad>never closed</p>two</article>tail", "one two"),
+    ("<article>one <b class=promo>never closed", "one"),
+    ("<article>one</span> <img class=ad> two<nav><a class=share>no</a></nav> three</a> four</article>", "one two three four"),
+    ("one <a class=share>no</a> two", "one two"),
+])
+def test_text_after_a_dropped_inline_element_stays(page, text):
+    assert " ".join(t for kind, t in html.blocks(page) if kind != html.GONE) == text
+
+
 def test_repeated_runs_go_from_pages_without_landmarks(spark):
     rng = random.Random(1)
     words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
