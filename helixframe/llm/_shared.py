@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +24,38 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, `spark.checkpoint.dir`; without one, executors could not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="helixframe-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts take about `limit` bytes; a longer text goes alone."""
+    ends = np.cumsum([0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def no_clash(kept, made) -> None:
+    """Raise an error where columns to keep have names of the result's own."""
+    clash = sorted(set(kept) & set(made))
+    if clash:
+        raise ValueError(f"rename {', '.join(clash)}: the result has columns of that name")
+
+
+def give_back() -> None:
+    """Return what this Python process has freed to the system: Spark keeps idle workers, which would go on holding it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 

@@ -5,7 +5,8 @@ BPE merges, and the byte fallback. Batches are encoded by the library's own thre
 read once on the driver from a path parameter and broadcast as bytes, so executors need no file.
 
 Defined results: a null text has null ids, 0 tokens and a null `round_trip`; an empty text has no ids and true; texts of
-any length are encoded whole; repeated rows are encoded alike; an empty table gives an empty result.
+any length are encoded whole; repeated rows are encoded alike; an empty table gives an empty result. Columns of `keep`
+whose names are the result's own are an error.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm._shared import by_bytes, give_back, no_clash
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Kinds of pieces and of models, as numbered in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts read at a time, words remembered by a task's process, and words handed to the library at a time.
-BATCH, MEMO, LEARN = 1024, 150_000, 8192
+#: Bytes of text encoded at a time (a longer text goes alone), and words handed to the library at a time.
+BATCH_BYTES, AT_ONCE = 12 << 20, 8192
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,54 +93,52 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 
 class Encoder:
-    """A model's tokenizer, and the ids of the words it has met lately.
+    """A model's tokenizer.
 
     Where no piece goes on past a word and spaces stand alone, a text is the row of its words: each distinct word of a
-    batch is encoded, and decoded again, once. Texts with runs of spaces, spaces at an end or literal markers go through
-    the tokenizer whole.
+    batch is encoded, and decoded again, once, by the model alone, which needs neither normaliser nor splitting there.
+    Texts with runs of spaces, spaces at an end or literal markers go through the tokenizer whole.
     """
 
     def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
         spec = parse_model(data)
         self.tokenizer = build(data)
         self.by_word = self.tokenizer.pre_tokenizer is not None and spec["dummy_prefix"] and not spec["charsmap"] and not spec["one_space"]
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes, self.good = [np.zeros(0, np.int32)], np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def learn(self, missing: list[str]) -> None:
-        sizes, good = [self.sizes], [self.good]
-        for at in range(0, len(missing), LEARN):
-            some = missing[at : at + LEARN]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-            self.ids.append(np.fromiter((i for x in ids for i in x), np.int32))
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            good.append(np.fromiter((x == y for x, y in zip(some, back, strict=True)), bool, len(ids)))
-        self.ids, self.sizes, self.good = [np.concatenate(self.ids)], np.concatenate(sizes), np.concatenate(good)
+        self.words = Tokenizer(self.tokenizer.model)
+        #: The text of each piece that stands for itself; the others make a word's decoding the library's work.
+        self.texts = [text if kind == NORMAL else "\0" for text, _, kind in spec["pieces"]]
+
+    def encode_marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of marked words in one array, the number of each, and whether decoding gives the word back."""
+        ids, sizes, good = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        text = self.texts.__getitem__
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            own = [e.ids for e in self.words.encode_batch_fast(some, add_special_tokens=False)]
+            same = [word == "".join(map(text, x)) for word, x in zip(some, own, strict=True)]
+            other = [i for i, fits in enumerate(same) if not fits]
+            for i, back in zip(other, self.tokenizer.decode_batch([own[i] for i in other], skip_special_tokens=False), strict=True):
+                same[i] = some[i] == MARK + back
+            ids.append(np.fromiter(chain.from_iterable(own), np.int32))
+            sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+            good.append(np.array(same, bool))
+        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(good)
 
     def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in one array, the number of each text, and whether decoding gives it back."""
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        missing = [w for w in own if w not in self.known]
-        if len(self.known) + len(missing) > MEMO:
-            self.clear()
-            missing = own
-        if missing:
-            self.learn(missing)
-        place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
-        sizes, starts = self.sizes[place], (np.cumsum(self.sizes) - self.sizes)[place]
+        ids, own_sizes, own_good = self.encode_marked(pc.binary_join_element_wise(MARK, coded.dictionary, "").to_pylist())
+        place = coded.indices.to_numpy()
+        sizes, starts = own_sizes[place], (np.cumsum(own_sizes) - own_sizes)[place]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         total = np.concatenate([[0], ends])
-        bad = np.concatenate([[0], np.cumsum(~self.good[place])])
-        return self.ids[0][at], np.diff(total[bounds]), np.diff(bad[bounds]) == 0
+        bad = np.concatenate([[0], np.cumsum(~own_good[place])])
+        return ids[at], np.diff(total[bounds]), np.diff(bad[bounds]) == 0
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Arrays of ids, their number and round_trip, in the order of the texts."""
@@ -215,20 +217,18 @@ def parity(texts: list[str], data: bytes) -> list[int]:
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, token_ids, n_tokens, round_trip (decoding gives the text back), one row a document."""
+    no_clash(keep, ("token_ids", "n_tokens", "round_trip"))
     shared = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     source = docs.select(*keep, F.col(text_col).alias("hf_text"))
     kept = [f for f in source.schema.fields if f.name != "hf_text"]
 
     def encode(parts):
         encoder = cached(bytes(shared.value))
-        try:
-            for whole in parts:
-                for at in range(0, whole.num_rows, BATCH):
-                    batch = whole.slice(at, BATCH)
-                    made = encoder.encode(batch.column("hf_text"))
-                    yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + list(made), names=[f.name for f in kept] + ["token_ids", "n_tokens", "round_trip"])
-        finally:
-            encoder.clear()  # the process lives on and serves other tasks, which need the memory
+        for whole in parts:
+            for batch in by_bytes(whole, "hf_text", BATCH_BYTES):
+                made = encoder.encode(batch.column("hf_text"))
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + list(made), names=[f.name for f in kept] + ["token_ids", "n_tokens", "round_trip"])
+        give_back()
 
     made = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     return source.mapInArrow(encode, T.StructType([*kept, *made]))
