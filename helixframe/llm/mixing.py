@@ -4,9 +4,9 @@ Everything is DataFrame code. Per-source figures are sums, so a source that hold
 before it is shuffled; the running sum inside a source is taken in two levels (hash buckets, then rows of a bucket), so
 no task ever holds a whole source.
 
-Defined results: a null text has size 0; null sources form one source, ranked last; repeated rows are rows of their
-own, told apart by their running sum alone; an empty table gives an empty result. Column names starting with `hf_` are
-reserved for the operator.
+Defined results: a null text has size 0; null sources form one source, ranked last; rows that share an id are rows of
+their own, ordered by a hash of id, source and text; rows equal in all three are told apart by their running sum alone;
+an empty table gives an empty result. Column names starting with `hf_` are reserved for the operator.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from helixframe.llm._shared import materialise, word_count
 #: The share of a source's fractional target above which a document is placed on its own, before the small ones.
 LARGE_SHARE = 100
 #: Rows of an id or source and a few numbers broadcast at most.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 18
 
 
 def water_fill(sources: DataFrame, weights: Sequence[float], budget: float, max_epochs: float) -> DataFrame:
@@ -83,14 +83,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
     """
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     base = materialise(
-        docs.select(F.col(id_col).alias("hf_id"), *[F.col(c).alias(f"hf_x_{c}") for c in extra], key.alias("hf_key"), word_count(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("hf_id"), F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), source_col, F.lit("|"), text_col).alias("hf_row"), *[F.col(c).alias(f"hf_x_{c}") for c in extra], key.alias("hf_key"), word_count(F.col(text_col)).alias("size"))
         .withColumn("hf_hash", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("hf_id").cast("string"), F.lit("null")))), 1, 16))
     )
     sources = base.groupBy("hf_key").agg(F.sum("size").alias("source_size")).select("hf_key", (F.col("hf_key") == "n").alias("hf_null"), F.expr("substring(hf_key, 2)").alias("hf_source"), "source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = water_fill(sources, weights, budget, max_epochs).withColumn("hf_whole", whole.cast("long")).withColumn("hf_rest", F.col("target") - F.col("hf_whole") * F.col("source_size"))
     rows = base.join(by_source(targets), "hf_key").withColumn("hf_large", F.col("size") * LARGE_SHARE > F.col("hf_rest"))
-    sized = running_sum(rows, ["hf_key", "hf_large"], ["hf_hash", "hf_id", "size"], "size", "hf_upto")
+    sized = running_sum(rows, ["hf_key", "hf_large"], ["hf_hash", "hf_id", "size", "hf_row"], "size", "hf_upto")
     large_sizes = rows.where("hf_large").groupBy("hf_key").agg(F.sum("size").alias("hf_large_size"))
     sized = sized.join(by_source(large_sizes), "hf_key", "left").withColumn("hf_large_part", F.when(F.col("source_size") > 0, F.col("hf_rest") * F.coalesce(F.col("hf_large_size"), F.lit(0)) / F.col("source_size")).otherwise(0.0))
     large_in = F.col("hf_large") & (F.col("hf_upto") <= F.col("hf_large_part"))
@@ -106,11 +106,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: every row as often as `mix_sources` takes it, with the columns of `docs`.
 
-    Rows that share an id share the largest of their numbers. Only ids and numbers are gathered; texts move at most once.
+    Only hashes of rows and numbers are gathered; texts move at most once. Of rows equal in id, source and text, one
+    stands for all and is taken as often as they are together.
     """
-    id_col = options.get("id_col", "doc_id")
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    reps = materialise(mix_sources(docs, **options).where("hf_reps > 0").groupBy(key(id_col).alias("hf_key")).agg(F.max("hf_reps").cast("int").alias("hf_reps")))
+    named = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | {k: v for k, v in options.items() if k.endswith("_col")}
+    key = F.xxhash64(F.col(named["id_col"]).cast("string"), F.lit("|"), named["source_col"], F.lit("|"), named["text_col"])
+    reps = mix_sources(docs.withColumn("hf_key", key), extra=("hf_key",), **options).groupBy("hf_key").agg(F.sum("hf_reps").cast("int").alias("hf_reps"), F.count("*").alias("hf_rows"))
+    reps = materialise(reps.where("hf_reps > 0"))
     small = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
-    taken = docs.withColumn("hf_key", key(id_col)).join(small, "hf_key")
+    taken = docs.withColumn("hf_key", key).join(small, "hf_key")
+    if reps.where("hf_rows > 1").limit(1).count():
+        taken = taken.where("hf_rows = 1").unionByName(taken.where("hf_rows > 1").dropDuplicates(["hf_key"]))
     return taken.withColumn("hf_copy", F.explode(F.sequence(F.lit(1), F.col("hf_reps")))).select(*docs.columns)
