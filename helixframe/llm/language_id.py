@@ -2,18 +2,17 @@
 
 A text is the set of its hashed byte n-grams, lengths 1 to 4 blended; the kernel of two texts is the cosine of their
 sets. Landmarks from every language give a Nyström map, on which one ridge regression a language is fitted; documents
-are then scored in batches by matrix products. The classifier is fitted on at most `per_language` labelled documents of
-each language, chosen by a hash of the id; every document is scored on its whole text. Only the model, of fixed size,
-goes through the driver.
+are then scored in batches by matrix products. The classifier is fitted on a bounded sample: about `per_language` labelled
+documents of each language, fewer where those were more than `sample` in all, chosen by a hash of the id; no language is
+left out. Every document is scored on its whole text. Only the sample's packed sets and the model go through the driver.
 
 Defined results: `und` with score 0 for a null or letterless text, and for all texts where nothing is labelled; texts
 of any length are read whole, in pieces; ties go to the language first by code point; repeated rows are scored alike;
-an empty table gives an empty result.
+an empty table gives an empty result; kept columns with names of the result's own are an error.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm._shared import no_clash
+
 BITS = 13
 DIMS = 1 << BITS
 LENGTHS = (1, 2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
 #: Documents and bytes that one matrix product takes at a time.
 BATCH_DOCS, BATCH_BYTES = 256, 1 << 20
+#: Landmarks in all, where the languages are many, and languages whose counts are broadcast.
+LANDMARKS, FEW = 2048, 10_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -62,20 +64,22 @@ def presence(texts: list[bytes]) -> np.ndarray:
 
 def prepare(text: str | None) -> bytes | None:
     """Lower-case bytes of a text between spaces; None if it is null or has no letter."""
-    if text is None or not LETTER.search(text):
+    if text is None or not any(map(str.isalpha, text)):
         return None
     return b" " + text.lower().encode("utf-8", "replace") + b" "
 
 
 def kernel(sets: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     own = np.sqrt(sets.sum(axis=1, dtype=np.float32))
-    return (sets.astype(np.float32) @ landmarks.T) / np.maximum(own[:, None] * sizes[None, :], 1e-9)
+    shared = [sets[at : at + BATCH_DOCS].astype(np.float32) @ landmarks.T for at in range(0, max(len(sets), 1), BATCH_DOCS)]
+    return np.concatenate(shared) / np.maximum(own[:, None] * sizes[None, :], 1e-9)
 
 
 def fit(sets: np.ndarray, langs: list[str], per_class: int = 32, ridge: float = 1e-3) -> dict:
     """Landmarks, the product of Nyström map and ridge weights, and the sharpness of the scores."""
     names = sorted(set(langs))
     label = np.array([names.index(x) for x in langs])
+    per_class = max(4, min(per_class, LANDMARKS // len(names)))
     chosen = np.concatenate([np.flatnonzero(label == k)[:per_class] for k in range(len(names))])
     landmarks = sets[chosen].astype(np.float32)
     sizes = np.sqrt(landmarks.sum(axis=1))
@@ -112,14 +116,16 @@ def predict(texts: list[str | None], model: dict | None) -> tuple[list[str], np.
     return langs, scores
 
 
-def train(docs: DataFrame, per_language: int = 400, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """Fit on about `per_language` labelled documents of each of the `max_languages` most frequent languages."""
+def train(docs: DataFrame, per_language: int = 400, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+    """Fit on about `per_language` labelled documents of each language, `sample` in all where the languages are many."""
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()
-    if not counts:
+    counts = known.groupBy("l").agg(F.count("*").alias("n"))
+    n_languages = counts.count()
+    if not n_languages:
         return None
-    share = F.coalesce(*[F.when(F.col("l") == r["l"], F.lit(min(1.0, per_language / r["n"]))) for r in counts], F.lit(0.0))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("language"), "i"), F.lit(1 << 20)) < share * float(1 << 20))
+    quota = max(4, min(per_language, sample // n_languages))
+    drawn = known.join(F.broadcast(counts) if n_languages <= FEW else counts, "l")
+    drawn = drawn.where(F.pmod(F.xxhash64(F.lit("language"), "i"), F.lit(1 << 20)) < F.least(F.lit(1.0), quota / F.col("n")) * float(1 << 20)).drop("n")
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -129,7 +135,7 @@ def train(docs: DataFrame, per_language: int = 400, max_languages: int = 200, id
 
     rows = sorted(drawn.mapInPandas(features, "i string, l string, s binary").collect(), key=lambda r: (r["l"], r["i"], r["s"]))
     per: dict[str, int] = {}
-    rows = [r for r in rows if (per.update({r["l"]: per.get(r["l"], 0) + 1}) or per[r["l"]] <= 2 * per_language)]
+    rows = [r for r in rows if (per.update({r["l"]: per.get(r["l"], 0) + 1}) or per[r["l"]] <= 2 * quota)]
     if not rows:
         return None
     return fit(np.unpackbits(np.frombuffer(b"".join(bytes(r["s"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(bool), [r["l"] for r in rows])
@@ -137,8 +143,8 @@ def train(docs: DataFrame, per_language: int = 400, max_languages: int = 200, id
 
 def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, `keep` columns, held_out, lang_pred, score, one row a document."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    no_clash((id_col, *keep), ("held_out", "lang_pred", "score"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col), *keep, held_out(F.col(id_col)).alias("hf_held_out"), F.col(text_col).alias("hf_text"))
     kept = [f for f in source.schema.fields if f.name not in ("hf_text", "hf_held_out")]
 
