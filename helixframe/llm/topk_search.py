@@ -113,23 +113,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     x = F.col(vector_col)
     usable = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.col(id_col).isNotNull()
     rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("hf_id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long")).alias("hf_v"))
-    queries = rows.where(F.pmod("hf_id", F.lit(every)) == 0).distinct()
+    queries = rows.where(F.pmod("hf_id", F.lit(every)) == 0).distinct().select(F.col("hf_id").alias("hf_asker"), F.col("hf_v").alias("hf_vector"))
     n_rows, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("hf_v")), F.lit(0))).first()
     each = lambda most: max(1, min(most, POSTINGS // max(1, width)))
     row_blocks, query_blocks = max(1, -(-n_rows // each(ROWS))), max(1, -(-queries.count() // each(ASKED)))
-    key = F.xxhash64(F.lit("block"), "hf_id", "hf_v")
-    block = lambda n: F.pmod(key, F.lit(n)).cast("int")
+    block = lambda key, n: F.pmod(key, F.lit(n)).cast("int")
     spread = lambda first, n: F.explode(F.sequence(F.lit(first), F.lit(n - 1)))
-    left = rows.select("hf_id", "hf_v", block(row_blocks).alias("hf_rows"))
-    right = queries.select("hf_id", "hf_v", key.alias("hf_asked"), block(query_blocks).alias("hf_queries"))
+    left = rows.select("hf_id", "hf_v", block(F.xxhash64("hf_id", "hf_v"), row_blocks).alias("hf_rows"))
+    right = queries.withColumn("hf_asked", F.xxhash64("hf_asker", "hf_vector")).withColumn("hf_queries", block(F.col("hf_asked"), query_blocks))
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
-        found, keys, ids = [], asked.column("hf_asked").to_numpy(), asked.column("hf_id").to_numpy()
+        found, keys, ids = [], asked.column("hf_asked").to_numpy(), asked.column("hf_asker").to_numpy()
         if len(own) and len(asked):
-            both = [pack(own.column("hf_v")), pack(asked.column("hf_v"))]
+            both = [pack(own.column("hf_v")), pack(asked.column("hf_vector"))]
             wide = max(a.shape[1] for a in both)
             mine, theirs = (np.pad(a, ((0, 0), (0, wide - a.shape[1]))) for a in both)
-            floors = asked.column("hf_floor").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            floors = asked.column("hf_floor").cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy()
             found = Index(own.column("hf_id").to_numpy(), mine).search(ids, theirs, k, floors)
         place, row, score = np.array(found, dtype=np.int64).reshape(-1, 3).T
         return pa.table({"hf_asked": keys[place], "query_id": ids[place], "vec_id": row, "score": score})
