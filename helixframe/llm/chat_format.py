@@ -1,16 +1,19 @@
 """Operator 7, chat formatting: a hidden Markov model recovers the speakers of a transcript before turns are rendered.
 
-Every input row is a piece of a conversation, in order of its turn number; its lines may hold further turns. States are
-the roles, each as first line of a turn or as a later line; a row's first line begins a turn. Lines are observed through
-a speaker marker and three line features. Transition and emission counts come from all rows with a known role, over
-priors that tie markers to roles; Viterbi finds the best states of each whole conversation.
-
-A conversation of any length is cut into segments by turn number. Each segment becomes a max-plus matrix, the states
-between segments are solved on those matrices, level by level, at most `FAN` of them in a group, and the segments are
-then decoded from their ends, so no task holds a whole conversation.
-
-Defined results: null turn numbers come first; a null text is empty; rows with a null conversation are conversations of
-their own, told apart by their text; repeated rows are read once; an empty table gives an empty result.
+Every input row is a piece of a conversation's transcript, in order of its number; a piece holds any lines, and nothing
+tells where turns begin. States are the roles, each as first line of a turn or as a later line. Lines are observed
+through a speaker marker, which may be missing, known or one that tells no role, and three line features. Start,
+transition and emission counts come from the rows with a known role, each of which is one turn; Viterbi finds the best
+states of each whole conversation, and its turns are rendered in one canonical form.
+
+The lines of a conversation are numbered by sums over blocks of pieces, then over the lines of a block, and cut into
+segments of `SEGMENT` lines, so a conversation or a text of any length is spread out. Each segment becomes a max-plus
+matrix, the states between segments are solved on those matrices, level by level, at most `FAN` of them in a group, and
+the segments are then decoded from their ends. A turn that goes on over a cut is put together again.
+
+Defined results: null numbers come first, in an order by hash; pieces that share a number are in order of their text; a
+null text is an empty line; rows with a null conversation are conversations of their own, told apart by their text;
+repeated rows are read once; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,71 +32,75 @@ STATES = 2 * len(ROLES)  # a role's first line, then, `len(ROLES)` further on, i
 #: Names that mark a role at the start of a line.
 MARKERS = {"system": ("system", "instruction", "instructions"), "user": ("user", "human", "customer", "q"), "assistant": ("assistant", "ai", "bot", "model", "agent", "a")}
 MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\[|<\|?|\*\*)?(" + "|".join(n for names in MARKERS.values() for n in names) + r")\s*(?:\|?>|\]|\*\*)?\s*(?::|(?<=[>\]])|$)\s*(?:\*\*)?\s*", re.IGNORECASE)
+#: What begins a line like a marker but names no role.
+ORPHAN = re.compile(r"^\s*(?:>>|\[[^\]\s]{0,12}\]|\w{1,12}(?:\s\d)?:)\s+")
 KIND = {n: i + 1 for i, role in enumerate(ROLES) for n in MARKERS[role]}
-SEGMENT, FAN = 128, 256
+#: Lines of a segment, segments solved in one group, and piece numbers whose lines are counted in one group.
+SEGMENT, FAN, BLOCK = 128, 256, 64
 #: Values that each feature can have: marker, length class, question, list or code line.
-FEATURES = (len(ROLES) + 1, 4, 2, 2)
+FEATURES = (len(ROLES) + 2, 4, 2, 2)
+BROADCAST_ROWS = 1 << 17
 
 
 def observe(line: str) -> tuple[tuple[int, ...], str]:
     """Features of a line, and the line without its marker."""
-    found = MARKER.match(line)
+    known = MARKER.match(line)
+    found = known or ORPHAN.match(line)
     rest = line[found.end() :] if found else line
     size = len(rest)
-    return (KIND[found[1].lower()] if found else 0, (size > 20) + (size > 80) + (size > 200), int(rest.rstrip().endswith("?")), int(rest[:1] in "-*>`|")), rest
+    kind = KIND[known[1].lower()] if known else len(ROLES) + 1 if found else 0
+    return (kind, (size > 20) + (size > 80) + (size > 200), int(rest.rstrip().endswith("?")), int(rest[:1] in "-*>`|")), rest
 
 
 def count_lines(pieces: DataFrame) -> DataFrame:
-    """`what`, `n`: how often each state, feature value and role sequence occurs in rows of known role."""
+    """`what`, `n`: how often each start, state, feature value and role sequence occurs in rows of known role."""
 
     def count(parts):
         for pdf in parts:
             found: dict[str, int] = {}
-            for text, role, before in zip(pdf["hf_text"], pdf["hf_role"], pdf["hf_before"], strict=True):
+            add = lambda key: found.__setitem__(key, found.get(key, 0) + 1)  # noqa: B023, E731
+            for text, role, before, opens in zip(pdf["hf_text"], pdf["hf_role"], pdf["hf_before"], pdf["hf_opens"], strict=True):
                 if role not in ROLES:
                     continue
                 r = ROLES.index(role)
                 if before in ROLES:
-                    key = f"turn {ROLES.index(before)} {r}"
-                    found[key] = found.get(key, 0) + 1
+                    add(f"turn {ROLES.index(before)} {r}")
+                if opens:
+                    add(f"start {r}")
                 for j, line in enumerate(text.split("\n")):
                     state = r + len(ROLES) * (j > 0)
                     for f, value in enumerate(observe(line)[0]):
-                        key = f"line {state} {f} {value}"
-                        found[key] = found.get(key, 0) + 1
+                        add(f"line {state} {f} {value}")
             yield pd.DataFrame({"what": list(found), "n": list(found.values())}).astype({"what": "object", "n": "int64"})
 
     return pieces.mapInPandas(count, "what string, n long").groupBy("what").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: dict[str, int]) -> dict:
-    """Log probabilities: `start`, `move` between states and, for each feature, `emit`."""
+    """Log probabilities: `start`, `move` between states and, for each feature, `emit`; weak priors stand in for what was not counted."""
     n = len(ROLES)
-    turn = np.array([[counts.get(f"turn {a} {b}", 0) for b in range(n)] for a in range(n)], float) + np.array([[1, 8, 2], [1, 1, 8], [1, 8, 1]])
+    turn = np.array([[counts.get(f"turn {a} {b}", 0) for b in range(n)] for a in range(n)], float) + np.array([[0.1, 0.8, 0.2], [0.1, 0.1, 0.8], [0.1, 0.8, 0.1]])
     turn /= turn.sum(axis=1, keepdims=True)
-    begun = [counts.get(f"line {s} 0 0", 0) + sum(counts.get(f"line {s} 0 {v}", 0) for v in range(1, n + 1)) for s in range(STATES)]
-    stay = (sum(begun[n:]) + 1) / (sum(begun) + 2)
-    move = np.log(np.block([[turn * (1 - stay), np.eye(n) * stay + 1e-12], [turn * (1 - stay), np.eye(n) * stay + 1e-12]]))
+    lines = np.array([sum(counts.get(f"line {s} 0 {v}", 0) for v in range(FEATURES[0])) for s in range(STATES)], float)
+    stay = ((lines[n:] + 1) / (lines[:n] + lines[n:] + 2))[:, None]  # of a role's lines, those that another of the turn follows
+    onward = np.hstack([turn * (1 - stay), np.eye(n) * stay + 1e-12])
     emit = []
     for f, size in enumerate(FEATURES):
-        table = np.array([[counts.get(f"line {s} {f} {v}", 0) for v in range(size)] for s in range(STATES)], float) + 1
-        if f == 0:  # a marker is worth as many lines as were counted, whatever the share of marked lines
-            weight = table.sum(axis=1, keepdims=True)
-            prior = np.full((STATES, size), 0.002)
-            prior[:, 0] = 0.2
-            prior[n:, 0] = 0.994
-            prior[np.arange(n), np.arange(n) + 1] = 0.796
-            table = table + weight * prior * 4
+        table = np.array([[counts.get(f"line {s} {f} {v}", 0) for v in range(size)] for s in range(STATES)], float)
+        prior = np.full((STATES, size), 0.5)
+        if f == 0:  # a marker speaks for its role at a turn's start, and for little elsewhere
+            prior[:] = 0.02
+            prior[:n, 0], prior[n:, 0], prior[:n, -1], prior[n:, -1] = 1.0, 5.0, 0.3, 0.1
+            prior[np.arange(n), np.arange(n) + 1] = 4.0
+        table += prior
         emit.append(np.log(table / table.sum(axis=1, keepdims=True)))
-    first = np.array([1.0, 8.0, 1.0])
-    return {"start": np.log(np.concatenate([first / first.sum(), np.full(n, 1e-12)])), "move": move, "emit": emit}
+    first = np.array([counts.get(f"start {r}", 0) for r in range(n)], float) + np.array([0.1, 0.8, 0.1])
+    return {"start": np.log(np.concatenate([first / first.sum(), np.full(n, 1e-12)])), "move": np.log(np.vstack([onward, onward])), "emit": emit}
 
 
-def emissions(features: list[tuple[int, ...]], first: np.ndarray, model: dict) -> np.ndarray:
+def emissions(features: list[tuple[int, ...]], model: dict) -> np.ndarray:
     values = np.array(features, dtype=int).reshape(-1, len(FEATURES))
-    out = sum(model["emit"][f][:, values[:, f]].T for f in range(len(FEATURES)))
-    out[np.ix_(first, np.arange(len(ROLES), STATES))] = -np.inf
-    return out
+    return sum(model["emit"][f][:, values[:, f]].T for f in range(len(FEATURES)))
 
 
 def step_matrices(emitted: np.ndarray, model: dict, starts: bool) -> list[np.ndarray]:
@@ -151,63 +158,92 @@ def solve(items: DataFrame) -> DataFrame:
     return grouped.join(ends, list(keys)).groupBy(bucket(*keys).alias("b")).applyInPandas(lambda pdf: each(pdf, keys, inside), schema)
 
 
+def number_lines(pieces: DataFrame) -> DataFrame:
+    """`hf_at`, the place of a piece's first line in its conversation, and `hf_before`, the role of the piece before it in its block."""
+    key = ["hf_conv", "hf_block", "hf_salt"]
+    placed = pieces.withColumns({
+        "hf_lines": F.size(F.split("hf_text", "\n")).cast("long"),
+        "hf_block": F.floor(F.coalesce("hf_turn", F.lit(-1)) / BLOCK),
+        "hf_salt": F.when(F.col("hf_turn").isNull(), F.substring(F.md5("hf_text"), 1, 3)).otherwise(""),
+    })
+    inside = Window.partitionBy(*key).orderBy("hf_turn", "hf_text", "hf_role")
+    placed = materialise(placed.withColumns({"hf_at": F.sum("hf_lines").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("hf_lines"), "hf_before": F.lag("hf_role").over(inside)}))
+    sums = placed.groupBy(*key).agg(F.sum("hf_lines").alias("hf_sum"))
+    earlier = Window.partitionBy("hf_conv").orderBy("hf_block", "hf_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(sums.select(*key, F.sum("hf_sum").over(earlier).alias("hf_start")).where("hf_start > 0"))
+    return placed.join(bounded(starts), key, "left").withColumn("hf_at", F.col("hf_at") + F.coalesce("hf_start", F.lit(0))).withColumn("hf_opens", F.col("hf_at") == 0).drop("hf_start", "hf_block", "hf_salt")
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a materialised frame of few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def format_chats(rows: DataFrame, role_of_training: Column | None = None, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, part, role, text, rendered: the recovered turns, `part` counting those of one input row from 0.
+    """conv_id, turn_no, first_line, role, text, rendered: the recovered turns, and the line of its transcript that each begins at.
 
-    `role_of_training` gives the known role of a row, or null; it is used for counting only, never for decoding.
+    `role_of_training` gives the known role of a row that is one whole turn, or null; it is used for counting only, never for decoding.
     """
     spark = rows.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     conv = F.coalesce(F.col(conv_col).cast("string"), F.concat(F.lit("null "), F.sha2(text, 256)))
     pieces = rows.select(F.col(conv_col).cast("string").alias("hf_id"), conv.alias("hf_conv"), F.col(turn_col).cast("long").alias("hf_turn"), text.alias("hf_text"), (F.lit(None).cast("string") if role_of_training is None else role_of_training).alias("hf_role")).distinct()
-    pieces = materialise(pieces.withColumn("hf_pos", F.floor(F.coalesce("hf_turn", F.lit(-1)) / SEGMENT)))
-    order = ("hf_turn", "hf_role", "hf_text")
-    before = F.lag("hf_role").over(Window.partitionBy("hf_conv", "hf_pos").orderBy(*order))
-    counts = {r["what"]: r["n"] for r in count_lines(pieces.withColumn("hf_before", before)).collect()}
+    pieces = number_lines(pieces)
+    counts = {r["what"]: r["n"] for r in count_lines(pieces.where(F.col("hf_role").isin(*ROLES))).collect()}
     shared = spark.sparkContext.broadcast(fit(counts))
-    spans = pieces.groupBy("hf_conv").agg(F.min("hf_pos").alias("hf_first"), F.max("hf_pos").alias("hf_last"))
+
+    # pieces are cut where segments end
+    last = F.col("hf_at") + F.col("hf_lines") - 1
+    cut = pieces.select("hf_id", "hf_conv", "hf_at", "hf_lines", "hf_text", F.explode(F.sequence(F.floor(F.col("hf_at") / SEGMENT), F.floor(last / SEGMENT))).alias("hf_pos"))
+    skip = F.greatest(F.col("hf_pos") * SEGMENT - F.col("hf_at"), F.lit(0))
+    end = F.least((F.col("hf_pos") + 1) * SEGMENT - F.col("hf_at"), F.col("hf_lines"))
+    own = F.when(F.floor(F.col("hf_at") / SEGMENT) == F.floor(last / SEGMENT), F.col("hf_text")).otherwise(F.array_join(F.slice(F.split("hf_text", "\n"), (skip + 1).cast("int"), (end - skip).cast("int")), "\n"))
+    parts = cut.select("hf_id", "hf_conv", "hf_pos", (F.col("hf_at") + skip).alias("hf_at"), own.alias("hf_text"))
     n = pieces.count()
-    placed = materialise(pieces.drop("hf_role").join(spans, "hf_conv").withColumn("hf_bucket", F.pmod(F.xxhash64("hf_conv", "hf_pos"), F.lit(max(1, n // 2048)))))
+    parts = materialise(parts.withColumn("hf_bucket", F.pmod(F.xxhash64("hf_conv", "hf_pos"), F.lit(max(1, n // 2048)))))
+    long = bounded(materialise(parts.where("hf_pos > 0").select("hf_conv").distinct()))
 
     def segments(pdf: pd.DataFrame):
-        """(rows, lines without markers, row of each line, step matrices) of every segment of a bucket."""
-        pdf = pdf.sort_values(["hf_conv", "hf_pos", "hf_turn", "hf_text"], na_position="first", kind="stable").reset_index(drop=True)
+        """(rows, (line, line without marker) pairs, step matrices) of every segment of a bucket."""
+        pdf = pdf.sort_values(["hf_conv", "hf_pos", "hf_at"], kind="stable").reset_index(drop=True)
         ends = np.flatnonzero((pdf["hf_conv"] != pdf["hf_conv"].shift(-1)) | (pdf["hf_pos"] != pdf["hf_pos"].shift(-1))) + 1
         for start, end in zip([0, *ends[:-1]], ends, strict=True):
-            own = pdf.iloc[start:end]
-            seen, rest, row = [], [], []
-            for i, t in enumerate(own["hf_text"]):
-                for line in t.split("\n"):
-                    features, clean = observe(line)
-                    seen.append(features)
-                    rest.append(clean)
-                    row.append(i)
-            emitted = emissions(seen, np.flatnonzero(np.diff([-1, *row])), shared.value)
-            yield own, rest, row, step_matrices(emitted, shared.value, own["hf_pos"].iat[0] == own["hf_first"].iat[0])
+            group = pdf.iloc[start:end]
+            lines = [line for t in group["hf_text"] for line in t.split("\n")]
+            seen = [observe(line) for line in lines]
+            emitted = emissions([features for features, _ in seen], shared.value)
+            yield group, [(line, rest) for line, (_, rest) in zip(lines, seen, strict=True)], step_matrices(emitted, shared.value, group["hf_pos"].iat[0] == 0)
 
     def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = [(own["hf_conv"].iat[0], own["hf_pos"].iat[0], product(steps).ravel()) for own, _, _, steps in segments(pdf)]
+        made = [(group["hf_conv"].iat[0], group["hf_pos"].iat[0], product(steps).ravel()) for group, _, steps in segments(pdf)]
         return pd.DataFrame(made, columns=["hf_conv", "hf_pos", "hf_m"])
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The turns of each segment, `no` counting those begun in it from 1; one that goes on from the segment before has 0."""
         made = []
-        for own, rest, row, steps in segments(pdf):
-            entry, exit_ = own["hf_entry"].iat[0], own["hf_exit"].iat[0]
-            path = best_path(steps, int(entry), int(exit_))
-            ids, turns = own["hf_id"].tolist(), own["hf_turn"].tolist()
-            last = -1
-            for line, i, state in zip(rest, row, path, strict=True):
-                if state < len(ROLES) or i != last:
-                    made.append([ids[i], turns[i], made[-1][2] + 1 if i == last else 0, ROLES[state % len(ROLES)], [line]])
+        for group, lines, steps in segments(pdf):
+            path = best_path(steps, int(group["hf_entry"].iat[0]), int(group["hf_exit"].iat[0]))
+            at, no, fresh = int(group["hf_at"].iat[0]), 0, True
+            for i, ((line, rest), state) in enumerate(zip(lines, path, strict=True)):
+                opens = state < len(ROLES)
+                no += opens
+                if opens or fresh:
+                    made.append([group["hf_id"].iat[0], group["hf_conv"].iat[0], group["hf_pos"].iat[0], at + i, no, ROLES[state % len(ROLES)], [rest if opens else line]])
                 else:
-                    made[-1][4].append(line)
-                last = i
-        done = [(c, None if t is None or t != t else int(t), p, r, "\n".join(x), f"<|{r}|>\n" + "\n".join(x) + "\n<|end|>") for c, t, p, r, x in made]
-        return pd.DataFrame(done, columns=["conv_id", "turn", "part", "role", "text", "rendered"]).astype({"turn": "Int64"})
+                    made[-1][6].append(line)
+                fresh = False
+        return pd.DataFrame([(*m[:6], "\n".join(m[6])) for m in made], columns=["hf_id", "hf_conv", "hf_pos", "hf_at", "hf_no", "hf_role", "hf_text"])
 
     # only conversations of more than one segment need their ends solved; the others start freely and end freely
-    long = placed.where("hf_first < hf_last")
-    ends = solve(materialise(long.groupBy("hf_bucket").applyInPandas(matrices, "hf_conv string, hf_pos long, hf_m array<double>")))
-    ready = placed.join(ends, ["hf_conv", "hf_pos"], "left").fillna({"hf_entry": 0, "hf_exit": -1})
-    found = ready.groupBy("hf_bucket").applyInPandas(decode, "conv_id string, turn long, part int, role string, text string, rendered string")
-    return found.select(F.col("conv_id").cast(rows.schema[conv_col].dataType).alias(conv_col), F.col("turn").alias(turn_col), "part", "role", "text", "rendered")
+    ends = solve(materialise(parts.join(long, "hf_conv", "left_semi").groupBy("hf_bucket").applyInPandas(matrices, "hf_conv string, hf_pos long, hf_m array<double>")))
+    ready = parts.join(bounded(materialise(ends)), ["hf_conv", "hf_pos"], "left").fillna({"hf_entry": 0, "hf_exit": -1})
+    found = materialise(ready.groupBy("hf_bucket").applyInPandas(decode, "hf_id string, hf_conv string, hf_pos long, hf_at long, hf_no long, hf_role string, hf_text string"))
+    begun = found.join(long, "hf_conv", "left_semi").groupBy("hf_conv", "hf_pos").agg(F.max("hf_no").alias("n"))
+    earlier = Window.partitionBy("hf_conv").orderBy("hf_pos").rowsBetween(Window.unboundedPreceding, -1)
+    begun = materialise(begun.select("hf_conv", "hf_pos", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("hf_begun")))
+    numbered = found.join(long, "hf_conv", "left_semi").join(bounded(begun), ["hf_conv", "hf_pos"]).withColumn("hf_no", F.col("hf_no") + F.col("hf_begun"))
+    whole = numbered.groupBy("hf_id", "hf_conv", "hf_no").agg(F.sort_array(F.collect_list(F.struct("hf_at", "hf_role", "hf_text"))).alias("p"))
+    whole = whole.select("hf_id", "hf_no", F.get("p", F.lit(0))["hf_at"].alias("hf_at"), F.get("p", F.lit(0))["hf_role"].alias("hf_role"), F.array_join(F.transform("p", lambda x: x["hf_text"]), "\n").alias("hf_text"))
+    turns = found.join(long, "hf_conv", "left_anti").select(*whole.columns).unionByName(whole)
+    rendered = F.concat(F.lit("<|"), F.col("hf_role"), F.lit("|>\n"), F.col("hf_text"), F.lit("\n<|end|>"))
+    return turns.select(F.col("hf_id").cast(rows.schema[conv_col].dataType).alias(conv_col), (F.col("hf_no") - 1).alias("turn_no"), F.col("hf_at").alias("first_line"), F.col("hf_role").alias("role"), F.col("hf_text").alias("text"), rendered.alias("rendered"))

@@ -37,11 +37,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def transcripts(turns: DataFrame) -> DataFrame:
+    """The turns as lines of transcripts whose speakers are partly lost: of the markers 15 % are missing, 20 % name nobody.
+
+    `held_out` marks the conversations, a quarter by crc32, from which nothing is learned.
+    """
+    fate = F.pmod(F.xxhash64(F.lit("marker"), "conv_id", "turn"), F.lit(20))
+    marker = F.when(fate < 3, "").when(fate < 5, "Speaker: ").when(fate < 7, ">> ").otherwise(F.concat(F.initcap("role"), F.lit(": ")))
+    text = F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit("")))
+    return turns.select("conv_id", "turn", "role", text.alias("text"), language_id.held_out(F.col("conv_id")).alias("held_out"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts as exports write them, a marker before each message whose speaker is known, parsed and rendered."""
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    marked = F.when(F.col("role").isNull(), F.col("text")).otherwise(F.concat(F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit(""))))
-    return chat_format.format_chats(turns.withColumn("text", marked), F.lower("role"))
+    """Transcripts with lost markers, parsed and rendered; the model learns from the conversations that are not held out."""
+    turns = transcripts(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    found = chat_format.format_chats(turns, F.when(~F.col("held_out"), F.lower("role")))
+    return found.withColumn("held_out", language_id.held_out(F.col("conv_id")))
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
