@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from helixframe.llm import chat_format, html_extract, jaccard_join, language_id, license_scan, mixing, oracles, quality, sentencepiece_codec, topk_search, url_filter
 from helixframe.llm._shared import table
 
@@ -81,7 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op4_jaccard_join": oracles.OP4, "op8_top_k": oracles.OP8, "op9_mix_sources": oracles.OP9, "op10_quality_rules": oracles.OP10}
