@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm._shared import no_clash
+from helixframe.llm._shared import by_bytes, give_back, no_clash
 
 BITS = 13
 DIMS = 1 << BITS
 LENGTHS = (1, 2, 3, 4)
-#: Documents and bytes that one matrix product takes at a time.
-BATCH_DOCS, BATCH_BYTES = 256, 1 << 20
+#: Documents and bytes that one matrix product takes at a time, and bytes of text that a task reads at a time.
+BATCH_DOCS, BATCH_BYTES, SLICE_BYTES = 256, 1 << 20, 4 << 20
 #: Landmarks in all, where the languages are many, and languages whose counts are broadcast.
 LANDMARKS, FEW = 2048, 10_000
 
@@ -151,10 +151,12 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
     def score(parts):
         import pyarrow as pa
 
-        for batch in parts:
-            langs, scores = predict(batch.column("hf_text").to_pylist(), shared.value)
-            columns = [batch.column(f.name) for f in kept] + [batch.column("hf_held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["held_out", "lang_pred", "score"])
+        for whole in parts:
+            for batch in by_bytes(whole, "hf_text", SLICE_BYTES):
+                langs, scores = predict(batch.column("hf_text").to_pylist(), shared.value)
+                columns = [batch.column(f.name) for f in kept] + [batch.column("hf_held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["held_out", "lang_pred", "score"])
+        give_back()
 
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
