@@ -94,7 +94,10 @@ def cut(df: DataFrame, lead: str, trail: str) -> DataFrame:
 
 def clean(df: DataFrame, options: Cleaning) -> DataFrame:
     """The trimmed records with `fate` (kept or dropped_...) and trimmed_gaps, _adapter, _quality, _ambiguous_ends flags."""
-    if "quality" not in df.columns:
+    if "quality" in df.columns:  # trimming cuts both alike, so what holds for the input holds for the result
+        even = F.coalesce(F.size("quality") <= 0, F.lit(True)) | (F.size("quality") == F.char_length("sequence"))
+        df = df.where(F.assert_true(even, F.concat(F.lit("a record has qualities and letters in different number: "), "name")).isNull())
+    else:
         df = df.withColumn("quality", F.lit(None).cast("array<int>"))
     flags = dict.fromkeys(("trimmed_gaps", "trimmed_adapter", "trimmed_quality", "trimmed_ambiguous_ends"), F.lit(False))
     df = df.withColumns(flags)

@@ -55,6 +55,14 @@ def crosstab(df: DataFrame, specs: Sequence[str], names: Sequence[str] | None =
     return df.groupBy(*[axis(df, s).alias(n) for s, n in zip(specs, names, strict=True)]).agg(F.count("*").alias("count")).orderBy(*[F.col(f"`{n}`") for n in names])
 
 
+def status(df: DataFrame) -> DataFrame:
+    """`what`, `name`, `n`: the total, records by type in the types' order, then tags, the most frequent first, ties by first record."""
+    total = df.agg(F.count("*").alias("n")).select(F.lit("total").alias("what"), F.lit(None).cast("string").alias("name"), "n", F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
+    types = df.groupBy("seq_type").agg(F.count("*").alias("n")).select(F.lit("type"), "seq_type", "n", F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    tags = df.select("ord", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.min("ord").alias("first")).select(F.lit("tag"), "tag", "n", F.lit(2), -F.col("n"), "first")
+    return total.union(types).union(tags).orderBy("a", "b", "c", "name").select("what", "name", "n")
+
+
 def type_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("seq_type").agg(F.count("*").alias("n"))
 
@@ -65,5 +73,12 @@ def tag_counts(df: DataFrame) -> DataFrame:
 
 def flat_rows(df: DataFrame) -> DataFrame:
     """The table form for export: no sequences, tags and lists joined by semicolons, metadata in columns of their own."""
-    meta = [F.col(f"meta.{f.name}").cast("string" if not isinstance(f.dataType, T.ArrayType) else f.dataType).alias(f"meta_{f.name}") for f in df.schema["meta"].dataType.fields]
+    def cell(f: T.StructField) -> Column:
+        value = F.col(f"meta.{f.name}")
+        if isinstance(f.dataType, T.ArrayType):
+            plain = not isinstance(f.dataType.elementType, (T.StructType, T.ArrayType, T.MapType))
+            return F.array_join(F.transform(value, lambda x: x.cast("string") if plain else F.to_json(x)), ";")
+        return F.to_json(value) if isinstance(f.dataType, (T.StructType, T.MapType)) else value.cast("string")
+
+    meta = [cell(f).alias(f"meta_{f.name}") for f in df.schema["meta"].dataType.fields]
     return df.select("seq_id", "name", "seq_type", S.length(F.col("sequence")).alias("length"), "description", F.array_join(F.array_sort("tags"), ";").alias("tags"), *meta)

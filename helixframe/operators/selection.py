@@ -154,3 +154,49 @@ def resolve_hits(hits: DataFrame, collection: DataFrame, first: bool = True) ->
     pick = F.min_by if first else F.max_by
     known = collection.groupBy("name").agg(pick("seq_id", "ord").alias("seq_id"))
     return hits.join(known, hits["hit_id"] == known["name"], "left").select("seq_id", "hit_id", "score")
+
+
+def by_exact_name(name: str) -> Column:
+    return F.col("name") == name
+
+
+def get(df: DataFrame, seq_id: str) -> DataFrame:
+    """The record of an id; an id of none is an error."""
+    own = df.where(F.col("seq_id") == seq_id)
+    if not own.limit(1).count():
+        raise ValueError(f"no record has the id {seq_id!r}")
+    return own
+
+
+def contains(df: DataFrame, seq_id: str) -> bool:
+    return bool(df.where(F.col("seq_id") == seq_id).limit(1).count())
+
+
+def annotation_targets(df: DataFrame, tag: str | None = None, seq_type: str | None = None) -> DataFrame:
+    """The records that an annotation works on; a selection of none is an error."""
+    chosen = Selection(tag=tag, seq_type=seq_type).apply(df)
+    if not chosen.limit(1).count():
+        raise ValueError("no record matches the selection")
+    return chosen
+
+
+def select_alignment(rows: DataFrame, collection: DataFrame, chosen: Selection) -> DataFrame:
+    """Alignment rows that pass a selection on their records' tags and metadata; without options all rows stay."""
+    if chosen == Selection():
+        return rows
+    enriched = enrich_by_name(rows, collection)
+    return chosen.apply(enriched).select(*rows.columns)
+
+
+def flat_hits(hits: DataFrame) -> DataFrame:
+    """hit_id, score and whether a record of the collection is meant, of resolved hits."""
+    return hits.select("hit_id", "score", F.col("seq_id").isNotNull().alias("in_project"))
+
+
+def domains_to_records(hits: DataFrame, collection: DataFrame) -> DataFrame:
+    """Records with `pfam_domains`, their domain hits by place, and a tag domain:ACCESSION for each; records without hits keep an empty list."""
+    own = hits.groupBy(F.col("query").alias("name")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "domain", "accession", "evalue", "score"))).alias("pfam_domains"))
+    joined = collection.join(own, "name", "left")
+    none = F.filter(F.array(F.struct(*[F.lit(None).cast(k).alias(n) for n, k in (("start", "int"), ("end", "int"), ("domain", "string"), ("accession", "string"), ("evalue", "double"), ("score", "double"))])), lambda x: F.lit(False))
+    tags = F.array_sort(F.array_union("tags", F.coalesce(F.transform("pfam_domains", lambda d: F.concat(F.lit("domain:"), d["accession"])), F.array().cast("array<string>"))))
+    return joined.select(*[tags.alias("tags") if c == "tags" else F.col(c) for c in collection.columns], F.coalesce("pfam_domains", none).alias("pfam_domains"))

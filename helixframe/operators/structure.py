@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
@@ -26,6 +26,31 @@ def parse_pdb(lines: DataFrame) -> DataFrame:
     )
 
 
+def parse_cif(chunks: DataFrame) -> DataFrame:
+    """The atom table of mmCIF text (`value`, one row a file or data block): the rows of its atom loop, by the loop's own column names."""
+    loop = F.regexp_extract("value", r"(?s)((?:_atom_site\.\S+\s*\n)+(?:(?:ATOM|HETATM)[^\n]*\n?)+)", 1)
+    names = F.regexp_extract_all("loop", F.lit(r"_atom_site\.(\S+)"), F.lit(1))
+    rows = chunks.select(loop.alias("loop")).select(names.alias("names"), F.posexplode(F.regexp_extract_all("loop", F.lit(r"(?m)^((?:ATOM|HETATM).*)$"), F.lit(1))).alias("ord", "line"))
+    cells = F.transform(F.regexp_extract_all("line", F.lit(r"('[^']*'|\"[^\"]*\"|\S+)"), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
+    made = rows.select("ord", F.map_from_arrays("names", F.slice(cells, 1, F.size("names"))).alias("c"))
+    text = lambda *keys: F.coalesce(*[F.when(~F.try_element_at("c", F.lit(k)).isin("?", "."), F.try_element_at("c", F.lit(k))) for k in keys])
+    return made.select(
+        (F.coalesce(text("pdbx_PDB_model_num").try_cast("int"), F.lit(1)) - 1).alias("model"), text("group_PDB").alias("record"), text("id").try_cast("int").alias("serial"), text("auth_atom_id", "label_atom_id").alias("atom"), text("auth_comp_id", "label_comp_id").alias("resname"),
+        text("auth_asym_id", "label_asym_id").alias("chain"), text("auth_seq_id", "label_seq_id").try_cast("int").alias("resseq"), F.coalesce(text("pdbx_PDB_ins_code"), F.lit("")).alias("icode"), text("Cartn_x").try_cast("double").alias("x"), text("Cartn_y").try_cast("double").alias("y"), text("Cartn_z").try_cast("double").alias("z"),
+        text("B_iso_or_equiv").try_cast("double").alias("bfactor"), text("type_symbol").alias("element"), F.col("ord").cast("long").alias("ord"),
+    )
+
+
+def read_structure(spark: SparkSession, path: str) -> DataFrame:
+    """The atoms of a .pdb, .ent, .cif or .mmcif file; another suffix is an error."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix in ("cif", "mmcif"):
+        return parse_cif(spark.read.option("wholetext", True).text(path))
+    if suffix not in ("pdb", "ent"):
+        raise ValueError(f"cannot tell the format of {path!r}; use .pdb, .ent, .cif or .mmcif")
+    return parse_pdb(spark.read.text(path).withColumn("n", F.monotonically_increasing_id()))
+
+
 def chain_residues(atoms: DataFrame, model: int = 0) -> DataFrame:
     """Standard residues that have a CA atom, in order, with its place."""
     own = atoms.where((F.col("model") == model) & (F.col("record") == "ATOM") & (F.col("atom") == "CA"))

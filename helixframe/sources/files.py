@@ -1,7 +1,8 @@
 """Readers and writers of sequence files, as transformations of Spark's text source.
 
 Multi-line records are split by the text source itself (`lineSep`), so files are read in parallel, compressed ones too,
-and every record knows its file. `ord` orders records by file, then by place in the file.
+and every record knows its file. `ord` orders records by file, then by place in the file: the pieces of each block that a
+task reads are numbered in the order in which it reads them, and blocks by the sums of those before them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
+from helixframe.operators.profiles import check_aligned
 
 FORMATS = {"fasta": "fasta", "fa": "fasta", "fna": "fasta", "faa": "fasta", "fastq": "fastq", "fq": "fastq", "genbank": "genbank", "gb": "genbank", "gbk": "genbank", "embl": "embl"}
+#: Reads that are numbered in one group.
+LOT = 1 << 20
 SCHEMA = ("ord", "seq_id", "name", "sequence", "seq_type", "description", "tags", "quality", "meta")
 
 
@@ -27,18 +31,33 @@ def guess_format(path: str) -> str:
     return FORMATS[parts[-1]]
 
 
-def _chunks(spark: SparkSession, paths: Sequence[str], separator: str, recursive: bool) -> DataFrame:
-    """(source_file, at, value): the pieces of files between separators."""
-    reader = spark.read.option("lineSep", separator).option("recursiveFileLookup", str(recursive).lower())
+def _numbered(pieces: DataFrame, number: str) -> DataFrame:
+    """`pieces(source_file, block, mono)` with their places: in their file for `in_file`, over all files in the files' order for `overall`.
+
+    Only the counts of blocks, which are as many as the tasks that read the files, are added up in one place.
+    """
+    inside = F.row_number().over(Window.partitionBy("source_file", "block").orderBy("mono")) - 1
+    counts = pieces.groupBy("source_file", "block").agg(F.count("*").alias("hf_n"))
+    before = Window.partitionBy("source_file") if number == "in_file" else Window.partitionBy(F.lit(0))
+    starts = counts.select("source_file", "block", (F.sum("hf_n").over(before.orderBy("source_file", "block")) - F.col("hf_n")).alias("hf_start"))
+    return pieces.withColumn("hf_inside", inside).join(starts, ["source_file", "block"]).withColumn("at", F.col("hf_start") + F.col("hf_inside")).drop("hf_inside", "hf_start", "mono", "block")
+
+
+def _pieces(spark: SparkSession, paths: Sequence[str], separator: str | None, recursive: bool) -> DataFrame:
+    """(source_file, block, mono, value): what stands between separators, or lines, with the block of the file that it begins in."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    reader = reader.option("lineSep", separator) if separator else reader
     text = reader.text(list(paths)).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
-    return text.where(F.rlike("value", F.lit(r"\S"))).withColumn("at", F.monotonically_increasing_id())
+    return text.withColumn("mono", F.monotonically_increasing_id())
+
+
+def _chunks(spark: SparkSession, paths: Sequence[str], separator: str, recursive: bool) -> DataFrame:
+    return _pieces(spark, paths, separator, recursive).where(F.rlike("value", F.lit(r"\S")))
 
 
 def _records(parsed: DataFrame, fmt: str, seq_type: str | None) -> DataFrame:
-    """Records from (source_file, at, name, description, sequence, quality)."""
-    sequence = F.upper(F.regexp_replace("sequence", r"\s", ""))
-    order = F.row_number().over(Window.orderBy("source_file", "at")) - 1
-    typed = parsed.withColumn("sequence", sequence).withColumn("ord", order.cast("long"))
+    """Records from (source_file, block, mono, name, description, sequence, quality)."""
+    typed = _numbered(parsed, "overall").withColumnRenamed("at", "ord").withColumn("sequence", F.upper(F.regexp_replace("sequence", r"\s", "")))
     kind = F.lit(seq_type) if seq_type else S.guess_type(F.col("sequence"))
     identity = F.substring(F.sha2(F.concat_ws("|", "source_file", "ord", "name"), 256), 1, 12)
     return typed.select("ord", identity.alias("seq_id"), "name", "sequence", kind.alias("seq_type"), "description", F.array().cast("array<string>").alias("tags"), "quality", F.struct("source_file", F.lit(fmt).alias("source_format")).alias("meta"))
@@ -53,19 +72,20 @@ def parse_fasta(chunk: Column) -> tuple[Column, Column, Column]:
 
 def read_fasta(spark: SparkSession, paths: Sequence[str], seq_type: str | None = None, recursive: bool = False) -> DataFrame:
     name, description, sequence = parse_fasta(F.col("value"))
-    parsed = _chunks(spark, paths, "\n>", recursive).select("source_file", "at", name.alias("name"), description.alias("description"), sequence.alias("sequence"), F.lit(None).cast("array<int>").alias("quality"))
+    parsed = _chunks(spark, paths, "\n>", recursive).select("source_file", "block", "mono", name.alias("name"), description.alias("description"), sequence.alias("sequence"), F.lit(None).cast("array<int>").alias("quality"))
     return _records(parsed, "fasta", seq_type)
 
 
 def read_fastq(spark: SparkSession, paths: Sequence[str], seq_type: str | None = None, recursive: bool = False) -> DataFrame:
     """Reads of four lines each, with Phred+33 qualities."""
-    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(list(paths)).select("value", F.col("_metadata.file_path").alias("source_file")).withColumn("at", F.monotonically_increasing_id())
-    number = F.row_number().over(Window.partitionBy("source_file").orderBy("at")) - 1
-    grouped = lines.withColumn("no", number).groupBy("source_file", F.floor(F.col("no") / 4).alias("at"))
-    four = grouped.agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda x: x["value"]).alias("l"))
-    header = F.regexp_replace(F.get("l", F.lit(0)), "^@", "")
-    quality = F.transform(S.symbols(F.get("l", F.lit(3))), lambda c: F.ascii(c) - 33)
-    parsed = four.select("source_file", "at", F.regexp_extract(header, r"^(\S*)", 1).alias("name"), header.alias("description"), F.get("l", F.lit(1)).alias("sequence"), quality.alias("quality"))
+    lines = _numbered(_pieces(spark, paths, None, recursive), "in_file").withColumn("no", (F.col("at") % 4).cast("int"))
+    part = lambda k: F.max(F.when(F.col("no") == k, F.col("value")))
+    four = lines.groupBy("source_file", F.floor(F.col("at") / 4).alias("mono")).agg(part(0).alias("header"), part(1).alias("sequence"), part(3).alias("quality"))
+    header = F.regexp_replace("header", "^@", "")
+    quality = F.transform(S.symbols(F.col("quality")), lambda c: F.ascii(c) - 33)
+    # reads of one file are numbered in lots, so that no task orders a whole file
+    lot = F.floor(F.col("mono") / LOT)
+    parsed = four.where("header <> ''").select("source_file", lot.alias("block"), "mono", F.regexp_extract(header, r"^(\S*)", 1).alias("name"), header.alias("description"), "sequence", quality.alias("quality"))
     return _records(parsed, "fastq", seq_type)
 
 
@@ -83,25 +103,61 @@ def read_flat(spark: SparkSession, paths: Sequence[str], fmt: str, seq_type: str
         description = lines("DE")
         body = F.regexp_extract(value, r"(?m)^SQ\s[^\n]*\n([\s\S]*)", 1)
     chunks = _chunks(spark, paths, "\n//", recursive).where(F.rlike("value", F.lit(r"(?m)^(LOCUS|ID)\s")))
-    parsed = chunks.select("source_file", "at", name.alias("name"), description.alias("description"), F.regexp_replace(body, r"[^A-Za-z*-]", "").alias("sequence"), F.lit(None).cast("array<int>").alias("quality"))
+    parsed = chunks.select("source_file", "block", "mono", name.alias("name"), description.alias("description"), F.regexp_replace(body, r"[^A-Za-z*-]", "").alias("sequence"), F.lit(None).cast("array<int>").alias("quality"))
     return _records(parsed, fmt, seq_type)
 
 
+def files_under(spark: SparkSession, path: str, recursive: bool = False) -> list[str] | None:
+    """The files of a folder by name, hidden ones left out, those of its folders too if `recursive`; None where the path is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place) or not system.getFileStatus(place).isDirectory():
+        return None
+    found = []
+    for status in system.listStatus(place):
+        name = status.getPath().getName()
+        if name.startswith((".", "_")):
+            continue
+        if status.isDirectory():
+            found += files_under(spark, status.getPath().toString(), True) or [] if recursive else []
+        else:
+            found.append(status.getPath().toString())
+    return sorted(found)
+
+
 def read_collection(spark: SparkSession, paths: Sequence[str], fmt: str | None = None, seq_type: str | None = None, recursive: bool = False) -> DataFrame:
-    """One collection of files of any formats, in the order of the paths given."""
+    """One collection of files of any formats, in the order of the formats' first files.
+
+    A folder stands for its files; where no format is named, those of it that have no known suffix are skipped.
+    """
     by_format: dict[str, list[str]] = {}
     for p in paths:
-        by_format.setdefault(fmt or guess_format(p), []).append(p)
+        inside = files_under(spark, p, recursive)
+        for own in [p] if inside is None else inside:
+            try:
+                by_format.setdefault(fmt or guess_format(own), []).append(own)
+            except ValueError:
+                if inside is None:
+                    raise
+    if not by_format:
+        raise ValueError(f"no sequence files in {', '.join(paths)}")
     parts = []
     for kind, own in by_format.items():
         read = {"fasta": read_fasta, "fastq": read_fastq}.get(kind)
-        parts.append(read(spark, own, seq_type, recursive) if read else read_flat(spark, own, kind, seq_type, recursive))
+        parts.append(read(spark, own, seq_type) if read else read_flat(spark, own, kind, seq_type))
     out = parts[0]
     for p in parts[1:]:
         out = append(out, p)
     return out
 
 
+def read_alignment(spark: SparkSession, path: str) -> DataFrame:
+    """A FASTA file of rows of one length; types are told by the letters without gaps."""
+    rows = read_fasta(spark, [path])
+    check_aligned(rows)
+    return rows
+
+
 def append(collection: DataFrame, more: DataFrame) -> DataFrame:
     """Both collections, the second after the first; an id in both is an error when rows are read."""
     last = F.coalesce(F.max("ord"), F.lit(-1))
@@ -160,3 +216,17 @@ def parse_mmseqs_clusters(lines: DataFrame) -> DataFrame:
     """(cluster, name) of tab-separated representative, member lines."""
     cells = F.split("value", "\t")
     return lines.select(F.get(cells, F.lit(0)).alias("cluster"), F.get(cells, F.lit(1)).alias("name")).where("name IS NOT NULL")
+
+
+def read_uniprot(spark: SparkSession, path: str) -> DataFrame:
+    """One row an entry of UniProt JSON files, one entry a line or file: accession, name, organism, genes, length, features and Pfam references."""
+    text = "STRUCT<value: STRING>"
+    schema = f"primaryAccession STRING, proteinDescription STRUCT<recommendedName: STRUCT<fullName: {text}>>, organism STRUCT<scientificName: STRING>, genes ARRAY<STRUCT<geneName: {text}>>, sequence STRUCT<value: STRING, length: INT>, features ARRAY<STRUCT<type: STRING, description: STRING>>, uniProtKBCrossReferences ARRAY<STRUCT<database: STRING, id: STRING>>"
+    entries = spark.read.schema(schema).option("multiLine", True).json(path)
+    pfam = F.transform(F.filter("uniProtKBCrossReferences", lambda x: x["database"] == "Pfam"), lambda x: x["id"])
+    none = F.array().cast("array<string>")
+    return entries.select(
+        F.col("primaryAccession").alias("accession"), F.col("proteinDescription.recommendedName.fullName.value").alias("protein_name"), F.col("organism.scientificName").alias("organism"),
+        F.coalesce(F.array_compact(F.transform("genes", lambda g: g["geneName"]["value"])), none).alias("genes"), F.coalesce("sequence.length", F.char_length("sequence.value")).alias("length"),
+        F.coalesce(F.transform("features", lambda f: f["type"]), none).alias("features"), F.coalesce(pfam, none).alias("pfam"),
+    )

@@ -52,6 +52,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
-    """An alignment of all whole texts: the gapped view cut into consecutive rows of one width, remainders left out."""
-    cut = F.regexp_extract_all(F.col("sequence"), F.lit(f"(.{{{width}}})"), F.lit(1))
+    """An alignment of all whole texts: the gapped view cut into consecutive rows of one width, the last one filled up with gaps."""
+    whole = F.rpad("sequence", (F.ceil(F.char_length("sequence") / width) * width).cast("int"), F.lit("-"))
+    cut = F.regexp_extract_all(whole, F.lit(f"(.{{{width}}})"), F.lit(1))
     return records(spark, sf_dir, "gapped").select("ord", "seq_id", "meta", F.posexplode(cut).alias("tile", "sequence"))

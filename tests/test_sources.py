@@ -32,6 +32,36 @@ def test_read(spark, folder):
         files.guess_format("x.txt")
 
 
+def test_folders_and_many_splits(spark, folder, tmp_path):
+    (folder / "notes.txt").write_text("no sequences")
+    (folder / ".hidden.fasta").write_text(">h\nA\n")
+    inner = folder / "inner"
+    inner.mkdir()
+    (inner / "x.fa").write_text(">x\nAC\n")
+    assert files.read_collection(spark, [str(folder)]).count() == 8 and files.read_collection(spark, [str(folder)], recursive=True).count() == 9
+    with pytest.raises(ValueError):
+        files.read_collection(spark, [f"{folder}/notes.txt"])
+    big = tmp_path / "big"
+    big.mkdir()
+    names = [f"r{i}" for i in range(3000)]
+    (big / "a.fasta").write_text("".join(f">{n}\nACGT{'ACGT' * (i % 9)}\n" for i, n in enumerate(names)))
+    (big / "b.fastq").write_text("".join(f"@{n}\nAC\n+\nII\n" for n in names))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for path, read in (("a.fasta", files.read_fasta), ("b.fastq", files.read_fastq)):
+            df = read(spark, [f"{big}/{path}"])
+            assert [(r["ord"], r["name"]) for r in df.orderBy("ord").collect()] == list(enumerate(names))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_uniprot(spark, tmp_path):
+    (tmp_path / "u.json").write_text('{"primaryAccession": "P1", "proteinDescription": {"recommendedName": {"fullName": {"value": "Thing"}}}, "organism": {"scientificName": "X y"}, "genes": [{"geneName": {"value": "g1"}}], "sequence": {"value": "MKV", "length": 3}, "features": [{"type": "Domain", "description": "d"}], "uniProtKBCrossReferences": [{"database": "Pfam", "id": "PF1"}, {"database": "PDB", "id": "1X"}]}')
+    assert files.read_uniprot(spark, f"{tmp_path}/u.json").first()[:] == ("P1", "Thing", "X y", ["g1"], 3, ["Domain"], ["PF1"])
+
+
 def test_append_rejects_known_ids(spark, folder):
     df = files.read_fasta(spark, [f"{folder}/a.fasta"])
     with pytest.raises(Exception, match="id given twice"):
@@ -54,14 +84,17 @@ def lines(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "n long, value string")
 
 
-def test_reports_of_other_tools(spark):
+def test_reports_of_other_tools(spark, tmp_path):
     assert [tuple(r) for r in files.parse_blast(lines(spark, "hit1\t200\t92.50")).collect()] == [("hit1", 0.925)]
     assert [tuple(r) for r in files.parse_hits(lines(spark, "t\t50")).collect()] == [("t", 0.5)]
     row = "Pkinase PF00069.20 260 q1 - 300 1e-50 170.1 0.0 1 1 2e-53 3e-50 169.8 0.0 1 260 10 128 10 128 0.98 kinase"
     hit = files.parse_domtblout(lines(spark, "# comment", row)).collect()
     assert [(h["query"], h["accession"], h["start"], h["end"]) for h in hit] == [("q1", "PF00069.20", 10, 128)]
-    clusters = clustering.parse_clstr(lines(spark, ">Cluster 0", "0\t10aa, >a... *", "1\t9aa, >b... at 90%", ">Cluster 1", "0\t5aa, >c... at 1%"))
-    assert sorted(tuple(r) for r in clusters.collect()) == [(0, "a", True), (0, "b", False), (1, "c", True)]
+    (tmp_path / "r.clstr").write_text(">Cluster 0\n0\t10aa, >a... *\n1\t9aa, >b... at 90%\n>Cluster 1\n0\t5aa, >c... at 1%\n1\t5aa, >d... at 1%\n")
+    clusters = clustering.read_clstr(spark, f"{tmp_path}/r.clstr")
+    assert sorted(tuple(r) for r in clusters.collect()) == [(0, "a", True), (0, "b", False), (1, "c", True), (1, "d", False)]
+    known = spark.createDataFrame([(0, "i0", "a"), (1, "i1", "a"), (2, "i2", "c")], "ord long, seq_id string, name string")
+    assert {(r["name"], r["seq_id"]) for r in clustering.members_by_name(clusters, known).collect()} == {("a", "i1"), ("c", "i2")}
     assert files.parse_mmseqs_clusters(lines(spark, "r\tm")).first()["name"] == "m"
 
 
@@ -75,6 +108,23 @@ def test_hits_and_names(spark):
     assert {r["name"]: r["tags"] for r in rows.collect()} == {"x": ["t"], "q": []}
 
 
+def test_lookups_and_domains(spark):
+    known = spark.createDataFrame([(0, "i0", "x", ["t"], "dna"), (1, "i1", "y", [], "dna")], "ord long, seq_id string, name string, tags array<string>, seq_type string").withColumn("meta", F.struct(F.lit(1).alias("n")))
+    assert selection.get(known, "i1").first()["name"] == "y" and selection.contains(known, "i0") and not selection.contains(known, "i9")
+    for ask in (lambda: selection.get(known, "i9"), lambda: selection.annotation_targets(known, tag="none")):
+        with pytest.raises(ValueError):
+            ask()
+    assert known.where(selection.by_exact_name("x")).count() == selection.annotation_targets(known, tag="t").count() == 1
+    hits = spark.createDataFrame([("x", "Kin", "PF1.2", 1e-9, 50.0, 3, 40), ("x", "Lig", "PF2.1", 1e-5, 20.0, 1, 2)], "query string, domain string, accession string, evalue double, score double, start int, end int")
+    got = {r["name"]: (r["tags"], [d["domain"] for d in r["pfam_domains"]]) for r in selection.domains_to_records(hits, known).collect()}
+    assert got == {"x": (["domain:PF1.2", "domain:PF2.1", "t"], ["Lig", "Kin"]), "y": ([], [])}
+    rows = spark.createDataFrame([("x", "AC"), ("q", "AG")], "name string, sequence string")
+    assert [r["name"] for r in selection.select_alignment(rows, known, selection.Selection(tag="t")).collect()] == ["x"]
+    assert selection.select_alignment(rows, known, selection.Selection()) is rows
+    resolved = selection.resolve_hits(spark.createDataFrame([("x", 1.0), ("z", 0.5)], "hit_id string, score double"), known)
+    assert {(r["hit_id"], r["in_project"]) for r in selection.flat_hits(resolved).collect()} == {("x", True), ("z", False)}
+
+
 def test_stream(spark, folder, tmp_path):
     query = counts_by_type(read_fasta_stream(spark, f"{folder}/*.fasta")).writeStream.outputMode("complete").format("memory").queryName("fasta_counts").start()
     query.processAllAvailable()
