@@ -1,13 +1,16 @@
 """Features of sequences as array Columns: reading frames, introns, promoters, hydropathy, regions and motifs.
 
 Scans that regular expressions and array functions can express are built-in Columns; window profiles of proteins are
-Arrow functions over numpy, each a short helper on one sequence.
+Arrow functions that lay the sequences of a batch end to end and scan them together with numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +38,21 @@ def places(items: Column, wanted) -> Column:
 
 
 def frame_orfs(sequence: Column, strand: int, frame: int, least: int) -> Column:
-    """Open frames of one strand and frame: between two stops, the first ATG opens and the second stop closes."""
+    """Open frames of one strand and frame: the first ATG opens, the next stop closes.
+
+    Codons are written as letters (M opens, * stops), where open frames are the matches of one pattern: their first
+    letters are marked to give the places, and the texts give the lengths.
+    """
 
     def found(c: Column) -> Column:
-        return S.let(places(c, lambda x: x == "ATG"), lambda starts: S.let(places(c, lambda x: x.isin(*S.STOPS)), lambda stops: F.filter(F.transform(stops, lambda s, j: hit(c, starts, stops, s, j)), lambda h: (h["end"] > 0) & (h["protein_length"] >= least))))
+        letters = F.array_join(F.transform(c, lambda x: F.when(x == "ATG", "M").when(x.isin(*S.STOPS), "*").otherwise(".")), "")
+        return S.let(letters, lambda t: F.filter(F.zip_with(F.regexp_extract_all(t, F.lit(r"(M[^*]*)\*"), F.lit(1)), places(S.symbols(F.regexp_replace(t, r"M([^*]*\*)", "S$1")), lambda x: x == "S"), lambda text, first: hit(c, F.char_length(text), first)), lambda h: h["protein_length"] >= least))
 
-    def hit(c: Column, starts: Column, stops: Column, s: Column, j: Column) -> Column:
-        earlier = F.coalesce(F.get(stops, j - 1), F.lit(-1))
-        first = F.get(F.filter(starts, lambda a: (a > earlier) & (a < s)), F.lit(0))
-        whole = lambda a: F.array_join(F.transform(F.slice(c, a + 1, s - a), lambda x: S.lookup(S.CODONS, x, "X")), "")
+    def hit(c: Column, size: Column, first: Column) -> Column:
+        whole = F.array_join(F.transform(F.slice(c, first + 1, size), lambda x: S.lookup(S.CODONS, x, "X")), "")
         return F.struct(
-            (first * 3 + frame).cast("long").alias("start"), F.coalesce(s * 3 + 3 + frame, F.lit(0)).cast("long").alias("end"), F.lit(strand).alias("strand"), F.lit(frame).alias("frame"),
-            F.coalesce(s - first, F.lit(-1)).cast("long").alias("protein_length"), F.when(s - first >= least, whole(first)).alias("protein"),
+            (first * 3 + frame).cast("long").alias("start"), ((first + size) * 3 + 3 + frame).cast("long").alias("end"), F.lit(strand).alias("strand"), F.lit(frame).alias("frame"),
+            size.cast("long").alias("protein_length"), F.when(size >= least, whole).alias("protein"),
         )
 
     return S.let(S.codons(F.substring(sequence, F.lit(frame + 1), F.char_length(sequence))), found)
@@ -103,11 +109,9 @@ def tata_boxes(sequence: Column, search_window: int = 100) -> Column:
 
 
 def motif_starts(sequence: Column, pattern: str) -> Column:
-    """Starts of all matches of a pattern, overlapping ones too."""
-    parts = F.split(F.regexp_replace(sequence, f"(?={pattern})", MARK), MARK)
-    step = lambda s, p: F.struct((s["at"] + F.char_length(p)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.char_length(p))).alias("out"))
-    ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
-    return S.let(ends, lambda e: F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))))
+    """Starts of all matches of a pattern, overlapping ones too: the letters at which one begins are marked in place."""
+    marked = F.regexp_replace(sequence, f"(?={pattern}).", MARK)
+    return F.when(F.contains(marked, F.lit(MARK)), places(S.symbols(marked), lambda x: x == MARK)).otherwise(F.array().cast("array<int>"))
 
 
 def motifs(sequence: Column, ids: list[str] | None = None) -> Column:
@@ -135,98 +139,118 @@ def motif_catalogue(spark) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("pattern_id"), F.lit(n).alias("name")) for i, (n, _) in MOTIFS.items()])).alias("m")).select("m.*")
 
 
-_SCALE = np.zeros(128)
+#: Hydropathy in tenths, by letter; unknown ones count 0.
+_TENTHS = np.zeros(256, dtype=np.int64)
 for _letter, _value in HYDROPATHY.items():
-    _SCALE[ord(_letter)] = _value
-
-
-def scale(sequence: str) -> np.ndarray:
-    """Hydropathy of each residue; unknown ones count 0."""
-    codes = np.frombuffer(sequence.upper().encode("ascii", "replace"), dtype=np.uint8)
-    return _SCALE[np.minimum(codes, 127)]
-
-
-def window_means(values: np.ndarray, window: int) -> np.ndarray:
-    """Means of centred windows, cut off at the ends."""
-    half, n = window // 2, len(values)
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    low, high = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
-    return (total[high] - total[low]) / np.maximum(high - low, 1)
+    _TENTHS[ord(_letter)] = round(_value * 10)
+#: Letters of a batch that are scanned together; a longer sequence goes alone.
+SLICE = 1 << 19
+REGIONS = "array<struct<start:int,end:int,score:double>>"
 
 
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the runs of True."""
+class Row:
+    """The sequences of a batch laid end to end, upper-cased, each followed by one empty place."""
+
+    def __init__(self, texts: list[bytes]):
+        self.n = len(texts)
+        self.codes = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+        self.size = np.array([len(t) for t in texts])
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        owner = np.repeat(np.arange(self.n), self.size + 1)
+        #: For each place where its sequence begins and ends.
+        self.first, self.last = self.start[owner], (self.start + self.size)[owner]
+        self.place = np.arange(len(self.codes))
+        self.inside = self.place < self.last
+
+    def means(self, window: int) -> np.ndarray:
+        """Mean hydropathy of centred windows, cut off at the ends of a sequence."""
+        total = np.concatenate([[0], np.cumsum(_TENTHS[self.codes])])
+        low, high = np.maximum(self.place - window // 2, self.first), np.minimum(self.place + window // 2 + 1, self.last)
+        return (total[high] - total[low]) / (10.0 * np.maximum(high - low, 1))
+
+    def starts_window(self, window: int) -> np.ndarray:
+        """Whether a window that begins here lies in one sequence."""
+        return self.place + window <= self.last
+
+    def regions(self, begin: np.ndarray, end: np.ndarray, score: np.ndarray) -> pa.Array:
+        """Regions as lists of structs, one list a sequence."""
+        owner = np.searchsorted(self.start, begin, "right") - 1
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=self.n))])
+        own = [pa.array((x - self.start[owner]).astype(np.int32)) for x in (begin, end)]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([*own, pa.array(score.astype(np.float64))], ["start", "end", "score"]))
+
+
+def rows_of(texts: pa.Array) -> Iterator[Row]:
+    """The batch in slices of about `SLICE` letters; null is empty, and a letter outside ASCII is a question mark."""
+    plain = pc.replace_substring_regex(pc.ascii_upper(pc.fill_null(texts, "")), r"[^\x00-\x7F]", "?").cast(pa.binary()).to_pylist()
+    held, total = [], 0
+    for t in plain:
+        if held and total + len(t) > SLICE:
+            yield Row(held)
+            held, total = [], 0
+        held.append(t)
+        total += len(t) + 1
+    if held:
+        yield Row(held)
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-
-
-def tm_regions_of(sequence: str, window: int, threshold: float, least: int = 6) -> list[dict]:
-    profile = window_means(scale(sequence), window)
-    return [{"start": a, "end": b, "score": float(profile[a:b].mean())} for a, b in runs(profile >= threshold) if b - a >= least]
-
-
-def coiled_coils_of(sequence: str, window: int, threshold: float) -> list[dict]:
-    values, n = scale(sequence), len(sequence)
-    if n < window:
-        return []
-    places = np.arange(window)
-    best = np.full(n - window + 1, -np.inf)
-    for phase in range(7):
-        core = np.isin((places - phase) % 7, (0, 3))
-        weights = np.where(core, 1 / core.sum(), -1 / (~core).sum())
-        best = np.maximum(best, np.correlate(values, weights, "valid"))
-    scores = np.zeros(n)
-    scores[window // 2 : window // 2 + len(best)] = np.maximum(best, 0.0)
-    return [{"start": a, "end": b, "score": float(scores[a:b].max())} for a, b in runs(scores >= threshold)]
-
-
-def entropy(codes: np.ndarray) -> float:
-    share = np.unique(codes, return_counts=True)[1] / len(codes)
-    return float(-(share * np.log2(share)).sum())
-
-
-def low_complexity_of(sequence: str, window: int, threshold: float) -> list[dict]:
-    codes = np.frombuffer(sequence.upper().encode("latin-1", "replace"), dtype=np.uint8)
-    n = len(codes)
-    if n < window:
-        return []
-    h = np.zeros(n - window + 1)
-    for letter in np.unique(codes):
-        total = np.concatenate([[0], np.cumsum(codes == letter)])
-        share = (total[window:] - total[:-window]) / window
-        h -= np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0.0)
-    found = [(a, n if b == len(h) else b + window - 1) for a, b in runs(h < threshold - 1e-12)]
-    return [{"start": a, "end": b, "score": entropy(codes[a:b])} for a, b in found]
-
-
-def signal_peptide_of(sequence: str, max_length: int) -> dict:
-    seq = sequence.upper()
-    positive = any(c in POSITIVE for c in seq[:5])
-    profile = window_means(scale(seq[: max_length + 5]), 7)
-    core, best, i = None, 0.0, 0
-    while i < len(profile):
-        if profile[i] < 1.5:
-            i += 1
-            continue
-        low = np.flatnonzero(profile[i:] < 1.0)
-        j = i + int(low[0]) if len(low) else len(profile)
-        if 6 <= j - i <= 20 and profile[i:j].mean() > best:
-            core, best = i, float(profile[i:j].mean())
-        i = j
-    if core is None:
-        return {"is_signal_peptide": False, "cleavage_site": None, "score": 0.0}
-    site = next((p + 3 for p in range(core + 6, min(len(seq) - 1, max_length)) if seq[p] in SMALL and p + 2 < len(seq) and seq[p + 2] in SMALL), None)
-    score = 0.3 * positive + min(best / 4, 0.4) + 0.3 * (site is not None)
-    return {"is_signal_peptide": bool(positive and best >= 1.5 and site is not None), "cleavage_site": site, "score": round(min(score, 1.0), 3)}
-
-
-REGIONS = "array<struct<start:int,end:int,score:double>>"
+    return edge[::2], edge[1::2]
+
+
+def sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums over runs that do not touch."""
+    return np.add.reduceat(values, np.stack([begin, end], axis=1).ravel())[::2] if len(begin) else np.zeros(0)
+
+
+def tm_regions_of(row: Row, window: int, threshold: float, least: int = 6) -> pa.Array:
+    profile = row.means(window)
+    begin, end = runs((profile >= threshold) & row.inside)
+    long = end - begin >= least
+    begin, end = begin[long], end[long]
+    return row.regions(begin, end, sums(profile, begin, end) / np.maximum(end - begin, 1))
+
+
+def coiled_coils_of(row: Row, window: int, threshold: float) -> pa.Array:
+    """The best of seven phases of a heptad: the mean of its core places less that of the others, written at the window's middle."""
+    values, places_ = _TENTHS[row.codes] / 10.0, np.arange(window)
+    scores = np.zeros(len(values))
+    if len(values) >= window:
+        best = np.full(len(values) - window + 1, -np.inf)
+        for phase in range(7):
+            core = np.isin((places_ - phase) % 7, (0, 3))
+            best = np.maximum(best, np.correlate(values, np.where(core, 1 / core.sum(), -1 / (~core).sum()), "valid"))
+        scores[window // 2 : window // 2 + len(best)] = np.where(row.starts_window(window)[: len(best)], np.maximum(best, 0.0), 0.0)
+    begin, end = runs((scores >= threshold) & row.inside)
+    most = np.maximum.reduceat(scores, np.stack([begin, end], axis=1).ravel())[::2] if len(begin) else np.zeros(0)
+    return row.regions(begin, end, most)
+
+
+def low_complexity_of(row: Row, window: int, threshold: float) -> pa.Array:
+    """Runs of windows of low entropy, with the entropy of all that they cover."""
+    ok = row.starts_window(window)
+    part = np.arange(window + 1) / window
+    term = part * np.log2(np.maximum(part, 1e-300))
+    h, counted = np.zeros(len(ok)), []
+    for letter in np.flatnonzero(np.bincount(row.codes)[1:]) + 1:
+        total = np.concatenate([[0], np.cumsum(row.codes == letter, dtype=np.int32)])
+        counted.append(total)
+        h[: len(h) - window + 1] -= term[total[window:] - total[:-window]] if len(h) >= window else 0.0
+    begin, last = runs(ok & (h < threshold - 1e-12))
+    end = last + window - 1
+    entropy = np.zeros(len(begin))
+    for total in counted:
+        share = (total[end] - total[begin]) / np.maximum(end - begin, 1)
+        entropy -= share * np.log2(np.maximum(share, 1e-300))
+    return row.regions(begin, end, entropy)
 
 
 def _regions(helper, *args):
-    @F.pandas_udf(REGIONS)
-    def scan(sequence: pd.Series) -> pd.Series:
-        return sequence.map(lambda s: helper(s or "", *args))
+    @F.arrow_udf(REGIONS)
+    def scan(sequence: pa.Array) -> pa.Array:
+        return pa.concat_arrays([helper(row, *args) for row in rows_of(sequence)])
 
     return scan
 
@@ -246,18 +270,63 @@ def low_complexity(sequence: Column, window: int = 12, threshold: float = 3.0) -
 def hydropathy(sequence: Column, window: int = 19) -> Column:
     """The windowed mean at every residue."""
 
-    @F.pandas_udf("array<double>")
-    def profile(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: window_means(scale(x or ""), window))
+    @F.arrow_udf("array<double>")
+    def profile(s: pa.Array) -> pa.Array:
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(row.size)]).astype(np.int32)), pa.array(row.means(window)[row.inside])) for row in rows_of(s)]
+        return pa.concat_arrays(lists)
 
     return profile(sequence)
 
 
+def hydrophobic_cores(profile: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and mean of each row's best core, -1 and 0 without one.
+
+    Where the profile stays at 1.0 or more, a core is what follows the first 1.5 there; it has 6 to 20 places.
+    """
+    padded = np.pad(profile, ((0, 0), (0, 1)), constant_values=-np.inf)
+    flat = padded.ravel()
+    begin, end = runs(flat >= 1.0)
+    high = np.append(np.flatnonzero(flat >= 1.5), len(flat))
+    begin = high[np.searchsorted(high, begin)]
+    fits = (end - begin >= 6) & (end - begin <= 20)
+    begin, end = begin[fits], end[fits]
+    mean, row = sums(flat, begin, end) / np.maximum(end - begin, 1), begin // (size + 1)
+    core, best = np.full(len(profile), -1), np.zeros(len(profile))
+    for i in np.lexsort((-begin, mean)):  # the best mean of a row is written last, the first of ties
+        core[row[i]], best[row[i]] = begin[i] % (size + 1), mean[i]
+    return core, best
+
+
 def signal_peptide(sequence: Column, max_length: int = 30) -> Column:
-    @F.pandas_udf("is_signal_peptide boolean, cleavage_site int, score double")
-    def predict(s: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([signal_peptide_of(x or "", max_length) for x in s], columns=["is_signal_peptide", "cleavage_site", "score"])
-        return out.astype({"cleavage_site": "Int32"})
+    """A positive start, a hydrophobic core and small residues two apart after it, within the first `max_length` residues."""
+    width = max_length + 5
+
+    def judge(row: Row) -> pa.Array:
+        letters = np.zeros((row.n, width), dtype=np.uint8)
+        held = np.minimum(row.size, width)
+        own = np.repeat(np.arange(row.n), held)
+        column = np.arange(len(own)) - np.repeat(np.cumsum(held) - held, held)
+        letters[own, column] = row.codes[row.start[own] + column]
+        total = np.concatenate([np.zeros((row.n, 1), np.int64), np.cumsum(_TENTHS[letters], axis=1)], axis=1)
+        at = np.arange(width)[None, :]
+        low, high = np.maximum(at - 3, 0), np.minimum(at + 4, held[:, None])
+        inside = at < held[:, None]
+        spread = np.take_along_axis(total, np.maximum(high, 0), axis=1) - np.take_along_axis(total, np.broadcast_to(low, letters.shape), axis=1)
+        profile = np.where(inside, spread / (10.0 * np.maximum(high - low, 1)), -np.inf)
+        core, best = hydrophobic_cores(profile, width)
+        small = np.isin(letters, np.frombuffer(SMALL.encode(), np.uint8))
+        sites = np.zeros_like(small)
+        sites[:, :-2] = small[:, :-2] & small[:, 2:]
+        sites &= (at >= core[:, None] + 6) & (at < np.minimum(row.size - 1, max_length)[:, None]) & (core >= 0)[:, None]
+        cleft = sites.any(axis=1)
+        positive = np.isin(letters[:, :5], np.frombuffer(POSITIVE.encode(), np.uint8)).any(axis=1)
+        score = np.where(core >= 0, np.round(np.minimum(0.3 * positive + np.minimum(best / 4, 0.4) + 0.3 * cleft, 1.0), 3), 0.0)
+        site = pa.array((sites.argmax(axis=1) + 3).astype(np.int32), mask=~cleft)
+        return pa.StructArray.from_arrays([pa.array(positive & (best >= 1.5) & cleft), site, pa.array(score)], ["is_signal_peptide", "cleavage_site", "score"])
+
+    @F.arrow_udf("is_signal_peptide boolean, cleavage_site int, score double")
+    def predict(s: pa.Array) -> pa.Array:
+        return pa.concat_arrays([judge(row) for row in rows_of(s)])
 
     return predict(sequence)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
@@ -53,9 +53,18 @@ def usage(codons: Column) -> Column:
     return F.transform(F.array_sort(counted), lambda x: F.struct(x["codon"].alias("codon"), F.round(-x["n"] / F.size(codons), 4).alias("freq")))
 
 
-def weighted(sequence: Column, table: dict[str, float]) -> Column:
-    """The sum of a table's values over the letters: counts of each letter times its value, no element loop."""
-    parts = [F.regexp_count(sequence, F.lit(a)) * F.lit(v) for a, v in table.items()]
+def letter_counts(sequence: Column) -> Column:
+    """How often each of the twenty amino acids occurs, in the order of `PROTEIN`."""
+    return F.array(*[F.char_length(sequence) - F.char_length(F.replace(sequence, F.lit(a), F.lit(""))) for a in PROTEIN])
+
+
+def of_letter(counts: Column, letter: str) -> Column:
+    return F.get(counts, F.lit(PROTEIN.index(letter)))
+
+
+def weighted(counts: Column, table: dict[str, float]) -> Column:
+    """The sum of a table's values over the letters of a sequence, from its letter counts."""
+    parts = [of_letter(counts, a) * F.lit(v) for a, v in table.items()]
     return sum(parts[1:], parts[0])
 
 
@@ -72,8 +81,29 @@ def known(sequence: Column) -> Column:
     return F.rlike(sequence, F.lit(f"^[{PROTEIN}]+$"))
 
 
+def protein(sequence: Column) -> Column:
+    """length, molecular_weight, aromaticity, gravy, isoelectric_point and aa_composition as one struct, from one count of the letters."""
+
+    def described(s: Column) -> Column:
+        def from_counts(c: Column) -> Column:
+            size = residues(s)
+            share = lambda n: F.round(n / size, 4)
+            return F.struct(
+                S.length(s).alias("length"),
+                F.round(weighted(c, MASSES) - (size - 1) * WATER, 2).alias("molecular_weight"),
+                share(sum((of_letter(c, a) for a in "WY"), of_letter(c, "F"))).alias("aromaticity"),
+                share(weighted(c, HYDROPATHY)).alias("gravy"),
+                isoelectric_from(s, c).alias("isoelectric_point"),
+                F.array(*[F.struct(F.lit(a).alias("residue"), share(of_letter(c, a)).alias("fraction")) for a in PROTEIN]).alias("aa_composition"),
+            )
+
+        return F.when(known(s), S.let(letter_counts(s), from_counts))
+
+    return S.let(protein_letters(sequence), described)
+
+
 def molecular_weight(sequence: Column) -> Column:
-    return F.when(known(sequence), F.round(weighted(sequence, MASSES) - (residues(sequence) - 1) * WATER, 2))
+    return F.when(known(sequence), F.round(S.let(letter_counts(sequence), lambda c: weighted(c, MASSES)) - (residues(sequence) - 1) * WATER, 2))
 
 
 def aromaticity(sequence: Column) -> Column:
@@ -81,12 +111,28 @@ def aromaticity(sequence: Column) -> Column:
 
 
 def gravy(sequence: Column) -> Column:
-    return F.when(known(sequence), F.round(weighted(sequence, HYDROPATHY) / residues(sequence), 4))
+    return F.when(known(sequence), F.round(S.let(letter_counts(sequence), lambda c: weighted(c, HYDROPATHY)) / residues(sequence), 4))
 
 
 def composition(sequence: Column) -> Column:
     """(residue, fraction) of the twenty amino acids."""
-    return F.when(known(sequence), F.array(*[F.struct(F.lit(a).alias("residue"), F.round(F.regexp_count(sequence, F.lit(a)) / residues(sequence), 4).alias("fraction")) for a in PROTEIN]))
+    return F.when(known(sequence), S.let(letter_counts(sequence), lambda c: F.array(*[F.struct(F.lit(a).alias("residue"), F.round(of_letter(c, a) / residues(sequence), 4).alias("fraction")) for a in PROTEIN])))
+
+
+def describe(df: DataFrame, only: str | None = None) -> DataFrame:
+    """The records with `meta.descriptor`: the nucleotide figures of DNA and RNA, the protein figures of proteins, null for the rest.
+
+    With `only`, records of other types keep a null descriptor.
+    """
+    chosen = F.lit(True) if only is None else F.col("seq_type") == only
+    nucleic = F.when(chosen & F.col("seq_type").isin("dna", "rna"), nucleotide(F.col("sequence")))
+    residual = F.when(chosen & (F.col("seq_type") == "protein"), protein(F.col("sequence")))
+    made = df.withColumns({"hf_n": nucleic, "hf_p": residual})
+    figures = ["gc_percent", "at_percent", "n_content", "codon_usage", "gc3_percent"], ["molecular_weight", "aromaticity", "gravy", "isoelectric_point", "aa_composition"]
+    whole = F.struct(F.coalesce("hf_n.length", "hf_p.length").alias("length"), *[F.col(f"{c}.{x}").alias(x) for c, own in zip(("hf_n", "hf_p"), figures, strict=True) for x in own])
+    descriptor = F.when(F.col("hf_n").isNotNull() | F.col("hf_p").isNotNull(), whole)
+    meta = F.struct("meta.*", descriptor.alias("descriptor")) if "meta" in df.columns else F.struct(descriptor.alias("descriptor"))
+    return made.withColumn("meta", meta).drop("hf_n", "hf_p")
 
 
 def instability_index(sequence: Column, weights: dict[str, float], default: float = 1.0) -> Column:
@@ -96,14 +142,16 @@ def instability_index(sequence: Column, weights: dict[str, float], default: floa
     return F.when(known(sequence) & (residues(sequence) > 1), F.round(total * 10 / residues(sequence), 3))
 
 
-def charge_counts(sequence: Column) -> Column:
-    """What a net charge depends on: counts of charged residues and the pK of the ends."""
-    counts = [F.regexp_count(sequence, F.lit(a)).cast("double") for a in (*POSITIVE_PK, *NEGATIVE_PK)]
-    return F.array(*counts, S.lookup(N_TERM, F.substring(sequence, 1, 1), N_TERM_PK), S.lookup(C_TERM, F.substring(sequence, -1, 1), C_TERM_PK))
+def isoelectric_point(sequence: Column) -> Column:
+    return F.when(known(sequence), S.let(letter_counts(sequence), lambda c: isoelectric_from(sequence, c)))
 
 
-def isoelectric_point(sequence: Column) -> Column:
-    """The pH between 4.05 and 12 at which the net charge is nearest zero, by 20 halvings, to three places."""
+def isoelectric_from(sequence: Column, counts: Column) -> Column:
+    """The pH between 4.05 and 12 at which the net charge is nearest zero, by 20 halvings, to three places.
+
+    A net charge depends on the counts of charged residues and the pK of the ends.
+    """
+    charged = F.array(*[of_letter(counts, a).cast("double") for a in (*POSITIVE_PK, *NEGATIVE_PK)], S.lookup(N_TERM, F.substring(sequence, 1, 1), N_TERM_PK), S.lookup(C_TERM, F.substring(sequence, -1, 1), C_TERM_PK))
     n = len(POSITIVE_PK) + len(NEGATIVE_PK)
     pks = [F.lit(v) for v in (*POSITIVE_PK.values(), *NEGATIVE_PK.values())]
 
@@ -115,5 +163,5 @@ def isoelectric_point(sequence: Column) -> Column:
 
     start = F.struct(F.lit(4.05).alias("lo"), F.lit(12.0).alias("hi"))
     half = lambda c: lambda s, _: S.let((s["lo"] + s["hi"]) / 2, lambda m: S.let(net(c, m) > 0, lambda p: F.struct(F.when(p, m).otherwise(s["lo"]).alias("lo"), F.when(p, s["hi"]).otherwise(m).alias("hi"))))
-    found = S.let(charge_counts(sequence), lambda c: F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, half(c), lambda s: (s["lo"] + s["hi"]) / 2))
-    return F.when(known(sequence), F.round(found, 3))
+    found = S.let(charged, lambda c: F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, half(c), lambda s: (s["lo"] + s["hi"]) / 2))
+    return F.round(found, 3)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
+from helixframe.operators.selection import resolve
 
 MOST_DIMENSIONS = 20_000
 
@@ -47,3 +48,18 @@ def principal_components(vectors: DataFrame, n_components: int = 2) -> DataFrame
     centre = mean.toArray() @ loadings
     p = vector_to_array("p")
     return model.transform(data).select("ord", *[((p[i] - float(centre[i])) * signs[i]).alias(f"dim{i + 1}") for i in range(n)])
+
+
+def sequence_space(df: DataFrame, label: str | None = None, alphabet: str = "ACGT", k: int = 3, n_components: int = 2) -> DataFrame:
+    """`ord`, `seq_id`, `name`, dim1.. and `label` of at least two records: k-mer vectors on their principal components.
+
+    The label is a metadata field, or else whether a record has the tag of that name, or its type where none is asked for.
+    """
+    if df.limit(2).count() < 2:
+        raise ValueError("a sequence space needs at least two records")
+    points = principal_components(kmer_vectors(df, alphabet, k), n_components)
+    shown_as = F.col("seq_type")
+    if label:
+        value, kind = resolve(df, label)
+        shown_as = F.when(F.array_contains("tags", label), "yes").otherwise("no") if value is None else S.py_str(value, kind.simpleString())
+    return df.select("ord", "seq_id", "name", shown_as.alias("label")).join(points, "ord")

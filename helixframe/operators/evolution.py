@@ -74,3 +74,9 @@ def dn_ds(pairs: DataFrame) -> DataFrame:
     sums = codons.join(table, ["ca", "cb"]).groupBy("pair").agg(F.sum("sites").alias("s"), F.count("*").alias("n"), F.sum("syn").alias("syn"), F.sum("non").alias("non"))
     ds, dn = distance(F.try_divide("syn", "s")), distance(F.try_divide(F.col("non"), 3 * F.col("n") - F.col("s")))
     return sums.select("pair", dn.alias("dn"), ds.alias("ds")).withColumn("omega", F.when(F.col("ds") > 0, F.col("dn") / F.col("ds")))
+
+
+def dn_ds_matrix(records: DataFrame) -> DataFrame:
+    """dN, dS and omega of all pairs of records (name, sequence), the smaller name first; a pair is named by both, parted by a slash."""
+    left, right = records.select(F.col("name").alias("na"), F.col("sequence").alias("a")), records.select(F.col("name").alias("nb"), F.col("sequence").alias("b"))
+    return dn_ds(left.join(right, F.col("na") < F.col("nb")).select(F.concat_ws("/", "na", "nb").alias("pair"), "a", "b"))

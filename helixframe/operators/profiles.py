@@ -70,7 +70,11 @@ def measures(alphabet: str = "ACGT", background: dict[str, float] | None = None)
 
 
 def profile_table(df: DataFrame, alphabet: str = "ACGT", pseudocount: float = 0.5, background: dict[str, float] | None = None) -> DataFrame:
-    """One row a position: consensus, the measures and `freq_X`, rounded to four places; `freq_gap` is the number of gaps."""
+    """One row a position: consensus, the measures and `freq_X`, rounded to four places; `freq_gap` is the number of gaps.
+
+    Rows of different lengths are an error.
+    """
+    check_aligned(df)
     table = ppm(pfm(df, alphabet), alphabet, pseudocount)
     rounded = [F.round(c, 4).alias(n) for n, c in measures(alphabet, background).items()]
     return table.select("position", consensus(alphabet).alias("consensus"), *rounded, *[F.round(f"prob_{a}", 4).alias(f"freq_{a}") for a in alphabet], F.col("count_gap").alias("freq_gap"))
@@ -92,3 +96,16 @@ def logo_data(df: DataFrame, alphabet: str = "ACGT") -> DataFrame:
     table = ppm(pfm(df, alphabet), alphabet).withColumns(measures(alphabet))
     letters = F.explode(F.array(*[F.struct(F.lit(a).alias("letter"), (F.col(f"prob_{a}") * F.greatest("relative_entropy", F.lit(0.0))).alias("height")) for a in alphabet]))
     return table.select("position", letters.alias("x")).select("position", "x.letter", "x.height")
+
+
+def alphabet_of(df: DataFrame) -> str:
+    """The alphabet of the first record's type."""
+    first = df.orderBy("ord").select("seq_type").first()
+    return ALPHABETS[first["seq_type"] if first else "dna"]
+
+
+def viewer_data(df: DataFrame, most: int = 200) -> DataFrame:
+    """`ord`, `name`, `position`, `letter`, `conservation_score`: what an alignment viewer draws, `most` positions of it, or all for 0."""
+    letters = df.select("ord", "name", F.posexplode(S.symbols(F.col("sequence"))).alias("at", "letter")).select("ord", "name", (F.col("at") + 1).cast("long").alias("position"), "letter")
+    shown = letters.where(F.col("position") <= most) if most else letters
+    return shown.join(profile_table(df).select("position", "conservation_score"), "position").select("ord", "name", "position", "letter", "conservation_score")

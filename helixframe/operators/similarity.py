@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +25,12 @@ def minhash(sequence: Column, k: int = 9, num_hashes: int = 64) -> Column:
     a, b = rng.integers(1, PRIME, num_hashes, dtype=np.int64), rng.integers(0, PRIME, num_hashes, dtype=np.int64)
     hashed = F.transform(S.kmer_set(sequence, k), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
 
-    @F.pandas_udf("array<long>")
-    def least(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: ((a[:, None] * np.asarray(x, dtype=np.int64)[None, :] + b[:, None]) % PRIME).min(axis=1))
+    @F.arrow_udf("array<long>")
+    def least(values: pa.Array) -> pa.Array:
+        flat, ends = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64), values.offsets.to_numpy()
+        starts = ends[:-1] - ends[0]
+        made = np.stack([np.minimum.reduceat((flat * m + c) % PRIME, starts) for m, c in zip(a, b, strict=True)], axis=1) if len(starts) else np.zeros((0, num_hashes), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * num_hashes), pa.array(made.ravel()))
 
     return least(hashed)
 
@@ -49,18 +52,109 @@ def search(collection: DataFrame, query: str, method: str = "kmer", k: int | Non
     own = F.lit(query)
     if method == "kmer":
         score = jaccard(F.array(*[F.lit(x) for x in sorted({query[i : i + size] for i in range(len(query) - size + 1)} or {query})]), S.kmer_set(F.col("sequence"), size))
-    else:
-        score = minhash_similarity(minhash(own, size), minhash(F.col("sequence"), size))
+    else:  # the query's signature is taken once
+        signature = collection.sparkSession.range(1).select(minhash(own, size).alias("s")).first()["s"]
+        score = minhash_similarity(F.array(*[F.lit(x).cast("long") for x in signature]), minhash(F.col("sequence"), size))
     return collection.withColumn("score", score).where(F.col("score") >= min_score).orderBy(F.desc("score"), "ord").limit(top_n)
 
 
+#: Rows and queries of a block, and k-mers that are compared at a time.
+ROWS, ASKED, WIDE = 2048, 512, 4096
+
+
+def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values of a column of lists, the row of each, and the sizes."""
+    own = column.combine_chunks()
+    sizes = np.diff(own.offsets.to_numpy())
+    return own.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def shared_values(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many values each two sets share, by products of presence matrices over slices of the values, and the sizes of both."""
+    (a, a_row, a_size), (b, b_row, b_size) = lists(left), lists(right)
+    known = np.unique(b)
+    at = np.searchsorted(known, a)
+    hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == a) if len(known) else np.zeros(len(a), bool)
+    a_row, at, b_at = a_row[hit], at[hit], np.searchsorted(known, b)
+    out = np.zeros((len(a_size), len(b_size)), dtype=np.float32)
+    for low in range(0, len(known), WIDE):
+        x, y = np.zeros((len(a_size), WIDE), np.float32), np.zeros((len(b_size), WIDE), np.float32)
+        for m, row, place in ((x, a_row, at), (y, b_row, b_at)):
+            own = (place >= low) & (place < low + WIDE)
+            m[row[own], place[own] - low] = 1
+        out += x @ y.T
+    return out.astype(np.int64), a_size, b_size
+
+
+def search_all(collection: DataFrame, queries: DataFrame, method: str = "kmer", k: int | None = None, top_n: int = 10, min_score: float = 0.0) -> DataFrame:
+    """query, rank, ord, score: the `top_n` records most like each record of `queries`, ties in the collection's order.
+
+    Records and queries are dealt into blocks by a hash; each pair of blocks is compared in one group, which gives its
+    best `top_n` a query, and a window keeps the best of those.
+    """
+    if method not in ("kmer", "minhash"):
+        raise ValueError(f"unknown similarity {method!r}: use kmer or minhash")
+    size = k or (4 if method == "kmer" else 9)
+    marks = F.transform(S.kmer_set(F.col("sequence"), size), lambda x: F.xxhash64(x)) if method == "kmer" else minhash(F.col("sequence"), size)
+    n_rows, n_queries = max(1, -(-collection.count() // ROWS)), max(1, -(-queries.count() // ASKED))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    own = collection.select(F.col("ord").alias("o"), marks.alias("m")).withColumn("hf_row", block("o", n_rows)).withColumn("hf_query", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    asked = queries.select(F.col("ord").alias("query"), marks.alias("q")).withColumn("hf_query", block("query", n_queries)).withColumn("hf_row", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+
+    def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = {"query": [], "ord": [], "score": []}
+        if len(mine) and len(theirs):
+            order, names = mine.column("o").to_numpy(), theirs.column("query").to_numpy()
+            if method == "kmer":
+                both, a, b = shared_values(mine.column("m"), theirs.column("q"))
+                scores = both / np.maximum(a[:, None] + b[None, :] - both, 1)
+            else:
+                x, y = (lists(t.column(c))[0].reshape(len(t), -1) for t, c in ((mine, "m"), (theirs, "q")))
+                scores = np.stack([(x == row).mean(axis=1) for row in y], axis=1)
+            for j, name in enumerate(names):
+                best = np.lexsort((order, -scores[:, j]))[:top_n]
+                best = best[scores[best, j] >= min_score]
+                found["query"].append(np.full(len(best), name))
+                found["ord"].append(order[best])
+                found["score"].append(scores[best, j])
+        return pa.table({"query": np.concatenate([*found["query"], np.zeros(0, np.int64)]).astype(np.int64), "ord": np.concatenate([*found["ord"], np.zeros(0, np.int64)]).astype(np.int64), "score": np.concatenate([*found["score"], np.zeros(0)])})
+
+    pairs = own.groupBy("hf_row", "hf_query").cogroup(asked.groupBy("hf_row", "hf_query")).applyInArrow(compare, "query long, ord long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).select("query", "rank", "ord", "score")
+
+
 def distinct_sequences(collection: DataFrame) -> DataFrame:
-    """One row a distinct sequence: `rep`, the first `ord` that has it, `copies` and the sequence; empty ones are left out."""
-    return collection.where(F.char_length("sequence") > 0).groupBy("sequence").agg(F.min("ord").alias("rep"), F.count("*").alias("copies"))
+    """One row a distinct sequence: `key`, its digest, `rep`, the first `ord` that has it, `copies` and the sequence; empty ones are left out."""
+    return collection.where(F.char_length("sequence") > 0).groupBy(F.md5("sequence").alias("key")).agg(F.min("ord").alias("rep"), F.count("*").alias("copies"), F.first("sequence").alias("sequence"))
+
+
+def similar_pairs(collection: DataFrame, k: int = 12, threshold: float = 0.8, method: str = "kmer", num_hashes: int = 64) -> DataFrame:
+    """`a` < `b`, `score`: distinct sequences, named by their first `ord`, whose similarity is at least the threshold.
+
+    By k-mers it is the Jaccard similarity of their sets, by MinHash the share of equal places of their signatures.
+    """
+    if method == "minhash":
+        return similar_signatures(collection, k, threshold, num_hashes)
+    if method != "kmer":
+        raise ValueError(f"unknown similarity {method!r}: use kmer or minhash")
+    return similar_sets(collection, k, threshold)
+
+
+def similar_signatures(collection: DataFrame, k: int, threshold: float, num_hashes: int) -> DataFrame:
+    """Two signatures that differ in at most m places agree in one of the first m + 1, so only those meet in the join."""
+    signed = distinct_sequences(collection).select("rep", minhash(F.col("sequence"), k, num_hashes).alias("s"))
+    needed = int(np.ceil(threshold * num_hashes - 1e-9))
+    places = signed.select("rep", F.posexplode(F.slice("s", 1, max(1, num_hashes - needed + 1))).alias("at", "v"))
+    left, right = places.withColumnRenamed("rep", "a"), places.withColumnRenamed("rep", "b")
+    met = left.join(right, ["at", "v"]).where("a < b").select("a", "b").distinct()
+    named = lambda name: signed.select(F.col("rep").alias(name), F.col("s").alias(f"s{name}"))
+    scored = met.join(named("a"), "a").join(named("b"), "b").select("a", "b", minhash_similarity(F.col("sa"), F.col("sb")).alias("score"))
+    return scored.where(F.col("score") >= threshold)
 
 
-def similar_pairs(collection: DataFrame, k: int = 12, threshold: float = 0.8) -> DataFrame:
-    """`a` < `b`, `score`: distinct sequences, named by their first `ord`, whose k-mer sets have at least this Jaccard similarity.
+def similar_sets(collection: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Sequences by k-mer sets.
 
     Prefix filtering: in an order by rising frequency, two such sets share a k-mer among the first n - ceil(t n) + 1, so
     only those meet in the join, and the frequent ones seldom are among them.
@@ -71,9 +165,9 @@ def similar_pairs(collection: DataFrame, k: int = 12, threshold: float = 0.8) ->
     place = F.row_number().over(Window.partitionBy("rep").orderBy("f", "kmer"))
     # k-mers of one sequence only come first in the order; they take up places of the prefix without joining
     shared = items.join(frequency, "kmer").withColumn("shared", F.count("*").over(Window.partitionBy("rep"))).withColumn("place", place + F.col("n") - F.col("shared"))
-    prefix = shared.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("kmer", "rep", "n")
+    prefix = shared.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("kmer", "rep", "n")
     left, right = prefix.select("kmer", F.col("rep").alias("a"), F.col("n").alias("na")), prefix.select("kmer", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    close = F.least("na", "nb") >= F.greatest("na", "nb") * threshold
+    close = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
     pairs = left.join(right, "kmer").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     named = lambda name: sets.select(F.col("rep").alias(name), F.col("kmers").alias(f"k{name}"))
     scored = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", jaccard(F.col("ka"), F.col("kb")).alias("score"))

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-
-#: Taxa that one tree can have; a tree is built in one task from a distance for each pair of them.
-MOST_TAXA = 2000
-
+from helixframe.operators.alignment import BLOSUM_LETTERS, blosum
+from helixframe.operators.profiles import check_aligned
+from helixframe.operators.storage import checkpoint
 
 def identity_distance(a: Column, b: Column) -> Column:
     """1 less the share of equal places, two gaps counting as equal."""
@@ -21,119 +19,107 @@ def identity_distance(a: Column, b: Column) -> Column:
     return 1 - same / F.char_length(a)
 
 
-def distances(alignment: DataFrame) -> DataFrame:
-    """`a`, `b`, `distance` of all pairs a < b of an alignment's rows (name, sequence), whose number `MOST_TAXA` bounds."""
-    n = alignment.count()
-    if n > MOST_TAXA:
-        raise ValueError(f"{n} rows are too many for one tree; at most {MOST_TAXA}")
-    left, right = alignment.select(F.col("name").alias("a"), F.col("sequence").alias("sa")), alignment.select(F.col("name").alias("b"), F.col("sequence").alias("sb"))
-    return left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", identity_distance(F.col("sa"), F.col("sb")).alias("distance"))
-
-
-def build(names: list[str], d: np.ndarray, method: str = "nj") -> list[tuple[int, int | None, str | None, float]]:
-    """(node, parent, name, branch length) by neighbour joining, which leaves three branches at the root, or UPGMA."""
-    if method not in ("nj", "upgma"):
-        raise ValueError(f"unknown method {method!r}: use nj or upgma")
-    n = len(names)
-    rows: dict[int, list] = {i: [i, None, names[i], 0.0] for i in range(n)}
-    d, active, size, height = d.astype(float).copy(), list(range(n)), dict.fromkeys(range(n), 1), dict.fromkeys(range(n), 0.0)
-    at = {i: i for i in range(n)}  # node to row of d
-    new = n
-    while len(active) > (3 if method == "nj" else 1) and len(active) > 1:
-        ix = np.array([at[i] for i in active])
-        sub = d[np.ix_(ix, ix)]
-        m = len(active)
-        q = (m - 2) * sub - sub.sum(0)[None, :] - sub.sum(1)[:, None] if method == "nj" else sub.copy()
-        np.fill_diagonal(q, np.inf)
-        p, r = sorted(int(v) for v in np.unravel_index(np.argmin(q), q.shape))
-        i, j = active[p], active[r]
-        if method == "nj":
-            li = sub[p, r] / 2 + (sub[p].sum() - sub[r].sum()) / (2 * (m - 2))
-            lj = sub[p, r] - li
-            row = (sub[p] + sub[r] - sub[p, r]) / 2
-        else:
-            height[new] = sub[p, r] / 2
-            li, lj = height[new] - height[i], height[new] - height[j]
-            row = (size[i] * sub[p] + size[j] * sub[r]) / (size[i] + size[j])
-        size[new] = size[i] + size[j]
-        rows[i][1], rows[i][3], rows[j][1], rows[j][3] = new, float(li), new, float(lj)
-        rows[new] = [new, None, None, 0.0]
-        d[at[i], ix], d[ix, at[i]], d[at[i], at[i]] = row, row, 0.0
-        at[new] = at[i]
-        active = [x for x in active if x not in (i, j)] + [new]
-        new += 1
-    if method == "nj" and len(active) == 3:
-        a, b, c = (at[i] for i in active)
-        for i, (x, y, z) in zip(active, ((a, b, c), (b, a, c), (c, a, b)), strict=True):
-            rows[i][1], rows[i][3] = new, float((d[x, y] + d[x, z] - d[y, z]) / 2)
-        rows[new] = [new, None, None, 0.0]
-    elif method == "nj" and len(active) == 2:
-        i, j = active
-        rows[i][1], rows[i][3], rows[j][1], rows[j][3] = new, float(d[at[i], at[j]] / 2), new, float(d[at[i], at[j]] / 2)
-        rows[new] = [new, None, None, 0.0]
-    return [tuple(r) for r in rows.values()]
+def blosum_distance(a: Column, b: Column) -> Column:
+    """1 less the pair's BLOSUM62 score over the larger of the two self scores, at the places where neither has a gap."""
+    scores = F.create_map(*[x for i in BLOSUM_LETTERS for j in BLOSUM_LETTERS for x in (F.lit(i + j), F.lit(float(blosum()[ord(i), ord(j)])))])
+    score = lambda x, y: F.coalesce(F.try_element_at(scores, F.concat(x, y)), F.lit(-4.0))
+    both = F.filter(F.arrays_zip(S.symbols(a).alias("x"), S.symbols(b).alias("y")), lambda p: (p["x"] != "-") & (p["y"] != "-") & (p["x"] != "*") & (p["y"] != "*"))
+    add = lambda p, f: F.aggregate(F.transform(p, f), F.lit(0.0), lambda s, v: s + v)
+    return S.let(both, lambda p: 1 - F.try_divide(add(p, lambda q: score(q["x"], q["y"])), F.greatest(add(p, lambda q: score(q["x"], q["x"])), add(p, lambda q: score(q["y"], q["y"])))))
 
 
-NODES = "node int, parent int, name string, branch_length double"
+DISTANCES = {"identity": identity_distance, "blosum62": blosum_distance}
 
 
-def tree(pairs: DataFrame, method: str = "nj") -> DataFrame:
-    """The node table of a tree from `pairs(a, b, distance)`, which cover all pairs of its taxa."""
+def distances(alignment: DataFrame, model: str = "identity") -> DataFrame:
+    """`a`, `b`, `distance` of all pairs a < b of an alignment's rows (name, sequence); rows of different lengths are an error."""
+    if model not in DISTANCES:
+        raise ValueError(f"unknown model {model!r}: use one of {', '.join(DISTANCES)}")
+    check_aligned(alignment)
+    left, right = alignment.select(F.col("name").alias("a"), F.col("sequence").alias("sa")), alignment.select(F.col("name").alias("b"), F.col("sequence").alias("sb"))
+    return left.join(right, F.col("a") < F.col("b")).select("a", "b", DISTANCES[model](F.col("sa"), F.col("sb")).alias("distance"))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        place = {x: i for i, x in enumerate(names)}
-        d = np.zeros((len(names), len(names)))
-        i, j = pdf["a"].map(place).to_numpy(), pdf["b"].map(place).to_numpy()
-        d[i, j] = d[j, i] = pdf["distance"].to_numpy()
-        out = pd.DataFrame(build(names, d, method), columns=["node", "parent", "name", "branch_length"])
-        return out.astype({"parent": "Int32"})
 
-    return pairs.groupBy(F.lit(0).alias("tree")).applyInPandas(join, NODES)
+def joined(pairs: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
+    """Node tables (tree, node, parent, name, branch_length) and inner groups (tree, node, names) of all trees at once.
 
+    `pairs(tree, a, b, distance)` has all pairs of taxa of every tree, as many taxa in each. A round merges in every tree
+    the two clusters that are nearest by the criterion, the first by number of ties; distances, row sums and minima are
+    joins and aggregates over all trees.
+    """
+    if method not in ("nj", "upgma"):
+        raise ValueError(f"unknown method {method!r}: use nj or upgma")
+    taxa = pairs.select("tree", F.col("a").alias("name")).unionByName(pairs.select("tree", F.col("b").alias("name"))).distinct()
+    leaves = checkpoint(taxa.withColumn("node", F.row_number().over(Window.partitionBy("tree").orderBy("name")) - 1))
+    n = leaves.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    number = lambda name: leaves.select("tree", F.col("name").alias(name), F.col("node").alias(f"n{name}"))
+    one_way = pairs.join(number("a"), ["tree", "a"]).join(number("b"), ["tree", "b"]).select("tree", F.col("na").alias("i"), F.col("nb").alias("j"), "distance")
+    d = checkpoint(one_way.unionByName(one_way.select("tree", F.col("j").alias("i"), F.col("i").alias("j"), "distance")))
+    clusters = leaves.select("tree", "node", F.lit(1).alias("size"), F.lit(0.0).alias("height"), F.array("name").alias("names"))
+    merged: list[DataFrame] = []
+    new, left = n, n
+    while left > (3 if method == "nj" else 1) and left > 1:
+        sums = d.groupBy("tree", "i").agg(F.sum("distance").alias("r"))
+        both = d.where("i < j").join(sums, ["tree", "i"]).join(sums.withColumnsRenamed({"i": "j", "r": "s"}), ["tree", "j"])
+        criterion = (left - 2) * F.col("distance") - F.col("r") - F.col("s") if method == "nj" else F.col("distance")
+        best = both.groupBy("tree").agg(F.min(F.struct(F.round(criterion, 12).alias("q"), "i", "j", "distance", "r", "s")).alias("m")).select("tree", F.col("m.i").alias("p"), F.col("m.j").alias("o"), "m.distance", "m.r", "m.s")
+        for x in ("p", "o"):
+            best = best.join(clusters.select("tree", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "height", "names")]), ["tree", x])
+        first = F.col("distance") / 2 + (F.col("r") - F.col("s")) / (2 * max(1, left - 2)) if method == "nj" else F.col("distance") / 2 - F.col("height_p")
+        second = F.col("distance") - first if method == "nj" else F.col("distance") / 2 - F.col("height_o")
+        best = checkpoint(best.select("tree", "p", "o", F.lit(new).alias("node"), F.col("distance").alias("between"), first.alias("first"), second.alias("second"), "size_p", "size_o", F.array_sort(F.concat("names_p", "names_o")).alias("names")))
+        merged.append(best)
+        clusters = clusters.unionByName(best.select("tree", "node", (F.col("size_p") + F.col("size_o")).alias("size"), (F.col("between") / 2).alias("height"), "names"))
+        marked = d.join(F.broadcast(best.select("tree", "p", "o", "between", "size_p", "size_o")), "tree")  # one row a tree
+        inside = lambda x: (F.col(x) == F.col("p")) | (F.col(x) == F.col("o"))
+        heavy = F.sum(F.col("distance") * F.when(F.col("i") == F.col("p"), F.col("size_p")).otherwise(F.col("size_o")))
+        near = marked.where(inside("i") & ~inside("j")).groupBy("tree", "j").agg(((F.sum("distance") - F.first("between")) / 2 if method == "nj" else heavy / F.first(F.col("size_p") + F.col("size_o"))).alias("distance"))
+        kept = marked.where(~inside("i") & ~inside("j")).select("tree", "i", "j", "distance")
+        d = checkpoint(kept.unionByName(near.select("tree", F.lit(new).alias("i"), "j", "distance")).unionByName(near.select("tree", F.col("j").alias("i"), F.lit(new).alias("j"), "distance")))
+        new, left = new + 1, left - 1
+    two = lambda m: F.explode(F.array(F.struct(F.col("p").alias("node"), F.col("first").alias("length")), F.struct(F.col("o").alias("node"), F.col("second").alias("length"))))
+    edges = [m.select("tree", F.col("node").alias("parent"), two(m).alias("e")).select("tree", "e.node", "parent", F.col("e.length").alias("branch_length")) for m in merged]
+    if method == "nj" and left > 1:  # the last three, or two, hang on the root
+        sums = d.groupBy("tree", "i").agg(F.sum("distance").alias("r"))
+        whole = d.groupBy("tree").agg((F.sum("distance") / 2).alias("total"))
+        last = (F.col("r") - (F.col("total") - F.col("r"))) / 2 if left == 3 else F.col("r") / 2
+        edges.append(sums.join(whole, "tree").select("tree", F.col("i").alias("node"), F.lit(new).alias("parent"), last.alias("branch_length")))
+    else:
+        new -= 1
+    root = leaves.select("tree").distinct().select("tree", F.lit(new).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0.0).alias("branch_length"))
+    nodes = reduce(DataFrame.unionByName, edges, root).join(leaves, ["tree", "node"], "left")
+    inner = reduce(DataFrame.unionByName, [m.select("tree", "node", "names") for m in merged], leaves.limit(0).select("tree", "node", F.array("name").alias("names")))
+    return nodes.select("tree", "node", "parent", "name", "branch_length"), inner.where(F.size("names") < n)
 
-def splits(nodes: list[tuple], names: list[str]) -> set[frozenset]:
-    """The groups of taxa that inner branches part from the rest; each is named by the side without the first taxon."""
-    children: dict = {}
-    for node, parent, *_ in nodes:
-        children.setdefault(parent, []).append(node)
-    label = {node: name for node, _, name, _ in nodes}
 
-    def below(node) -> frozenset:
-        kids = children.get(node, [])
-        return frozenset([label[node]]) if not kids else frozenset().union(*map(below, kids))
+def tree(pairs: DataFrame, method: str = "nj") -> DataFrame:
+    """node, parent, name, branch_length: the tree of `pairs(a, b, distance)`, which cover all pairs of its taxa.
 
-    found = set()
-    for node, parent, *_ in nodes:
-        group = below(node)
-        if parent is not None and 1 < len(group) < len(names) - 1:
-            found.add(group if names[0] not in group else frozenset(names) - group)
-    return found
+    Neighbour joining leaves three branches at the root, UPGMA two.
+    """
+    nodes, _ = joined(pairs.withColumn("tree", F.lit(0)), method)
+    return nodes.drop("tree")
 
 
 def bootstrap_support(alignment: DataFrame, replicates: int = 100, method: str = "nj", seed: int = 0) -> DataFrame:
-    """`split`, `support` in percent: how often a split occurs in trees of resampled columns, one task a replicate.
+    """`split`, `support` in percent: how often a group of taxa is parted from the rest in trees of resampled columns.
 
-    The alignment, of at most `MOST_TAXA` rows, goes to every task; splits are counted by a shuffle.
+    A replicate draws as many columns as there are, each by a hash of replicate and place; the differences of each pair
+    are added up by columns, and all replicates' trees are joined together. A split is named by its side without the first taxon.
     """
-    rows = alignment.select("name", "sequence").orderBy("name").limit(MOST_TAXA + 1).collect()
-    if len(rows) > MOST_TAXA:
-        raise ValueError(f"more than {MOST_TAXA} rows are too many for one tree")
-    names = [r["name"] for r in rows]
-    letters = alignment.sparkSession.sparkContext.broadcast(np.array([list(r["sequence"]) for r in rows]))
-
-    def resample(parts):
-        for pdf in parts:
-            found = []
-            for replicate in pdf["id"]:
-                own = letters.value
-                columns = own[:, np.random.default_rng([seed, int(replicate)]).integers(0, own.shape[1], own.shape[1])]
-                d = np.array([(columns != row).mean(axis=1) for row in columns])
-                found += [",".join(sorted(s)) for s in splits(build(names, d, method), names)]
-            yield pd.DataFrame({"split": found}, dtype=object)
-
-    spread = alignment.sparkSession.range(0, replicates, 1, min(replicates, 200)).mapInPandas(resample, "split string")
-    return spread.groupBy("split").agg((F.count("*") * 100.0 / replicates).alias("support"))
+    width = check_aligned(alignment)
+    rows = alignment.select("name", F.posexplode(S.symbols(F.col("sequence"))).alias("column", "letter"))
+    left, right = rows.withColumnsRenamed({"name": "a", "letter": "x"}), rows.withColumnsRenamed({"name": "b", "letter": "y"})
+    differ = left.join(right, "column").where("a < b").select("a", "b", "column", (F.col("x") != F.col("y")).cast("long").alias("differs"))
+    spark = alignment.sparkSession
+    draws = spark.range(replicates).select(F.col("id").alias("tree"), F.explode(F.sequence(F.lit(1), F.lit(width))).alias("draw"))
+    drawn = draws.select("tree", F.pmod(F.xxhash64(F.lit(seed), "tree", "draw"), F.lit(width)).cast("int").alias("column")).groupBy("tree", "column").agg(F.count("*").alias("times"))
+    pairs = differ.join(drawn, "column").groupBy("tree", "a", "b").agg((F.sum(F.col("differs") * F.col("times")) / width).alias("distance"))
+    _, inner = joined(pairs, method)
+    first, names = alignment.agg(F.min("name"), F.sort_array(F.collect_set("name"))).first()
+    side = F.when(F.array_contains("names", first), F.array_except(F.array(*[F.lit(x) for x in names]), "names")).otherwise(F.col("names"))
+    found = inner.select("tree", F.array_join(F.array_sort(side), ",").alias("split"), F.size(side).alias("n")).where((F.col("n") > 1) & (F.col("n") < len(names) - 1)).distinct()
+    return found.groupBy("split").agg((F.count("*") * 100.0 / replicates).alias("support"))
 
 
 def to_newick(nodes: list[tuple]) -> str:
@@ -169,11 +155,34 @@ def parse_newick(text: str) -> list[tuple[int, int | None, str | None, float]]:
     return [tuple(n) for n in nodes]
 
 
+def depths(nodes: DataFrame) -> DataFrame:
+    """`node`, `depth`: the branch lengths from the root added up, level by level."""
+    level = checkpoint(nodes.where("parent IS NULL").select("node", F.lit(0.0).alias("depth")))
+    whole = level
+    while True:
+        level = checkpoint(nodes.select(F.col("node").alias("child"), "parent", "branch_length").join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), (F.col("depth") + F.col("branch_length")).alias("depth")))
+        if not level.limit(1).count():
+            return whole
+        whole = checkpoint(whole.unionByName(level))
+
+
 def summary(nodes: DataFrame) -> DataFrame:
-    """One row: taxa, inner nodes and total branch length of a node table."""
+    """One row: taxa and their names, inner nodes, total branch length and the largest depth of a node table."""
     inner = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    marked = nodes.join(inner, "node", "left")
-    return marked.agg(F.count(F.when(F.col("inner").isNull(), 1)).alias("n_taxa"), F.count("inner").alias("n_internal"), F.sum("branch_length").alias("total_branch_length"))
+    marked = nodes.join(inner, "node", "left").join(depths(nodes), "node")
+    leaf = F.col("inner").isNull()
+    return marked.agg(F.count(F.when(leaf, 1)).alias("n_taxa"), F.count("inner").alias("n_internal"), F.sum("branch_length").alias("total_branch_length"), F.max("depth").alias("max_depth"), F.sort_array(F.collect_list(F.when(leaf, F.col("name")))).alias("taxa"))
+
+
+def plot_data(nodes: DataFrame) -> DataFrame:
+    """What a tree plot draws: `node`, `parent`, `name`, `x` (depth) and `y` (the taxon's place by name; null for inner nodes)."""
+    names = nodes.where("name IS NOT NULL").select("node", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")).alias("y"))
+    return nodes.join(depths(nodes), "node").join(names, "node", "left").select("node", "parent", "name", F.col("depth").alias("x"), "y")
+
+
+def newick_nodes(spark: SparkSession, text: str) -> DataFrame:
+    """The node table of a Newick text as a frame."""
+    return spark.createDataFrame(parse_newick(text), "node int, parent int, name string, branch_length double")
 
 
 def prune(nodes: list[tuple], keep: set[str]) -> list[tuple]:

@@ -60,7 +60,10 @@ ORACLES["gc_bins"] = f"""SELECT seq_type, '[' || (floor(gc / 10) * 10)::BIGINT |
 FROM (SELECT *, {GC_SQL} AS gc FROM ({SQL_DNA})) WHERE length(sequence) >= 100 AND gc BETWEEN 30 AND 60 GROUP BY 1, 2"""
 
 
-@query(f"SELECT seq_id, CASE WHEN regexp_full_match(s, '[ACGTN]*') THEN 'dna' WHEN regexp_full_match(s, '[ACGUN]*') THEN 'rna' ELSE 'protein' END AS seq_type FROM (SELECT doc_id::VARCHAR AS seq_id, upper(regexp_replace(coalesce(text,''), '[^A-Za-z]', '', 'g')) AS s FROM documents UNION ALL SELECT seq_id, sequence FROM ({SQL_N}))")
+SQL_TYPES = (f"SELECT seq_id, CASE WHEN regexp_full_match(s, '[ACGTN]*') THEN 'dna' WHEN regexp_full_match(s, '[ACGUN]*') THEN 'rna' ELSE 'protein' END AS seq_type FROM (SELECT doc_id::VARCHAR AS seq_id, upper(regexp_replace(coalesce(text,''), '[^A-Za-z]', '', 'g')) AS s FROM documents UNION ALL SELECT seq_id, sequence FROM ({SQL_N}))")
+
+
+@query(SQL_TYPES)
 def seq_type_guess(spark, sf_dir):
     letters = views.records(spark, sf_dir, "letters").select("seq_id", "sequence")
     return letters.unionByName(views.records(spark, sf_dir, "ambiguous").select("seq_id", "sequence")).select("seq_id", S.guess_type(F.col("sequence")).alias("seq_type"))
@@ -147,9 +150,10 @@ def tag_counts(spark, sf_dir):
     return report.tag_counts(views.records(spark, sf_dir, tagged=True))
 
 
-@query("SELECT 'dna' AS seq_type, count(*) AS count FROM documents HAVING count(*) > 0")
+@query(f"SELECT seq_type, count(*) AS count FROM ({SQL_TYPES}) GROUP BY 1")
 def report_type(spark, sf_dir):
-    return report.crosstab(views.records(spark, sf_dir, tagged=True), ["type"], ["seq_type"])
+    both = views.records(spark, sf_dir, "letters").unionByName(views.records(spark, sf_dir, "ambiguous"))
+    return report.crosstab(both, ["type"], ["seq_type"])
 
 
 @query(f"SELECT CASE WHEN list_contains(tags, 'toxic') THEN 'yes' ELSE 'no' END AS toxic, count(*) AS count FROM ({SQL_TAGGED}) GROUP BY 1")
@@ -182,18 +186,27 @@ def export_flat_rows(spark, sf_dir):
     return report.flat_rows(views.records(spark, sf_dir, tagged=True))
 
 
-@query("SELECT d.seq_id, e.quality FROM (SELECT doc_id::VARCHAR AS seq_id, lang FROM documents) d LEFT JOIN (SELECT l.doc_id::VARCHAR AS seq_id, l.quality FROM labels l) e USING (seq_id)")
+@query("SELECT d.doc_id::VARCHAR AS seq_id, f.first, f.quality FROM documents d LEFT JOIN (SELECT d.source, first(l.doc_id ORDER BY l.doc_id) AS first, first(l.quality ORDER BY l.doc_id) AS quality FROM labels l JOIN documents d USING (doc_id) GROUP BY 1) f USING (source)")
 def enrich_by_name(spark, sf_dir):
-    rows = views.records(spark, sf_dir).select("seq_id", F.col("seq_id").alias("name"))
-    labels = views.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").alias("ord"), F.struct("quality").alias("meta"))
-    return sel.enrich_by_name(rows, labels, ["meta"]).select("seq_id", "meta.quality")
+    """Records named by their source take the figures of the first labelled record of that name."""
+    named = views.records(spark, sf_dir).select("ord", "seq_id", F.col("meta.source").alias("name"))
+    labels = views.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality").join(named, "ord")
+    known = labels.select("name", "ord", F.struct(F.col("ord").alias("first"), "quality").alias("meta"))
+    return sel.enrich_by_name(named.drop("ord"), known, ["meta"]).select("seq_id", "meta.first", "meta.quality")
+
 
+SQL_HITS = "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE 'src' END || (c_custkey % 20) AS hit_id, c_custkey AS hit, c_acctbal AS score FROM customer"
 
-@query("SELECT d.doc_id::VARCHAR AS seq_id, c.hit_id, c.score FROM (SELECT 'src' || (c_custkey % 20) || '_' || c_custkey AS hit_id, c_acctbal AS score FROM customer) c LEFT JOIN documents d ON d.source || '_' || d.doc_id = c.hit_id")
+
+@query(f"SELECT h.hit, h.hit_id, h.score, f.a::VARCHAR AS first_id, f.z::VARCHAR AS last_id FROM ({SQL_HITS}) h LEFT JOIN (SELECT source, min(doc_id) AS a, max(doc_id) AS z FROM documents GROUP BY 1) f ON f.source = h.hit_id")
 def hit_resolution(spark, sf_dir):
+    """Hits on names that many records share, and on names of none, with the first and the last record of each."""
     customers = views.read(spark, sf_dir, "customer")
-    hits = customers.select(F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string"), F.lit("_"), F.col("c_custkey").cast("string")).alias("hit_id"), F.col("c_acctbal").alias("score"))
-    return sel.resolve_hits(hits, views.records(spark, sf_dir))
+    hit_id = F.concat(F.when(F.col("c_custkey") % 3 == 0, "none").otherwise("src"), (F.col("c_custkey") % 20).cast("string"))
+    hits = customers.select(F.col("c_custkey").alias("hit"), hit_id.alias("hit_id"), F.col("c_acctbal").alias("score"))
+    named = views.records(spark, sf_dir).withColumn("name", F.col("meta.source"))
+    ends = [sel.resolve_hits(hits.select("hit_id", "score").distinct(), named, first).select("hit_id", F.col("seq_id").alias(name)).distinct() for first, name in ((True, "first_id"), (False, "last_id"))]
+    return hits.join(ends[0], "hit_id").join(ends[1], "hit_id").select("hit", "hit_id", "score", "first_id", "last_id")
 
 
 @query(f"SELECT seq_id, replace(sequence, '-', '') AS sequence FROM ({SQL_GAPPED})")
@@ -267,15 +280,33 @@ def desc_gc3(spark, sf_dir):
     return d.where("gc3_percent IS NOT NULL")
 
 
+def _occurs(letter: str) -> str:
+    return f"(length(sequence) - length(replace(sequence, '{letter}', '')))::DOUBLE"
+
+
+def _charge() -> str:
+    """The net charge at the middle of lo and hi, by the textbook formula of each charged group."""
+    up = lambda n, pk: f"{n} / (1 + pow(10.0::DOUBLE, (lo + hi) / 2 - {pk}))"
+    down = lambda n, pk: f"{n} / (1 + pow(10.0::DOUBLE, {pk} - (lo + hi) / 2))"
+    end = lambda table, default, letter: "CASE " + " ".join(f"WHEN {letter} = '{a}' THEN {v}::DOUBLE" for a, v in table.items()) + f" ELSE {default}::DOUBLE END"
+    positive = [up(f"n_{a}", f"{pk}::DOUBLE") for a, pk in descriptors.POSITIVE_PK.items()]
+    negative = [down(f"n_{a}", f"{pk}::DOUBLE") for a, pk in descriptors.NEGATIVE_PK.items()]
+    return " + ".join([*positive, up("1", f"({end(descriptors.N_TERM, descriptors.N_TERM_PK, 'first')})")]) + " - " + " - ".join([*negative, down("1", f"({end(descriptors.C_TERM, descriptors.C_TERM_PK, 'last')})")])
+
+
+SQL_PI = f"""WITH RECURSIVE c AS (SELECT seq_id, left(sequence, 1) AS first, right(sequence, 1) AS last, {', '.join(f'{_occurs(a)} AS n_{a}' for a in (*descriptors.POSITIVE_PK, *descriptors.NEGATIVE_PK))} FROM ({SQL_PROTEIN}) WHERE length(sequence) > 0),
+h AS (SELECT *, 0 AS step, 4.05::DOUBLE AS lo, 12.0::DOUBLE AS hi FROM c UNION ALL SELECT * EXCLUDE (positive) REPLACE (step + 1 AS step, CASE WHEN positive THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN positive THEN hi ELSE (lo + hi) / 2 END AS hi) FROM (SELECT *, ({_charge()}) > 0 AS positive FROM h) WHERE step < 20)
+SELECT p.seq_id, round((lo + hi) / 2, 3) AS isoelectric_point FROM ({SQL_PROTEIN}) p LEFT JOIN (SELECT * FROM h WHERE step = 20) USING (seq_id)"""
+
+
 def _weights(table: dict) -> str:
     return " + ".join(f"(length(sequence) - length(replace(sequence, '{a}', ''))) * ({v}::DOUBLE)" for a, v in table.items())
 
 
-@query(f"SELECT seq_id, length(sequence)::BIGINT AS length, round({_weights(descriptors.MASSES)} - (length(sequence) - 1) * {descriptors.WATER}::DOUBLE, 2) AS molecular_weight, round(length(regexp_replace(sequence, '[^FWY]', '', 'g'))::DOUBLE / length(sequence), 4) AS aromaticity, round(({_weights(descriptors.HYDROPATHY)}) / length(sequence), 4) AS gravy FROM ({SQL_PROTEIN}) WHERE length(sequence) > 0")
+@query(f"SELECT seq_id, length(sequence)::BIGINT AS length, round({_weights(descriptors.MASSES)} - (length(sequence) - 1) * {descriptors.WATER}::DOUBLE, 2) AS molecular_weight, round(length(regexp_replace(sequence, '[^FWY]', '', 'g'))::DOUBLE / length(sequence), 4) AS aromaticity, round(({_weights(descriptors.HYDROPATHY)}) / length(sequence), 4) AS gravy, isoelectric_point FROM ({SQL_PROTEIN}) JOIN ({SQL_PI}) USING (seq_id) WHERE length(sequence) > 0")
 def desc_protein(spark, sf_dir):
-    s = descriptors.protein_letters(F.col("sequence"))
-    df = views.records(spark, sf_dir, "protein").where(F.char_length("sequence") > 0)
-    return df.select("seq_id", S.length(s).alias("length"), descriptors.molecular_weight(s).alias("molecular_weight"), descriptors.aromaticity(s).alias("aromaticity"), descriptors.gravy(s).alias("gravy"))
+    df = views.records(spark, sf_dir, "protein").where(F.char_length("sequence") > 0).select("seq_id", descriptors.protein(F.col("sequence")).alias("d"))
+    return df.select("seq_id", "d.length", "d.molecular_weight", "d.aromaticity", "d.gravy", "d.isoelectric_point")
 
 
 @query(f"SELECT seq_id, a AS residue, round((length(sequence) - length(replace(sequence, a, '')))::DOUBLE / length(sequence), 4) AS fraction FROM ({SQL_PROTEIN}), (SELECT unnest(string_split('{' '.join(descriptors.PROTEIN)}', ' ')) AS a) WHERE length(sequence) > 0")
@@ -284,7 +315,7 @@ def desc_composition(spark, sf_dir):
     return d.select("seq_id", "c.residue", "c.fraction")
 
 
-@query()
+@query(SQL_PI)
 def desc_pi(spark, sf_dir):
     return views.records(spark, sf_dir, "protein").select("seq_id", descriptors.isoelectric_point(F.col("sequence")).alias("isoelectric_point"))
 
@@ -293,14 +324,15 @@ SQL_ORFS = f"""WITH s AS (SELECT seq_id, 1 AS strand, sequence FROM ({SQL_DNA})
 c AS (SELECT seq_id, strand, f AS frame, unnest(range((length(sequence) - f) // 3)) AS i, sequence FROM s, (SELECT unnest([0, 1, 2]) AS f) WHERE length(sequence) - f >= 3),
 k AS (SELECT seq_id, strand, frame, i, substr(sequence, i * 3 + frame + 1, 3) AS codon FROM c),
 g AS (SELECT *, count(*) FILTER (codon IN ('TAA', 'TAG', 'TGA')) OVER (PARTITION BY seq_id, strand, frame ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM k),
-o AS (SELECT seq_id, strand, frame, part, min(i) FILTER (codon = 'ATG') AS a, max(i) FILTER (codon IN ('TAA', 'TAG', 'TGA')) AS z FROM g GROUP BY ALL)
-SELECT seq_id, strand, frame, (a * 3 + frame)::BIGINT AS "start", (z * 3 + 3 + frame)::BIGINT AS "end", (z - a)::BIGINT AS protein_length FROM o WHERE a < z AND z - a >= 30"""
+o AS (SELECT seq_id, strand, frame, part, min(i) FILTER (codon = 'ATG') AS a, max(i) FILTER (codon IN ('TAA', 'TAG', 'TGA')) AS z FROM g GROUP BY ALL),
+t AS (SELECT o.seq_id, o.strand, o.frame, a, z, string_agg(aa, '' ORDER BY i) AS protein FROM o JOIN k ON k.seq_id = o.seq_id AND k.strand = o.strand AND k.frame = o.frame AND i >= a AND i < z JOIN (VALUES {', '.join(f"('{c}', '{aa}')" for c, aa in S.CODONS.items())}) AS x(codon, aa) USING (codon) WHERE z - a >= 30 GROUP BY ALL)
+SELECT seq_id, strand, frame, (a * 3 + frame)::BIGINT AS "start", (z * 3 + 3 + frame)::BIGINT AS "end", (z - a)::BIGINT AS protein_length, protein FROM t"""
 
 
 @query(SQL_ORFS)
 def orf_scan(spark, sf_dir):
     hits = views.records(spark, sf_dir).select("seq_id", F.explode(annotation.orfs(F.col("sequence"), 30)).alias("o"))
-    return hits.select("seq_id", "o.strand", "o.frame", "o.start", "o.end", "o.protein_length")
+    return hits.select("seq_id", "o.strand", "o.frame", "o.start", "o.end", "o.protein_length", "o.protein")
 
 
 @query(f"""WITH g AS (SELECT seq_id, sequence, unnest(list_filter(range(length(sequence)), lambda i: substr(sequence, i + 1, 2) = 'GT')) AS s FROM ({SQL_DNA})),
@@ -311,7 +343,14 @@ def intron_scan(spark, sf_dir):
     return hits.select("seq_id", "o.start", "o.end", "o.length")
 
 
-@query()
+SQL_TATA = f"""WITH w AS (SELECT seq_id, length(sequence) AS n, right(sequence, 100) AS s FROM ({SQL_DNA})),
+m AS (SELECT seq_id, n, length(s) AS size, regexp_extract_all(s, '{annotation.TATA}') AS hits, regexp_split_to_array(s, '{annotation.TATA}') AS gaps FROM w),
+x AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+p AS (SELECT seq_id, n, hits[i] AS matched_text, n - size + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS pos FROM x)
+SELECT seq_id, pos::BIGINT AS "start", (pos - n)::BIGINT AS offset_from_end, matched_text FROM p"""
+
+
+@query(SQL_TATA)
 def tata_scan(spark, sf_dir):
     hits = views.records(spark, sf_dir).select("seq_id", F.explode(annotation.tata_boxes(F.col("sequence"))).alias("o"))
     return hits.select("seq_id", "o.start", "o.offset_from_end", "o.matched_text")
@@ -330,10 +369,16 @@ def motif_scan(spark, sf_dir):
 
 def _regions(spark, sf_dir, feature):
     hits = views.records(spark, sf_dir, "protein").select("seq_id", F.explode(feature(F.col("sequence"))).alias("r"))
-    return hits.select("seq_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"), F.round("r.score", 3).alias("score"))
+    return hits.select("seq_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"), F.round("r.score", 6).alias("score"))
 
 
-@query()
+#: Residues with their places, and windowed means of hydropathy in tenths, which add up exactly.
+SQL_RESIDUES = f"SELECT seq_id, i, sequence[i] AS aa, n FROM (SELECT seq_id, sequence, length(sequence) AS n, unnest(range(1, length(sequence) + 1)) AS i FROM ({SQL_PROTEIN}))"
+SQL_MEANS = f"SELECT seq_id, i, n, sum(h) OVER w / (10.0::DOUBLE * count(*) OVER w) AS m FROM (SELECT r.*, h FROM ({SQL_RESIDUES}) r JOIN (VALUES {', '.join(f"('{a}', {round(v * 10)})" for a, v in descriptors.HYDROPATHY.items())}) AS s(aa, h) USING (aa)) WINDOW w AS (PARTITION BY seq_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING)"
+
+
+@query(f"""WITH f AS (SELECT seq_id, i, m, i - row_number() OVER (PARTITION BY seq_id ORDER BY i) AS run FROM ({SQL_MEANS}) WHERE m >= 1.6::DOUBLE)
+SELECT seq_id, (min(i) - 1)::BIGINT AS "start", max(i)::BIGINT AS "end", round(avg(m), 6) AS score FROM f GROUP BY seq_id, run HAVING count(*) >= 6""")
 def tm_regions(spark, sf_dir):
     return _regions(spark, sf_dir, annotation.tm_regions)
 
@@ -343,7 +388,16 @@ def coiled_coils(spark, sf_dir):
     return _regions(spark, sf_dir, annotation.coiled_coils)
 
 
-@query()
+#: Entropy of each window of 12 from counts of every letter, runs of low ones, and the entropy of what those cover.
+SQL_LOW = f"""WITH r AS MATERIALIZED ({SQL_RESIDUES}),
+w AS (SELECT seq_id, i, n, {', '.join(f"count(*) FILTER (aa = '{a}') OVER w AS c_{a}" for a in descriptors.PROTEIN)} FROM r WINDOW w AS (PARTITION BY seq_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+h AS (SELECT seq_id, i FROM w WHERE i + 11 <= n AND -({' + '.join(f"CASE WHEN c_{a} > 0 THEN c_{a} / 12.0::DOUBLE * log2(c_{a} / 12.0::DOUBLE) ELSE 0 END" for a in descriptors.PROTEIN)}) < 3.0::DOUBLE - 1e-12),
+g AS (SELECT seq_id, min(i) - 1 AS a, max(i) + 11 AS z FROM (SELECT *, i - row_number() OVER (PARTITION BY seq_id ORDER BY i) AS run FROM h) GROUP BY seq_id, run),
+l AS (SELECT g.seq_id, a, z, aa, count(*) AS n FROM g JOIN r ON r.seq_id = g.seq_id AND r.i > a AND r.i <= z GROUP BY ALL)
+SELECT seq_id, a::BIGINT AS "start", z::BIGINT AS "end", round(-sum(n / (z - a)::DOUBLE * log2(n / (z - a)::DOUBLE)), 6) AS score FROM l GROUP BY seq_id, a, z"""
+
+
+@query(SQL_LOW)
 def low_complexity(spark, sf_dir):
     return _regions(spark, sf_dir, annotation.low_complexity)
 
@@ -354,7 +408,8 @@ def signal_peptide(spark, sf_dir):
     return p.select("seq_id", "p.is_signal_peptide", "p.cleavage_site", "p.score")
 
 
-@query()
+@query(f"SELECT seq_id, count(*) AS n, round(max(m), 6) AS most, round(min(m), 6) AS least, round(avg(m), 6) AS mean FROM ({SQL_MEANS}) GROUP BY 1")
 def hydropathy(spark, sf_dir):
-    p = views.records(spark, sf_dir, "protein").select("seq_id", annotation.hydropathy(F.col("sequence")).alias("p"))
-    return p.select("seq_id", F.size("p").cast("long").alias("n"), F.round(F.array_max("p"), 4).alias("most"), F.round(F.array_min("p"), 4).alias("least"))
+    p = views.records(spark, sf_dir, "protein").select("seq_id", annotation.hydropathy(F.col("sequence")).alias("p")).where(F.size("p") > 0)
+    mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / F.size("p")
+    return p.select("seq_id", F.size("p").cast("long").alias("n"), F.round(F.array_max("p"), 6).alias("most"), F.round(F.array_min("p"), 6).alias("least"), F.round(mean, 6).alias("mean"))

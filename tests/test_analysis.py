@@ -152,22 +152,105 @@ def test_alignment(spark):
 
 def test_trees(spark):
     names = ["a", "b", "c", "d", "e"]
-    d = np.array([[0, 5, 9, 9, 8], [5, 0, 10, 10, 9], [9, 10, 0, 8, 7], [9, 10, 8, 0, 3], [8, 9, 7, 3, 0]], dtype=float)
-    nodes = trees.build(names, d)
+    d = [[0, 5, 9, 9, 8], [5, 0, 10, 10, 9], [9, 10, 0, 8, 7], [9, 10, 8, 0, 3], [8, 9, 7, 3, 0]]
+    pairs = spark.createDataFrame([(names[i], names[j], float(d[i][j])) for i in range(5) for j in range(i + 1, 5)], "a string, b string, distance double")
+    nodes = [tuple(r) for r in trees.tree(pairs).collect()]
     assert len(nodes) == 2 * len(names) - 2 and abs(sum(n[3] for n in nodes) - 17) < 1e-9
+    up = {n[0]: n for n in nodes}
+
+    def way(x):
+        node, out, total = next(n[0] for n in nodes if n[2] == x), {}, 0.0
+        while node is not None:
+            out[node], total, node = total, total + up[node][3], up[node][1]
+        return out
+
+    for i, x in enumerate(names):  # additive distances are those of the tree
+        for j, y in enumerate(names):
+            p, q = way(x), way(y)
+            assert abs(min(p[n] + q[n] for n in p if n in q) - d[i][j]) < 1e-9
     back = trees.parse_newick(trees.to_newick(nodes))
     assert sorted(n[2] for n in back if n[2]) == names and abs(sum(n[3] for n in back) - 17) < 1e-3
     kept = trees.prune(nodes, {"a", "b", "d"})
     assert sorted(n[2] for n in kept if n[2]) == ["a", "b", "d"]
     with pytest.raises(ValueError):
         trees.prune(nodes, {"x"})
+    upgma = trees.tree(spark.createDataFrame([("a", "b", 2.0), ("a", "c", 6.0), ("b", "c", 6.0)], "a string, b string, distance double"), "upgma").collect()
+    assert sum(r["branch_length"] for r in upgma) == 7.0 and len(upgma) == 5
+
+
+def test_tree_summary_and_bootstrap(spark):
     rows = [("w", "ACGTACGTAA"), ("x", "ACGTACGTAC"), ("y", "TTGTACCTGG"), ("z", "TTGTACCTGC")]
-    table = trees.tree(trees.distances(spark.createDataFrame(rows, "name string, sequence string")))
-    assert tuple(trees.summary(table).first())[:2] == (4, 2)
-    support = {r["split"]: r["support"] for r in trees.bootstrap_support(spark.createDataFrame(rows, "name string, sequence string"), 20).collect()}
+    alignment = spark.createDataFrame(rows, "name string, sequence string")
+    table = trees.tree(trees.distances(alignment))
+    row = trees.summary(table).first()
+    assert (row["n_taxa"], row["n_internal"], row["taxa"]) == (4, 2, ["w", "x", "y", "z"]) and row["max_depth"] > 0
+    places = {r["name"]: r["y"] for r in trees.plot_data(table).collect() if r["name"]}
+    assert places == {"w": 1, "x": 2, "y": 3, "z": 4}
+    support = {r["split"]: r["support"] for r in trees.bootstrap_support(alignment, 20).collect()}
     assert max(support, key=support.get) == "y,z" and all(0 < v <= 100 for v in support.values())
-    upgma = trees.build(["a", "b", "c"], np.array([[0, 2, 6], [2, 0, 6], [6, 6, 0.0]]), "upgma")
-    assert sum(n[3] for n in upgma) == 7.0
+    protein = spark.createDataFrame([("p", "AW-L"), ("q", "AWKL"), ("r", "GGGG")], "name string, sequence string")
+    near = {(r["a"], r["b"]): r["distance"] for r in trees.distances(protein, "blosum62").collect()}
+    assert near["p", "q"] == 0 and near["p", "r"] > 1
+    with pytest.raises(ValueError):
+        trees.distances(spark.createDataFrame([("p", "A"), ("q", "AC")], "name string, sequence string"))
+
+
+def test_all_pairs_of_divergence(spark):
+    rows = [("a", "ATGGGAAAAATTTAA"), ("b", "ATGGGCAAAACTTAA"), ("c", "ATGGGCAAAACTTAA")]
+    got = {r["pair"]: r["dn"] for r in evolution.dn_ds_matrix(spark.createDataFrame(rows, "name string, sequence string")).collect()}
+    assert set(got) == {"a/b", "a/c", "b/c"} and got["b/c"] == 0 and got["a/b"] == got["a/c"]
+
+
+def test_search_of_many_queries(spark, sequences, monkeypatch):
+    monkeypatch.setattr(similarity, "ROWS", 16)
+    monkeypatch.setattr(similarity, "ASKED", 3)
+    monkeypatch.setattr(similarity, "WIDE", 32)
+    df = records(spark, sequences)
+    asked = [i for i in range(len(sequences)) if i % 5 == 0]
+    for method, k in (("kmer", 4), ("kmer", 6), ("minhash", 6)):
+        got = similarity.search_all(df, df.where("ord % 5 = 0"), method, k, 4).collect()
+        if method == "kmer":
+            score = {(i, j): jaccard(sequences[i], sequences[j], k) for i in asked for j in range(len(sequences))}
+        else:
+            signed = {r["ord"]: r["s"] for r in df.select("ord", similarity.minhash(F.col("sequence"), k).alias("s")).collect()}
+            score = {(i, j): np.mean(np.array(signed[i]) == np.array(signed[j])) for i in asked for j in range(len(sequences))}
+        want = {(i, r + 1, j) for i in asked for r, j in enumerate(sorted(range(len(sequences)), key=lambda j: (-score[i, j], j))[:4])}
+        assert {(r["query"], r["rank"], r["ord"]) for r in got} == want and all(abs(r["score"] - score[r["query"], r["ord"]]) < 1e-12 for r in got)
+    with pytest.raises(ValueError):
+        similarity.search_all(df, df, "other")
+
+
+def test_minhash_clusters_and_medoids_in_blocks(spark, sequences, monkeypatch):
+    df = records(spark, sequences)
+    signed = {r["ord"]: np.array(r["s"]) for r in df.select("ord", similarity.minhash(F.col("sequence"), 8).alias("s")).collect()}
+    first = {}
+    for i, s in enumerate(sequences):
+        first.setdefault(s, i)
+    own = [i for s, i in first.items() if s]
+    want = {(i, j) for i in own for j in own if i < j and (signed[i] == signed[j]).mean() >= 0.7}
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(df, 8, 0.7, "minhash").collect()} == want and want
+    monkeypatch.setattr(clustering, "BLOCK", 3)
+    clusters = clustering.greedy(df, 8, 0.6)
+    member = {r["ord"]: r["cluster"] for r in clusters.collect()}
+    best = {}
+    for c in set(member.values()):
+        inside = sorted(i for i in member if member[i] == c)
+        total = {i: round(sum(jaccard(sequences[i], sequences[j], 4) for j in inside if j != i), 9) for i in inside}
+        best[c] = max(inside, key=lambda i: (total[i], -i))
+    assert {r["cluster"]: r["medoid"] for r in clustering.medoids(df, clusters).collect()} == best
+    counts = [r["size"] for r in clustering.sizes(clusters).collect()]
+    assert counts == sorted(counts, reverse=True)
+
+
+def test_sequence_space_and_viewer(spark, sequences):
+    df = records(spark, sequences).withColumns({"name": F.col("seq_id"), "seq_type": F.lit("dna"), "meta": F.struct(F.lit("x").alias("group"))})
+    assert {r["label"] for r in embedding.sequence_space(df, "group", k=2).collect()} == {"x"} and {r["label"] for r in embedding.sequence_space(df, "tagged", k=2).collect()} == {"no"}
+    with pytest.raises(ValueError):
+        embedding.sequence_space(df.limit(1))
+    rows = records(spark, ["ACGT", "ACGT", "ACAT"]).withColumn("name", F.col("seq_id"))
+    assert profiles.viewer_data(rows, 3).count() == 9 and profiles.viewer_data(rows, 0).count() == 12
+    with pytest.raises(ValueError):
+        profiles.profile_table(records(spark, ["A", "AC"]))
 
 
 def test_embedding(spark, sequences):
@@ -189,6 +272,15 @@ def pdb(spark, shift=0.0):
     return structure.parse_pdb(spark.createDataFrame(rows, "n long, value string"))
 
 
+def test_cif(spark):
+    text = "data_X\nloop_\n_atom_site.group_PDB\n_atom_site.id\n_atom_site.type_symbol\n_atom_site.label_atom_id\n_atom_site.label_comp_id\n_atom_site.label_asym_id\n_atom_site.auth_seq_id\n_atom_site.Cartn_x\n_atom_site.Cartn_y\n_atom_site.Cartn_z\n_atom_site.B_iso_or_equiv\nATOM 1 C CA ALA A 1 0.0 1.5 2.0 9.5\nATOM 2 C CA GLY A 2 3.8 1.0 2.0 8.0\nHETATM 3 O O HOH A ? 1 1 1 1\n#\n"
+    atoms = structure.parse_cif(spark.createDataFrame([(text,)], "value string"))
+    assert [tuple(r) for r in structure.structure_sequences(atoms).collect()] == [("A", "AG")]
+    assert atoms.orderBy("ord").select("resseq", "x", "bfactor").first()[:] == (1, 0.0, 9.5) and atoms.count() == 3
+    with pytest.raises(ValueError):
+        structure.read_structure(spark, "x.txt")
+
+
 def test_structure(spark):
     atoms = pdb(spark)
     assert [tuple(r) for r in structure.structure_sequences(atoms).collect()] == [("A", "AGSLV")]
