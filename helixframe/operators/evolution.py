@@ -50,7 +50,7 @@ def codon_frame(spark: SparkSession) -> DataFrame:
 
 def distance(share: Column) -> Column:
     """Jukes-Cantor distance; null from three quarters on."""
-    return F.when(share < 0.75, -0.75 * F.ln(1 - share * 4 / 3))
+    return F.when(F.round(share, 12) < 0.75, -0.75 * F.ln(1 - share * 4 / 3))
 
 
 def trim_stops(a: Column, b: Column) -> tuple[Column, Column]:

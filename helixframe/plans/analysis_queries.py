@@ -216,7 +216,7 @@ SQL_CODON_TABLE = "(VALUES " + ", ".join(f"('{a}', '{b}', {sites!r}::DOUBLE, {sy
 
 def dn_ds_sql(pairs: str) -> str:
     """Divergence of (pair, a, b) rows of whole codons in which no pair ends in stops on both sides."""
-    jc = lambda x: f"CASE WHEN {x} < 0.75 THEN -0.75::DOUBLE * ln(1 - {x} * 4 / 3) END"
+    jc = lambda x: f"CASE WHEN round({x}, 12) < 0.75 THEN -0.75::DOUBLE * ln(1 - {x} * 4 / 3) END"
     return f"""WITH p AS ({pairs}), c AS (SELECT pair, substr(a, i * 3 + 1, 3) AS ca, substr(b, i * 3 + 1, 3) AS cb FROM (SELECT pair, a, b, unnest(range(length(a) // 3)) AS i FROM (SELECT pair, CASE WHEN z THEN left(a, -3) ELSE a END AS a, CASE WHEN z THEN left(b, -3) ELSE b END AS b FROM (SELECT *, regexp_matches(a, '(TAA|TAG|TGA)$') AND regexp_matches(b, '(TAA|TAG|TGA)$') AS z FROM p)))),
 s AS (SELECT pair, sum(sites) AS s, count(*) AS n, sum(syn) AS syn, sum(non) AS non FROM c JOIN {SQL_CODON_TABLE} USING (ca, cb) GROUP BY 1),
 r AS (SELECT pair, syn / nullif(s, 0) AS ps, non / nullif(3 * n - s, 0) AS pn FROM s), d AS (SELECT pair, {jc("pn")} AS dn, {jc("ps")} AS ds FROM r)
