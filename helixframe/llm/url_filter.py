@@ -38,7 +38,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits, and its action; both null if none does. Of equally long rules the first wins."""
     rule = action = F.lit(None).cast("string")
-    for act, text in sorted(rules, key=lambda r: len(r[1])):
+    for act, text in sorted(reversed(rules), key=lambda r: len(r[1])):
         own, _, rest = text.partition("/")
         fits = ((host == own) | F.endswith(host, F.lit("." + own))) & F.startswith(path, F.lit("/" + rest))
         rule, action = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(act)).otherwise(action)
