@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from helixframe.llm.quality import RULES, policy_mask
 from helixframe.llm.url_filter import LOWER, UPPER
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -34,7 +33,10 @@ g AS (SELECT *, large AND upto <= rest * large_size / greatest(source_size, 1) A
 k AS (SELECT *, sum(CASE WHEN large_in THEN size ELSE 0 END) OVER (PARTITION BY source) AS large_taken FROM g)
 SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN large_in OR (NOT large AND upto - size / 2.0::DOUBLE <= rest - large_taken) THEN 1 ELSE 0 END)::BIGINT AS taken FROM k"""
 
-BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
+#: The rules written out by themselves, so that the operator's own strings are checked.
+BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate((
+    "n_words < 10", "n_repeat_words * 5 > n_words", "n_symbols * 4 > n_words", "n_exclamations * 10 > n_words * 3", "n_lines > 3 AND n_dup_lines * 2 > n_lines", "n_words > 0 AND NOT word_chars BETWEEN n_words * 2 AND n_words * 20",
+)))
 OP10 = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORDS}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS l FROM d),
 g AS (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
@@ -42,4 +44,8 @@ h AS (SELECT row, i FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n FRO
 c AS (SELECT row, sum(least(5, coalesce(gap, 5)))::BIGINT AS n FROM (SELECT row, lead(i) OVER (PARTITION BY row ORDER BY i) - i AS gap FROM h) GROUP BY 1),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l)::BIGINT AS n_lines, len(regexp_extract_all(t, '!'))::BIGINT AS n_exclamations FROM w LEFT JOIN c USING (row)),
 b AS (SELECT *, ({BITS})::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {policy_mask("base")}) <> 0 AS base_failed, (fail_bits & {policy_mask("base") | policy_mask("v1")}) = 0 AS kept, fail_bits FROM b"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits FROM b"""
+
+NAMES = ("few_words", "repeated_words", "symbols", "shouting", "repeated_lines", "word_length")
+ABLATIONS = f"""WITH b AS ({OP10}), r(rule, bit) AS (VALUES {", ".join(f"('{n}', {1 << i})" for i, n in enumerate(NAMES))})
+SELECT rule, bit, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & 63 = bit) AS n_only, count(*) FILTER (fail_bits & (63 - bit) = 0) AS n_kept_without FROM b, r GROUP BY rule, bit"""

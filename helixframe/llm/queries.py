@@ -69,6 +69,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy drops, alone and with the others, over all documents."""
+    return quality.ablations(quality.quality_ledger(table(spark, sf_dir, "documents", "doc_id", "text")), "v1")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_html_extract": op2_html_extract,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablations": quality_ablations,
 }
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": oracles.OP4, "op8_top_k": oracles.OP8, "op9_mix_sources": oracles.OP9, "op10_quality_rules": oracles.OP10}
+ORACLES: dict[str, str] = {"op4_jaccard_join": oracles.OP4, "op8_top_k": oracles.OP8, "op9_mix_sources": oracles.OP9, "op10_quality_rules": oracles.OP10, "quality_ablations": oracles.ABLATIONS}
