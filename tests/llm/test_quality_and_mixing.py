@@ -152,3 +152,52 @@ def test_markov_ratio_is_that_of_a_loop(spark):
     for gram, ratio in got.items():
         g = (gram >> 15, gram >> 10 & 31, gram >> 5 & 31, gram & 31)
         assert ratio == pytest.approx(math.log(p(a, g)) - math.log(p(b, g)))
+
+
+def test_url_threshold_and_verdicts_are_those_of_a_loop(spark):
+    """The cut that parts the held-out ruled URLs best, tried bin by bin, and what follows for the open ones."""
+    import zlib
+
+    urls = [f"http://{h}.example.org/{p}/{i}" for i in range(300) for h, p in (("a", "en" if i % 2 else "es"), ("news", "fr"))] + [f"https://x{i % 7}.com/{'de' if i % 3 else 'fr'}/{i}{'q' * (i % 5)}" for i in range(300)] + [f"http://open{i}.net/{'de' if i % 2 else 'fr'}/{i}" for i in range(100)]
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    label = {text: act for act, text in url_filter.RULES}
+    held = [(min(url_filter.BINS - 1, max(0, int((r["score"] + 4) * (url_filter.BINS / 8) // 1))), label[r["rule"]]) for r in rows if r["rule"] and zlib.crc32((r["host"] + r["path"]).encode()) % 4 == 0]
+    n = Counter(x for _, x in held)
+    gain = lambda c: sum(b < c for b, x in held if x == "block") / n["block"] - sum(b < c for b, x in held if x == "allow") / n["allow"]
+    best = max(range(url_filter.BINS + 1), key=lambda c: (gain(c), -c)) * 8 / url_filter.BINS - 4
+    assert {r["rule"] for r in rows} >= {"org/", "example.org/es/", "com/de/", None}
+    for r in rows:
+        assert r["verdict"] == (label[r["rule"]] if r["rule"] else "block" if r["score"] < best else "allow")
+
+
+def test_urls_where_rules_accept_nothing_and_equal_rules(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/x/1", "s"), (2, "http://b.net/", "s"), (3, None, "s"), (4, "no scheme", "s"), (1, "http://a.com/x/1", "s")], "page_id long, url string, verdict string")
+    got = url_filter.filter_urls(rows, [("block", "a.com/x/"), ("allow", "a.com/x/")]).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got if r["rule"]) == [(1, "a.com/x/", "block")] * 2  # of equal rules the first
+    assert {(r["page_id"], r["verdict"]) for r in got if not r["rule"]} == {(2, "allow"), (3, "allow"), (4, "allow")}  # nothing accepted: no ratio
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(7, f"word{i} " * 9, "a") for i in range(40)] + [(None, "x y", "a"), (None, "x y z", "b"), (8, None, "b"), (8, "", "b")] + [(i, "w " * 11, "c") for i in range(100, 140)] + [(9, "same row " * 3, "b")] * 3
+    docs = spark.createDataFrame([(*r, "extra", 1) for r in rows], "doc_id long, text string, source string, hf_note string, taken int")
+    reps = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        reps[r["doc_id"], r["size"], r["taken"]] += 1
+    taken = mixing.apply_mix(docs)
+    got = Counter()
+    for r in taken.collect():
+        got[r["doc_id"], len(WORD.findall(r["text"] or ""))] += 1
+    want = Counter()
+    for (i, size, words), n in reps.items():
+        if size:
+            want[i, size] += n * words // size
+    assert {k: n for k, n in got.items() if k[1]} == {k: n for k, n in want.items() if n} and taken.columns == docs.columns
+    again = Counter((r["doc_id"], r["text"]) for r in mixing.apply_mix(docs.repartition(7)).collect())
+    assert again == Counter((r["doc_id"], r["text"]) for r in taken.collect())
+
+
+def test_long_texts_of_the_ledger(spark):
+    text = " ".join(f"word{i % 40_000}" for i in range(60_000)) + "\n" + "line\n" * 20_000
+    row = quality.quality_ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    n, chars, symbols, lines, repeated, _ = measured(text)
+    assert tuple(row[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == (n, chars, symbols, lines, repeated)

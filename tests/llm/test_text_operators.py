@@ -171,6 +171,24 @@ def test_language_id(spark):
     assert lang.identify(nothing.limit(0), None).count() == 0
 
 
+def test_letters_ties_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "ab cd", "en") for i in range(9)] + [(50, "½ ²", None), (51, "Ⅷ", None), (52, "é", None)], "doc_id long, text string, lang string").withColumn("score", F.lit(1))
+    got = {r["doc_id"]: r["lang_pred"] for r in lang.identify(docs, lang.train(docs)).collect()}
+    assert (got[50], got[51], got[52]) == ("und", "und", "en")
+    for make in (lambda: lang.identify(docs, None, keep=("score",)), lambda: codec.encode_documents(docs.withColumnRenamed("score", "n_tokens"), keep=("doc_id", "n_tokens"))):
+        with pytest.raises(ValueError, match="rename"):
+            make()
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = random.Random(3)
+    langs = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) for j in range(20)] for k in range(30)}
+    rows = [(i, toy_language(rng, langs[k], 12), k) for i in range(900) for k in [f"l{i % 30:02}"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang.identify(docs, lang.train(docs, sample=300), keep=("lang",)).where("held_out").collect()
+    assert {r["lang_pred"] for r in got} == set(langs) and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+
+
 def test_presence_of_long_texts_is_that_of_short_pieces():
     text = lang.prepare("abc déf " * 300_000)
     short = lang.prepare("abc déf " * 50)
