@@ -154,3 +154,22 @@ def test_annotate_adds_tags(spark, small):
     df = A.annotate(small.where("seq_type = 'dna'"), motifs=A.motifs(F.col("sequence"), ["PS00007"]), orfs=A.orfs(F.col("sequence"), 1))
     assert names(df) == ["Alpha", "beta"]
     assert "bridged" in df.where("name = 'Alpha'").first()["tags"]
+
+
+def test_describe_by_type(spark):
+    rows = [(0, "a", "ACGT", "dna"), (1, "b", "MKWV", "protein"), (2, "c", "ACGU", "rna"), (3, "d", "", "protein")]
+    df = spark.createDataFrame(rows, "ord long, name string, sequence string, seq_type string").withColumn("meta", F.struct(F.lit("x").alias("lang")))
+    got = {r["name"]: r["meta"]["descriptor"] for r in D.describe(df).collect()}
+    assert got["a"]["gc_percent"] == 50.0 and got["a"]["molecular_weight"] is None and got["c"]["length"] == 4
+    assert got["b"]["gc_percent"] is None and got["b"]["aromaticity"] == 0.25 and got["b"]["length"] == 4 and got["d"] is None
+    only = {r["name"]: r["meta"]["descriptor"] for r in D.describe(df, "protein").collect()}
+    assert only["a"] is None and only["b"] == got["b"]
+
+
+def test_status_flat_lists_and_uneven_qualities(spark):
+    df = spark.createDataFrame([(0, "i", "n", "AC", "dna", "d", ["b", "a"]), (1, "j", "m", "MK", "protein", "d", ["b"])], "ord long, seq_id string, name string, sequence string, seq_type string, description string, tags array<string>")
+    df = df.withColumn("meta", F.struct(F.array(F.lit("g"), F.lit("h")).alias("genes"), F.lit(1).alias("n")))
+    assert [tuple(r) for r in R.status(df).collect()] == [("total", None, 2), ("type", "dna", 1), ("type", "protein", 1), ("tag", "b", 2), ("tag", "a", 1)]
+    assert {r["meta_genes"] for r in R.flat_rows(df).collect()} == {"g;h"}
+    with pytest.raises(Exception, match="different number"):
+        C.clean(df.withColumn("quality", F.array(F.lit(1))), C.Cleaning()).collect()
