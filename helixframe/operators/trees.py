@@ -53,29 +53,30 @@ def joined(pairs: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
     leaves = checkpoint(taxa.withColumn("node", F.row_number().over(Window.partitionBy("tree").orderBy("name")) - 1))
     n = leaves.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     number = lambda name: leaves.select("tree", F.col("name").alias(name), F.col("node").alias(f"n{name}"))
-    one_way = pairs.join(number("a"), ["tree", "a"]).join(number("b"), ["tree", "b"]).select("tree", F.col("na").alias("i"), F.col("nb").alias("j"), "distance")
-    d = checkpoint(one_way.unionByName(one_way.select("tree", F.col("j").alias("i"), F.col("i").alias("j"), "distance")))
-    clusters = leaves.select("tree", "node", F.lit(1).alias("size"), F.lit(0.0).alias("height"), F.array("name").alias("names"))
+    one_way = pairs.join(number("a"), ["tree", "a"]).join(number("b"), ["tree", "b"])
+    # each row has what is known of both clusters, so that a round joins nothing but the merged pair
+    facts = lambda x, node, name: F.struct(F.col(node).alias("node"), F.lit(1).alias("size"), F.lit(0.0).alias("height"), F.array(name).alias("names")).alias(x)
+    ways = [one_way.select("tree", F.col(f"n{x}").alias("i"), F.col(f"n{y}").alias("j"), "distance", facts("own", f"n{x}", x), facts("other", f"n{y}", y)) for x, y in (("a", "b"), ("b", "a"))]
+    d = checkpoint(ways[0].unionByName(ways[1]))
     merged: list[DataFrame] = []
     new, left = n, n
     while left > (3 if method == "nj" else 1) and left > 1:
-        sums = d.groupBy("tree", "i").agg(F.sum("distance").alias("r"))
-        both = d.where("i < j").join(sums, ["tree", "i"]).join(sums.withColumnsRenamed({"i": "j", "r": "s"}), ["tree", "j"])
+        sums = d.withColumns({"r": F.sum("distance").over(Window.partitionBy("tree", "i")), "s": F.sum("distance").over(Window.partitionBy("tree", "j"))}) if method == "nj" else d.withColumns({"r": F.lit(0.0), "s": F.lit(0.0)})
         criterion = (left - 2) * F.col("distance") - F.col("r") - F.col("s") if method == "nj" else F.col("distance")
-        best = both.groupBy("tree").agg(F.min(F.struct(F.round(criterion, 12).alias("q"), "i", "j", "distance", "r", "s")).alias("m")).select("tree", F.col("m.i").alias("p"), F.col("m.j").alias("o"), "m.distance", "m.r", "m.s")
-        for x in ("p", "o"):
-            best = best.join(clusters.select("tree", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "height", "names")]), ["tree", x])
-        first = F.col("distance") / 2 + (F.col("r") - F.col("s")) / (2 * max(1, left - 2)) if method == "nj" else F.col("distance") / 2 - F.col("height_p")
-        second = F.col("distance") - first if method == "nj" else F.col("distance") / 2 - F.col("height_o")
-        best = checkpoint(best.select("tree", "p", "o", F.lit(new).alias("node"), F.col("distance").alias("between"), first.alias("first"), second.alias("second"), "size_p", "size_o", F.array_sort(F.concat("names_p", "names_o")).alias("names")))
+        best = sums.where("i < j").groupBy("tree").agg(F.min(F.struct(F.round(criterion, 12).alias("q"), "i", "j", "distance", "r", "s", "own", "other")).alias("m")).select("tree", F.col("m.i").alias("p"), F.col("m.j").alias("o"), "m.distance", "m.r", "m.s", "m.own", "m.other")
+        first = F.col("distance") / 2 + (F.col("r") - F.col("s")) / (2 * max(1, left - 2)) if method == "nj" else F.col("distance") / 2 - F.col("own.height")
+        second = F.col("distance") - first if method == "nj" else F.col("distance") / 2 - F.col("other.height")
+        best = checkpoint(best.select("tree", "p", "o", F.lit(new).alias("node"), F.col("distance").alias("between"), first.alias("first"), second.alias("second"), F.col("own.size").alias("size_p"), F.col("other.size").alias("size_o"), F.array_sort(F.concat("own.names", "other.names")).alias("names")))
         merged.append(best)
-        clusters = clusters.unionByName(best.select("tree", "node", (F.col("size_p") + F.col("size_o")).alias("size"), (F.col("between") / 2).alias("height"), "names"))
-        marked = d.join(F.broadcast(best.select("tree", "p", "o", "between", "size_p", "size_o")), "tree")  # one row a tree
+        marked = d.join(F.broadcast(best), "tree")  # one row a tree
         inside = lambda x: (F.col(x) == F.col("p")) | (F.col(x) == F.col("o"))
+        whole = F.struct("node", (F.col("size_p") + F.col("size_o")).alias("size"), (F.col("between") / 2).alias("height"), "names")
         heavy = F.sum(F.col("distance") * F.when(F.col("i") == F.col("p"), F.col("size_p")).otherwise(F.col("size_o")))
-        near = marked.where(inside("i") & ~inside("j")).groupBy("tree", "j").agg(((F.sum("distance") - F.first("between")) / 2 if method == "nj" else heavy / F.first(F.col("size_p") + F.col("size_o"))).alias("distance"))
-        kept = marked.where(~inside("i") & ~inside("j")).select("tree", "i", "j", "distance")
-        d = checkpoint(kept.unionByName(near.select("tree", F.lit(new).alias("i"), "j", "distance")).unionByName(near.select("tree", F.col("j").alias("i"), F.lit(new).alias("j"), "distance")))
+        middle = (F.sum("distance") - F.first("between")) / 2 if method == "nj" else heavy / F.first(F.col("size_p") + F.col("size_o"))
+        near = marked.where(inside("i") & ~inside("j")).groupBy("tree", "j").agg(middle.alias("distance"), F.first(whole).alias("own"), F.first("other").alias("other"))
+        two_ways = near.select("tree", "distance", F.explode(F.array(F.struct(F.lit(new).alias("i"), "j", "own", "other"), F.struct(F.col("j").alias("i"), F.lit(new).alias("j"), F.col("other").alias("own"), F.col("own").alias("other")))).alias("w"))
+        kept = marked.where(~inside("i") & ~inside("j")).select("tree", "i", "j", "distance", "own", "other")
+        d = checkpoint(kept.unionByName(two_ways.select("tree", "w.i", "w.j", "distance", "w.own", "w.other")))
         new, left = new + 1, left - 1
     two = lambda m: F.explode(F.array(F.struct(F.col("p").alias("node"), F.col("first").alias("length")), F.struct(F.col("o").alias("node"), F.col("second").alias("length"))))
     edges = [m.select("tree", F.col("node").alias("parent"), two(m).alias("e")).select("tree", "e.node", "parent", F.col("e.length").alias("branch_length")) for m in merged]
