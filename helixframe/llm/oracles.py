@@ -49,3 +49,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 NAMES = ("few_words", "repeated_words", "symbols", "shouting", "repeated_lines", "word_length")
 ABLATIONS = f"""WITH b AS ({OP10}), r(rule, bit) AS (VALUES {", ".join(f"('{n}', {1 << i})" for i, n in enumerate(NAMES))})
 SELECT rule, bit, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & 63 = bit) AS n_only, count(*) FILTER (fail_bits & (63 - bit) = 0) AS n_kept_without FROM b, r GROUP BY rule, bit"""
+
+#: The crc32 of each distinct feature goes byte by byte through a table that the query makes itself.
+OP11 = rf"""WITH RECURSIVE c(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM c WHERE k < 8),
+t AS (SELECT i, c FROM c WHERE k = 8),
+x AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+w AS (SELECT side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT side, row, array_to_string(w[i:i + n - 1], ' ') AS f FROM (SELECT side, row, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w)),
+r(f, h, k, c) AS (SELECT f, hex(f), 0, 4294967295 FROM (SELECT DISTINCT f FROM f) UNION ALL SELECT f, h, k + 1, xor(r.c >> 8, t.c) FROM r JOIN t ON t.i = xor(r.c & 255, ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) WHERE 2 * k < length(h)),
+b AS (SELECT f, xor(c, 4294967295) % 10000 AS b FROM r WHERE 2 * k = length(h)),
+n AS (SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN b USING (f) GROUP BY 1),
+g AS (SELECT b, floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS g FROM n),
+d AS (SELECT row, count(*) AS n_features, sum(g)::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE side = 'd' GROUP BY 1),
+z AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, (('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM w LEFT JOIN d USING (row) WHERE side = 'd'),
+s AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln(u)))::BIGINT AS score FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM o"""
+
+#: Five hexadecimal digits of the SHA-1 are four of base 32.
+OP13 = """WITH p AS (SELECT row_number() OVER () AS row, page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+o AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST))
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first END AS refers_to, NULL::VARCHAR AS problem FROM o"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_format, html_extract, jaccard_join, language_id, license_scan, mixing, oracles, quality, sentencepiece_codec, topk_search, url_filter
+from helixframe.llm import chat_format, html_extract, importance_resampling, jaccard_join, language_id, license_scan, mixing, oracles, quality, sentencepiece_codec, topk_search, url_filter, warc, whitening
 from helixframe.llm._shared import table
 
 
@@ -69,6 +69,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")
+    return importance_resampling.resample(docs, target).drop("n_words")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives whose records hold at most 4 KiB, so that about half of the pages are put together from segments."""
+    index = warc.archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"), segment_bytes=1 << 12)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the policy drops, alone and with the others, over all documents."""
     return quality.ablations(quality.quality_ledger(table(spark, sf_dir, "documents", "doc_id", "text")), "v1")
@@ -85,7 +100,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_whitening": op12_whitening,
+    "op13_warc": op13_warc,
     "quality_ablations": quality_ablations,
 }
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": oracles.OP4, "op8_top_k": oracles.OP8, "op9_mix_sources": oracles.OP9, "op10_quality_rules": oracles.OP10, "quality_ablations": oracles.ABLATIONS}
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": oracles.OP4, "op8_top_k": oracles.OP8, "op9_mix_sources": oracles.OP9, "op10_quality_rules": oracles.OP10, "op11_importance_resampling": oracles.OP11, "op13_warc": oracles.OP13,
+    "quality_ablations": oracles.ABLATIONS,
+}
