@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +67,17 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.helixframe_path = path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)  # what is not discarded before goes with the session
     return out
 
 
+def first_of_each(rows: DataFrame, key: Iterable[str], columns: Iterable[str]) -> DataFrame:
+    """`key` and `columns`: of rows equal in `key` the one that comes first by a hash of all columns, so that every run takes the same."""
+    place = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*columns), place).alias("hf_first")).select(*key, "hf_first.*")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised frame that nothing reads any more, directly or by a lineage."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.helixframe_path)

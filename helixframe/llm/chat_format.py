@@ -13,7 +13,7 @@ the segments are then decoded from their ends. A turn that goes on over a cut is
 
 Defined results: null numbers come first, in an order by hash; pieces that share a number are in order of their text; a
 null text is an empty line; rows with a null conversation are conversations of their own, told apart by their text;
-repeated rows are read once; an empty table gives an empty result; other columns are not read.
+repeated rows are pieces of their own, one after the other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -161,17 +161,19 @@ def solve(items: DataFrame) -> DataFrame:
 def number_lines(pieces: DataFrame) -> DataFrame:
     """`hf_at`, the place of a piece's first line in its conversation, and `hf_before`, the role of the piece before it in its block."""
     key = ["hf_conv", "hf_block", "hf_salt"]
-    placed = pieces.withColumns({
+    placed = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("hf_copies")).withColumns({  # equal rows are placed together, then told apart
         "hf_lines": F.size(F.split("hf_text", "\n")).cast("long"),
         "hf_block": F.floor(F.coalesce("hf_turn", F.lit(-1)) / BLOCK),
         "hf_salt": F.when(F.col("hf_turn").isNull(), F.substring(F.md5("hf_text"), 1, 3)).otherwise(""),
     })
     inside = Window.partitionBy(*key).orderBy("hf_turn", "hf_text", "hf_role")
-    placed = materialise(placed.withColumns({"hf_at": F.sum("hf_lines").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("hf_lines"), "hf_before": F.lag("hf_role").over(inside)}))
-    sums = placed.groupBy(*key).agg(F.sum("hf_lines").alias("hf_sum"))
+    placed = materialise(placed.withColumns({"hf_at": F.sum(F.col("hf_lines") * F.col("hf_copies")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("hf_lines") * F.col("hf_copies"), "hf_before": F.lag("hf_role").over(inside)}))
+    sums = placed.groupBy(*key).agg(F.sum(F.col("hf_lines") * F.col("hf_copies")).alias("hf_sum"))
     earlier = Window.partitionBy("hf_conv").orderBy("hf_block", "hf_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(sums.select(*key, F.sum("hf_sum").over(earlier).alias("hf_start")).where("hf_start > 0"))
-    return placed.join(bounded(starts), key, "left").withColumn("hf_at", F.col("hf_at") + F.coalesce("hf_start", F.lit(0))).withColumn("hf_opens", F.col("hf_at") == 0).drop("hf_start", "hf_block", "hf_salt")
+    each = placed.withColumn("hf_copy", F.explode(F.sequence(F.lit(0), F.col("hf_copies") - 1)))
+    each = each.withColumns({"hf_at": F.col("hf_at") + F.col("hf_copy") * F.col("hf_lines"), "hf_before": F.when(F.col("hf_copy") > 0, F.col("hf_role")).otherwise(F.col("hf_before"))}).drop("hf_copy", "hf_copies")
+    return each.join(bounded(starts), key, "left").withColumn("hf_at", F.col("hf_at") + F.coalesce("hf_start", F.lit(0))).withColumn("hf_opens", F.col("hf_at") == 0).drop("hf_start", "hf_block", "hf_salt")
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -187,7 +189,7 @@ def format_chats(rows: DataFrame, role_of_training: Column | None = None, conv_c
     spark = rows.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     conv = F.coalesce(F.col(conv_col).cast("string"), F.concat(F.lit("null "), F.sha2(text, 256)))
-    pieces = rows.select(F.col(conv_col).cast("string").alias("hf_id"), conv.alias("hf_conv"), F.col(turn_col).cast("long").alias("hf_turn"), text.alias("hf_text"), (F.lit(None).cast("string") if role_of_training is None else role_of_training).alias("hf_role")).distinct()
+    pieces = rows.select(F.col(conv_col).cast("string").alias("hf_id"), conv.alias("hf_conv"), F.col(turn_col).cast("long").alias("hf_turn"), text.alias("hf_text"), (F.lit(None).cast("string") if role_of_training is None else role_of_training).alias("hf_role"))
     pieces = number_lines(pieces)
     counts = {r["what"]: r["n"] for r in count_lines(pieces.where(F.col("hf_role").isin(*ROLES))).collect()}
     shared = spark.sparkContext.broadcast(fit(counts))

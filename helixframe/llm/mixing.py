@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm._shared import materialise, word_count
+from helixframe.llm._shared import first_of_each, materialise, word_count
 
 #: The share of a source's fractional target above which a document is placed on its own, before the small ones.
 LARGE_SHARE = 100
@@ -106,8 +106,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: every row as often as `mix_sources` takes it, with the columns of `docs`.
 
-    Only hashes of rows and numbers are gathered; texts move at most once. Of rows equal in id, source and text, one
-    stands for all and is taken as often as they are together.
+    Only hashes of rows and numbers are gathered; texts move at most once. Of rows equal in id, source and text, that
+    which comes first by a hash of all columns stands for all and is taken as often as they are together.
     """
     named = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | {k: v for k, v in options.items() if k.endswith("_col")}
     key = F.xxhash64(F.col(named["id_col"]).cast("string"), F.lit("|"), named["source_col"], F.lit("|"), named["text_col"])
@@ -116,5 +116,5 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     small = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
     taken = docs.withColumn("hf_key", key).join(small, "hf_key")
     if reps.where("hf_rows > 1").limit(1).count():
-        taken = taken.where("hf_rows = 1").unionByName(taken.where("hf_rows > 1").dropDuplicates(["hf_key"]))
+        taken = taken.where("hf_rows = 1").unionByName(first_of_each(taken.where("hf_rows > 1"), ["hf_key", "hf_reps", "hf_rows"], docs.columns))
     return taken.withColumn("hf_copy", F.explode(F.sequence(F.lit(1), F.col("hf_reps")))).select(*docs.columns)

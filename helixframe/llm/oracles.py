@@ -15,7 +15,7 @@ r(doc_id, near) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id,
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(near) AS component_id FROM r GROUP BY 1) m USING (doc_id)"""
 
 OP8 = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-q AS (SELECT vec_id, v, min(r) AS r FROM v WHERE vec_id % 50 = 0 GROUP BY ALL),
+q AS (SELECT vec_id, v, r FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM q JOIN v c ON q.r <> c.r),
 r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""

@@ -12,8 +12,8 @@ Pairs of blocks yield k rows a query, and a window keeps the best k of those.
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part, nor do rows without an
 id; a vector shorter than another counts as padded with zeros, an empty one scores 0 everywhere; ties go to the smaller
 id; a query is a row, and only that row is no candidate of it, so other rows with its id are; rows equal in id and vector
-ask once, the others of them being candidates; a query with fewer than k candidates gets all; an empty table gives an
-empty result.
+ask each, with the same result; a query with fewer than k candidates gets all; an empty table gives an empty result;
+components so large that a score could need more than 64 bits raise an error.
 """
 
 from __future__ import annotations
@@ -113,14 +113,18 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     x = F.col(vector_col)
     usable = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.col(id_col).isNotNull()
     rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("hf_id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long")).alias("hf_v"))
-    queries = rows.where(F.pmod("hf_id", F.lit(every)) == 0).distinct().select(F.col("hf_id").alias("hf_asker"), F.col("hf_v").alias("hf_vector"))
-    n_rows, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("hf_v")), F.lit(0))).first()
+    queries = rows.where(F.pmod("hf_id", F.lit(every)) == 0).groupBy(F.col("hf_id").alias("hf_asker"), F.col("hf_v").alias("hf_vector")).agg(F.count("*").alias("hf_copies")).withColumn("hf_asked", F.xxhash64("hf_asker", "hf_vector"))
+    largest = F.coalesce(F.max(F.greatest(F.array_max("hf_v"), -F.array_min("hf_v"))), F.lit(0))
+    n_rows, width, largest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("hf_v")), F.lit(0)), largest).first()
+    if width * largest**2 >= 1 << 63:
+        raise OverflowError("the components are so large that a score could need more than 64 bits")
     each = lambda most: max(1, min(most, POSTINGS // max(1, width)))
     row_blocks, query_blocks = max(1, -(-n_rows // each(ROWS))), max(1, -(-queries.count() // each(ASKED)))
     block = lambda key, n: F.pmod(key, F.lit(n)).cast("int")
     spread = lambda first, n: F.explode(F.sequence(F.lit(first), F.lit(n - 1)))
     left = rows.select("hf_id", "hf_v", block(F.xxhash64("hf_id", "hf_v"), row_blocks).alias("hf_rows"))
-    right = queries.withColumn("hf_asked", F.xxhash64("hf_asker", "hf_vector")).withColumn("hf_queries", block(F.col("hf_asked"), query_blocks))
+    repeated = queries.where("hf_copies > 1").select("hf_asked", "hf_copies")
+    right = queries.drop("hf_copies").withColumn("hf_queries", block(F.col("hf_asked"), query_blocks))
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         found, keys, ids = [], asked.column("hf_asked").to_numpy(), asked.column("hf_asker").to_numpy()
@@ -145,4 +149,5 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         floors = found.groupBy("hf_asked").agg(F.when(F.count("*") >= k, F.min("score")).alias("hf_floor"))
         found = found.unionByName(meet(left.where("hf_rows > 0"), right.join(floors, "hf_asked", "left"), 1, row_blocks))
     best = Window.partitionBy("query_id", "hf_asked").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).join(repeated, "hf_asked", "left")
+    return ranked.withColumn("hf_copy", F.explode(F.sequence(F.lit(1), F.coalesce("hf_copies", F.lit(1))))).select("query_id", "rank", "vec_id", "score")

@@ -225,16 +225,26 @@ UNTRAINED = [
 ]
 
 
+GIVEN = ("Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "All rights reserved.")
+
+
 def test_license_wordings_that_were_not_trained_on(spark):
     """Recall and precision on wordings of which none is in the training notices, beside prose of the given tables."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = spark.createDataFrame([(10**6 + i, t) for i, (_, t) in enumerate(UNTRAINED)], "doc_id long, text string")
-    assert not {t for _, t in UNTRAINED} & {t for _, t in lic.templates()}
-    got = {r["doc_id"] - 10**6: r["family"] for r in lic.scan_licenses(docs.unionByName(rows)).where("doc_id >= 1000000").collect()}
+    assert not ({t for _, t in UNTRAINED} | set(GIVEN)) & {t for _, t in lic.templates()}
+    everything = lic.scan_licenses(docs.unionByName(rows)).collect()
+    there = [(r["doc_id"], line.strip()) for r in docs.collect() for line in (r["text"] or "").split("\n") if line.strip() in GIVEN]
+    hits = {(r["doc_id"], line.strip()) for r in everything for line in r["paragraph"].split("\n")}
+    for line in GIVEN:
+        own = [w for w in there if w[1] == line]
+        assert own and sum(w in hits for w in own) >= 0.9 * len(own), line
+    assert sum(r["doc_id"] < 10**6 for r in everything) <= 1.05 * len(there)
+    got = {r["doc_id"] - 10**6: r["family"] for r in everything if r["doc_id"] >= 10**6}
     found = [i for i, (f, _) in enumerate(UNTRAINED) if f and got.get(i) == f]
     recall, precision = len(found) / sum(f is not None for f, _ in UNTRAINED), len(found) / max(1, len(got))
     print(f"licenses in wordings not trained on: recall {recall:.2f}, precision {precision:.2f}; missed {[t for i, (f, t) in enumerate(UNTRAINED) if f and got.get(i) != f]}, wrong {[UNTRAINED[i][1] for i in got if i not in found]}")
-    assert recall >= 0.8 and precision >= 0.8
+    assert recall >= 0.9 and precision >= 0.9
 
 
 def test_chats(spark):
@@ -384,3 +394,20 @@ def test_part_of_the_postings_stays_unread():
         assert [x[1:] for x in got if x[0] == place] == [(int(ids[j]), int(score[j])) for j in best]
     print(f"postings read: {index.read / index.postings:.3f}; rows rescored: {index.rescored / (asked.sum() * len(ids)):.4f}")
     assert index.read < 0.9 * index.postings
+
+
+def test_chats_keep_repeated_pieces(spark):
+    """Equal pieces, numbered or not, are turns of their own."""
+    rows = [("c", None, t) for t in ("User: hi\nthere", "Assistant: ok", "User: more", "Assistant: ok")] + [("d", 1, "User: a"), ("d", 2, "Assistant: ok"), ("d", 2, "Assistant: ok"), ("d", 3, "User: b")] + [("e", None, "User: same\nline")] * 70
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, text string")).collect()
+    lines = lambda c: sorted(line for r in got if r["conv_id"] == c for line in r["text"].split("\n"))
+    assert lines("c") == ["hi", "more", "ok", "ok", "there"] and lines("d") == ["a", "b", "ok", "ok"] and lines("e") == ["line"] * 70 + ["same"] * 70
+    places = [(r["conv_id"], r["first_line"]) for r in got]
+    assert len(set(places)) == len(places)
+
+
+def test_repeated_queries_ask_each_and_scores_do_not_wrap(spark):
+    got = topk.top_k(spark.createDataFrame([(50, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(50, 1, 50), (50, 1, 50), (50, 2, 1), (50, 2, 1)]
+    with pytest.raises(OverflowError):
+        topk.top_k(spark.createDataFrame([(50, [3e9, 3e9]), (1, [3e9, 3e9])], "vec_id long, embedding array<double>")).count()
