@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; without one, executors could not see each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in `spark.checkpoint.dir`; without such a folder executors could not see each other's files."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """A reliable checkpoint in `spark.checkpoint.dir`."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as Parquet in the shared folder, until the session ends.
+
+    For loops of many rounds: a checkpoint also keeps what the planner knows about its columns, which grows from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/helixframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import alignment, clustering, embedding, evolution, profiles, similarity, structure, trees
+from helixframe.operators import linkage as linkage_module
 
 
 def records(spark, sequences):
@@ -293,3 +294,53 @@ def test_structure(spark):
         structure.superimpose(atoms, atoms, "A", "B")
     with pytest.raises(ValueError):
         structure.scores_to_bfactors(atoms, scores.limit(2), "A")
+
+
+def partition(rows):
+    """Sets of members, whatever the clusters are called."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["cluster"], set()).add(r["ord"])
+    return sorted(map(sorted, groups.values()))
+
+
+def cut_by_number(sequences, k, linkage, number):
+    """The plain loop: merge the nearest clusters of records, then undo what is above the least height with few enough."""
+    own = [kmers(s, k) for s in sequences]
+    d = np.array([[1 - len(x & y) / len(x | y) for y in own] for x in own])
+    joins = linkage_module.link_joins(d, linkage, 1.0, np.ones(len(own)))
+    heights = sorted({round(h, 12) for _, _, h in joins})
+    for limit in (-1.0, *heights):
+        label = list(range(len(own)))
+        for i, j, h in joins:
+            if round(h, 12) <= limit:
+                label = [label[i] if x == label[j] else x for x in label]
+        if len(set(label)) <= number:
+            return partition([{"ord": o, "cluster": c} for o, c in enumerate(label)])
+
+
+@pytest.mark.parametrize("linkage", ["single", "complete", "average", "weighted"])
+def test_clusters_by_number(spark, linkage, monkeypatch):
+    """300 records against a loop, in one task a component and in rounds."""
+    rng = random.Random(11)
+    sequences = [s for s in mutated(rng, 295, 60, 30) if s][:300]
+    df = records(spark, sequences)
+    distinct = len(set(sequences))
+    for small, number in ((1024, 3), (1024, 40), (240, 40)):  # the last takes some rounds first
+        monkeypatch.setattr(linkage_module, "SMALL", small)
+        if small > 1000 or linkage != "single":
+            got = partition(clustering.hierarchical(df, 6, linkage, n_clusters=number).collect())
+            assert got == cut_by_number(sequences, 6, linkage, number), (linkage, small, number)
+    if linkage == "single":
+        whole = partition(clustering.hierarchical(df, 6, linkage, n_clusters=distinct).collect())
+        assert len(whole) == distinct
+        assert len(partition(clustering.hierarchical(records(spark, ["AAAA", "CCCC", "GGGG"]), 3, linkage, n_clusters=2).collect())) == 1
+        for bad in ({"n_clusters": 0}, {"n_clusters": len(sequences) + 1}, {"n_clusters": 2, "distance_threshold": 0.1}):
+            with pytest.raises(ValueError):
+                clustering.hierarchical(df, 6, linkage, **bad)
+
+
+def test_kth_smallest(spark):
+    values = [0.5, 0.25, 0.25, 1e-12, 0.75, 0.75, 0.75, 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [linkage_module.kth_smallest(df, "x", i + 1) for i in range(8)] == sorted(values)
