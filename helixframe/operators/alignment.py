@@ -97,12 +97,117 @@ def align(a: str, b: str, mode: str = "global", protein: bool = False, match: fl
     return total, "".join(reversed(top)).upper(), "".join(reversed(low)).upper()
 
 
+#: Bytes of traces that pairs aligned together may take; a pair of more goes alone.
+TRACES = 1 << 25
+DIAGONAL, DOWN, DOWN_OPENS, RIGHT_OPENS, NOTHING = 1, 2, 4, 8, 16
+
+
+def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs(x - y) <= 1e-8 + 1e-5 * np.abs(y)
+
+
+def align_together(a: list[str], b: list[str], mode: str = "global", protein: bool = False, match: float = 2.0, mismatch: float = -1.0, gap_open: float = -10.0, gap_extend: float = -0.5) -> list[tuple[float, str, str]]:
+    """What `align` gives, for many pairs in the same rows of numpy arrays, filled up to the longest.
+
+    Scores are kept for two rows only; of every cell a byte tells where the best way to it comes from.
+    """
+    if mode not in ("global", "local"):
+        raise ValueError(f"unknown mode {mode!r}: use global or local")
+    own = [[np.frombuffer(s.upper().encode("ascii", "replace"), dtype=np.uint8) for s in side] for side in (a, b)]
+    n, m = (np.array([len(x) for x in side]) for side in own)
+    count, high, wide = len(a), int(n.max(initial=0)), int(m.max(initial=0))
+    x, y = np.zeros((count, high), np.uint8), np.full((count, wide), 1, np.uint8)
+    for side, filled in zip(own, (x, y), strict=True):
+        for row, letters in zip(filled, side, strict=True):
+            row[: len(letters)] = letters
+    matrix, place, rows = blosum() if protein else None, np.arange(wide + 1), np.arange(count)
+    trace = np.zeros((count, high + 1, wide + 1), np.uint8)
+    down, best = np.full((count, wide + 1), -np.inf), np.full((count, wide + 1), -np.inf)
+    best[:, 0] = 0.0
+    if mode == "local":
+        best[:] = 0.0
+        trace[:, 0, :] = NOTHING
+        top, top_at = np.zeros(count), np.zeros((count, 2), int)
+    else:
+        best[:, 1:] = gap_open + gap_extend * (place[1:] - 1)
+        trace[:, 0, 1] = RIGHT_OPENS
+    end = np.where(n == 0, best[rows, m], -np.inf)
+    inside = place[None, :] <= m[:, None]
+    with np.errstate(invalid="ignore"):
+        for i in range(1, high + 1):
+            letter = x[:, i - 1 : i]
+            score = matrix[letter, y] if protein else np.where(y == letter, match, mismatch)
+            opened = best + gap_open
+            down = np.maximum(opened, down + gap_extend)
+            diagonal = best[:, :-1] + score
+            row = down.copy()
+            row[:, 1:] = np.maximum(row[:, 1:], diagonal)
+            if mode == "local":
+                row = np.maximum(row, 0.0)
+            reach = np.maximum.accumulate(row - gap_extend * place, axis=1)
+            right = np.full_like(row, -np.inf)
+            right[:, 1:] = reach[:, :-1] + gap_open + gap_extend * (place[1:] - 1)
+            best = np.maximum(row, right)
+            code = np.where(near(best, down), DOWN, 0) | np.where(near(down, opened), DOWN_OPENS, 0)
+            code[:, 1:] |= np.where(near(best[:, 1:], diagonal), DIAGONAL, 0) | np.where(near(right[:, 1:], best[:, :-1] + gap_open), RIGHT_OPENS, 0)
+            if mode == "local":
+                code |= np.where(best == 0, NOTHING, 0)
+                masked = np.where(inside & (n[:, None] >= i), best, -np.inf)
+                at = masked.argmax(axis=1)
+                higher = masked[rows, at] > top
+                top, top_at[higher] = np.where(higher, masked[rows, at], top), np.stack([np.full(count, i), at], axis=1)[higher]
+            trace[:, i] = code
+            end = np.where(n == i, best[rows, m], end)
+    i, j = (top_at[:, 0].copy(), top_at[:, 1].copy()) if mode == "local" else (n.copy(), m.copy())
+    total = top if mode == "local" else end
+    state, steps, lengths = np.zeros(count, int), np.zeros((count, high + wide), np.uint8), np.zeros(count, int)  # 0 best, 1 down, 2 right
+    while True:
+        code = trace[rows, i, j]
+        going = (i > 0) | (j > 0)
+        if mode == "local":
+            going &= ~((state == 0) & ((code & NOTHING) > 0))
+        if not going.any():
+            break
+        diagonal = going & (state == 0) & ((code & DIAGONAL) > 0) & (i > 0) & (j > 0)
+        turn = going & (state == 0) & ~diagonal
+        state = np.where(turn, np.where((i > 0) & ((code & DOWN) > 0), 1, 2), state)
+        down_, right_ = going & (state == 1), going & (state == 2)
+        steps[rows[going], lengths[going]] = np.where(diagonal, 0, state)[going]
+        lengths += going
+        state = np.where((down_ & ((code & DOWN_OPENS) > 0)) | (right_ & ((code & RIGHT_OPENS) > 0)), 0, state)
+        i, j = i - (diagonal | down_), j - (diagonal | right_)
+    out = []
+    for r in range(count):
+        way, p, q = steps[r, : lengths[r]][::-1], int(i[r]), int(j[r])
+        upper, lower = np.full(len(way), 45, np.uint8), np.full(len(way), 45, np.uint8)
+        upper[way != 2], lower[way != 1] = x[r, p : p + int((way != 2).sum())], y[r, q : q + int((way != 1).sum())]
+        out.append((float(total[r]), upper.tobytes().decode("ascii"), lower.tobytes().decode("ascii")))
+    return out
+
+
+def align_all(a: list[str], b: list[str], **options) -> list[tuple[float, str, str]]:
+    """Alignments in the order of the pairs, made in lots of about equal lengths."""
+    order = sorted(range(len(a)), key=lambda r: (len(a[r]), len(b[r])))
+    out, at = [None] * len(a), 0
+    while at < len(order):
+        end, high, wide = at, 0, 0
+        while end < len(order):
+            high, wide = max(high, len(a[order[end]])), max(wide, len(b[order[end]]))
+            if end > at and (end - at + 1) * (high + 1) * (wide + 1) > TRACES:
+                break
+            end += 1
+        for r, made in zip(order[at:end], align_together([a[r] for r in order[at:end]], [b[r] for r in order[at:end]], **options), strict=True):
+            out[r] = made
+        at = end
+    return out
+
+
 def pairwise(pairs: DataFrame, **options) -> DataFrame:
-    """`pair`, `score`, `aligned_a`, `aligned_b` of `pairs(pair, a, b)`; every pair is aligned by itself."""
+    """`pair`, `score`, `aligned_a`, `aligned_b` of `pairs(pair, a, b)`; the pairs of an Arrow batch are aligned together."""
 
     def run(parts):
         for pdf in parts:
-            made = [align(a, b, **options) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
+            made = align_all(pdf["a"].tolist(), pdf["b"].tolist(), **options)
             yield pd.DataFrame({"pair": pdf["pair"], "score": [m[0] for m in made], "aligned_a": [m[1] for m in made], "aligned_b": [m[2] for m in made]})
 
     kind = pairs.schema["pair"].dataType.simpleString()
