@@ -56,10 +56,15 @@ def quality_ends(quality: Column, least: float, window: int = 4) -> tuple[Column
 
 
 def trim_ambiguous(sequence: Column, seq_type: Column) -> tuple[Column, Column, Column]:
-    """The sequence without ambiguous codes at its ends, and the letters taken from start and end."""
-    front = F.regexp_replace(sequence, ambiguous_letters(seq_type, "^[{}]+"), F.lit(""))
-    both = F.regexp_replace(front, ambiguous_letters(seq_type, "[{}]+$"), F.lit(""))
-    return both, F.char_length(sequence) - F.char_length(front), F.char_length(front) - F.char_length(both)
+    """The sequence without ambiguous codes at its ends, and the letters taken from start and end.
+
+    Both ends are searched for in the sequence itself, so the generated code does not nest one search in the other.
+    """
+    size = F.char_length(sequence)
+    lead = size - F.char_length(F.regexp_replace(sequence, ambiguous_letters(seq_type, "^[{}]+"), F.lit("")))
+    tail = size - F.char_length(F.regexp_replace(sequence, ambiguous_letters(seq_type, "(?<![{0}])[{0}]+$"), F.lit("")))
+    trail = F.when(lead == size, 0).otherwise(tail)
+    return F.substring(sequence, lead + 1, size - lead - trail), lead, trail
 
 
 def ambiguous_fraction(sequence: Column, seq_type: Column) -> Column:
@@ -85,11 +90,17 @@ class Cleaning:
     drop_empty: bool = True
 
 
+def let(value: Column, body) -> Column:
+    """Bind `value`, so that `body` can use it often: filters that are pushed down then hold its expression once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def cut(df: DataFrame, lead: str, trail: str) -> DataFrame:
     """Take `lead` and `trail` letters, and their qualities, off the ends."""
-    left = F.greatest(F.char_length("sequence") - F.col(lead) - F.col(trail), F.lit(0))
-    quality = F.when(F.size("quality") > 0, F.slice("quality", F.col(lead) + 1, left)).otherwise(F.col("quality"))
-    return df.withColumns({"quality": quality, "sequence": F.substring("sequence", F.col(lead) + 1, left)})
+    ends = F.struct(F.col(lead).alias("lead"), F.col(trail).alias("trail"), F.col("sequence").alias("s"))
+    left = lambda e: F.greatest(F.char_length(e["s"]) - e["lead"] - e["trail"], F.lit(0))
+    quality = F.when(F.size("quality") > 0, let(ends, lambda e: F.slice("quality", e["lead"] + 1, left(e)))).otherwise(F.col("quality"))
+    return df.withColumns({"quality": quality, "sequence": let(ends, lambda e: F.substring(e["s"], e["lead"] + 1, left(e)))})
 
 
 def clean(df: DataFrame, options: Cleaning) -> DataFrame:
@@ -115,15 +126,19 @@ def clean(df: DataFrame, options: Cleaning) -> DataFrame:
     if options.trim_ambiguous:
         _, lead, trail = trim_ambiguous(F.col("sequence"), F.col("seq_type"))
         df = cut(df.withColumns({"hf_lead": lead, "hf_trail": trail}), "hf_lead", "hf_trail").withColumn("trimmed_ambiguous_ends", F.col("hf_lead") + F.col("hf_trail") > 0)
-    size = F.char_length("sequence")
-    fate = F.when(F.lit(options.drop_empty) & (size == 0), "dropped_empty")
-    if options.min_length is not None:
-        fate = fate.when(size < options.min_length, "dropped_length")
-    if options.max_length is not None:
-        fate = fate.when(size > options.max_length, "dropped_length")
-    if options.max_ambiguous_fraction is not None:
-        fate = fate.when(ambiguous_fraction(F.col("sequence"), F.col("seq_type")) > options.max_ambiguous_fraction, "dropped_ambiguous")
-    df = df.drop("hf_lead", "hf_trail").withColumn("fate", fate)
+
+    def judge(sequence: Column) -> Column:
+        size = F.char_length(sequence)
+        fate = F.when(F.lit(options.drop_empty) & (size == 0), "dropped_empty")
+        if options.min_length is not None:
+            fate = fate.when(size < options.min_length, "dropped_length")
+        if options.max_length is not None:
+            fate = fate.when(size > options.max_length, "dropped_length")
+        if options.max_ambiguous_fraction is not None:
+            fate = fate.when(ambiguous_fraction(sequence, F.col("seq_type")) > options.max_ambiguous_fraction, "dropped_ambiguous")
+        return fate
+
+    df = df.drop("hf_lead", "hf_trail").withColumn("fate", let(F.col("sequence"), judge))
     if options.dedup_sequence:
         df = first_of(df, F.sha2(F.upper("sequence"), 256), "dropped_duplicate_sequence")
     if options.dedup_name:

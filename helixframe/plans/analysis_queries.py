@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-from helixframe.operators import alignment, clustering, embedding, evolution, profiles, similarity, trees
+from helixframe.operators import alignment, clustering, embedding, evolution, kmer_index, profiles, similarity, trees
 from helixframe.plans.record_queries import SQL_DNA, SQL_GAPPED
 from helixframe.sources import views
 
@@ -42,6 +42,17 @@ def kmer_top_n(spark, sf_dir):
     return searched(spark, sf_dir, "kmer")
 
 
+@query(f"""WITH k AS ({kmers_sql(K)}), n AS (SELECT ord, count(*) AS n FROM k GROUP BY 1),
+b AS (SELECT q.ord AS query, k.ord, count(*) AS shared FROM k q JOIN k ON q.kmer = k.kmer WHERE q.ord % 50 = 0 GROUP BY 1, 2),
+s AS (SELECT query, b.ord, shared::DOUBLE / (q.n + c.n - shared) AS score FROM b JOIN n q ON q.ord = query JOIN n c ON c.ord = b.ord),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord)::INTEGER AS rank FROM s WHERE score >= 0.05)
+SELECT query, rank, ord, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def kmer_index_top_n(spark, sf_dir):
+    """The same search by 12-mers, through an inverted index."""
+    df = views.records(spark, sf_dir)
+    return kmer_index.search(kmer_index.build(df, K), df.where("ord % 50 = 0"), 10, 0.05).select("query", "rank", "ord", F.round("score", 6).alias("score"))
+
+
 @query()
 def minhash_top_n(spark, sf_dir):
     return searched(spark, sf_dir, "minhash")
@@ -98,6 +109,18 @@ def cluster_average_linkage(spark, sf_dir):
     return clustering.hierarchical(views.records(spark, sf_dir), K, "average", 1 - SIMILAR)
 
 
+@query()
+def cluster_single_by_number(spark, sf_dir):
+    """Half as many clusters as there are records."""
+    df = views.records(spark, sf_dir).where(F.char_length("sequence") > 0)
+    return clustering.hierarchical(df, K, "single", n_clusters=max(1, df.count() // 2))
+
+
+@query()
+def cluster_complete_linkage(spark, sf_dir):
+    return clustering.hierarchical(views.records(spark, sf_dir), K, "complete", 1 - SIMILAR)
+
+
 def _clustered(spark, sf_dir):
     """Records in clusters of similar sequences."""
     df = views.records(spark, sf_dir).where(F.char_length("sequence") > 0)
@@ -124,6 +147,11 @@ def cluster_consensus(spark, sf_dir):
     return clustering.consensus(*_clustered(spark, sf_dir))
 
 
+@query()
+def cluster_consensus_aligned(spark, sf_dir):
+    return clustering.aligned_consensus(*_clustered(spark, sf_dir))
+
+
 @query(f"""WITH m AS ({SQL_MEMBERS}), k AS (SELECT x.ord, m.cluster, x.kmer FROM ({kmers_sql(4)}) x JOIN m USING (ord)), n AS (SELECT cluster, ord, count(*) AS n FROM k GROUP BY ALL),
 b AS (SELECT x.cluster, x.ord AS a, y.ord AS b, count(*) AS shared FROM k x JOIN k y ON x.cluster = y.cluster AND x.kmer = y.kmer AND x.ord <> y.ord GROUP BY ALL),
 t AS (SELECT n.cluster, n.ord, round(coalesce(sum(shared::DOUBLE / (n.n + o.n - shared)), 0), 9) AS total FROM n LEFT JOIN b ON b.cluster = n.cluster AND b.a = n.ord LEFT JOIN n o ON o.cluster = n.cluster AND o.ord = b.b GROUP BY ALL)
@@ -239,6 +267,33 @@ def dn_ds_matrix(spark, sf_dir):
     return evolution.dn_ds_matrix(source_alignment(spark, sf_dir)).select("pair", *[F.round(c, 6).alias(c) for c in ("dn", "ds", "omega")])
 
 
+SQL_CLASSES = "(VALUES " + ", ".join(f"('{c}', '{x}')" for c, x in (
+    ("TTT", "002"), ("TTC", "002"), ("TTA", "202"), ("TTG", "202"), ("CTT", "004"), ("CTC", "004"), ("CTA", "204"), ("CTG", "204"), ("ATT", "002"), ("ATC", "002"), ("ATA", "002"), ("ATG", "000"), ("GTT", "004"), ("GTC", "004"), ("GTA", "004"), ("GTG", "004"),
+    ("TCT", "004"), ("TCC", "004"), ("TCA", "004"), ("TCG", "004"), ("CCT", "004"), ("CCC", "004"), ("CCA", "004"), ("CCG", "004"), ("ACT", "004"), ("ACC", "004"), ("ACA", "004"), ("ACG", "004"), ("GCT", "004"), ("GCC", "004"), ("GCA", "004"), ("GCG", "004"),
+    ("TAT", "002"), ("TAC", "002"), ("CAT", "002"), ("CAC", "002"), ("CAA", "002"), ("CAG", "002"), ("AAT", "002"), ("AAC", "002"), ("AAA", "002"), ("AAG", "002"), ("GAT", "002"), ("GAC", "002"), ("GAA", "002"), ("GAG", "002"),
+    ("TGT", "002"), ("TGC", "002"), ("TGG", "000"), ("CGT", "004"), ("CGC", "004"), ("CGA", "204"), ("CGG", "204"), ("AGT", "002"), ("AGC", "002"), ("AGA", "202"), ("AGG", "202"), ("GGT", "004"), ("GGC", "004"), ("GGA", "004"), ("GGG", "004"),
+)) + ") AS t(codon, f)"
+L85 = {c: (f"(1 - 2 * p{c} - q{c})", f"(1 - 2 * q{c})") for c in (0, 2, 4)}
+SQL_AB = ", ".join(f"CASE WHEN round({x}, 12) > 0 AND round({y}, 12) > 0 THEN -ln({x}) / 2 + ln({y}) / 4 END AS a{c}, CASE WHEN round({y}, 12) > 0 THEN -ln({y}) / 2 END AS b{c}" for c, (x, y) in L85.items())
+SQL_SHARES = ", ".join(f"n{c} / 2.0::DOUBLE AS l{c}, s{c} / nullif(n{c} / 2.0::DOUBLE, 0) AS p{c}, v{c} / nullif(n{c} / 2.0::DOUBLE, 0) AS q{c}" for c in (0, 2, 4))
+SQL_CLASSED = ", ".join(f"count(*) FILTER (fa[i] = '{c}') + count(*) FILTER (fb[i] = '{c}') AS n{c}, count(*) FILTER (fa[i] = '{c}' AND x <> y AND kind) AS s{c}, count(*) FILTER (fa[i] = '{c}' AND x <> y AND NOT kind) AS v{c}" for c in (0, 2, 4))
+
+
+@query(f"""WITH p AS (SELECT concat_ws('/', x.name, y.name) AS pair, x.sequence AS a, y.sequence AS b FROM ({SQL_SOURCES}) x JOIN ({SQL_SOURCES}) y ON x.name < y.name),
+t AS (SELECT pair, CASE WHEN z THEN left(a, -3) ELSE a END AS a, CASE WHEN z THEN left(b, -3) ELSE b END AS b FROM (SELECT *, regexp_matches(a, '(TAA|TAG|TGA)$') AND regexp_matches(b, '(TAA|TAG|TGA)$') AS z FROM p)),
+c AS (SELECT pair, substr(a, i * 3 + 1, 3) AS ca, substr(b, i * 3 + 1, 3) AS cb FROM (SELECT *, unnest(range(length(a) // 3)) AS i FROM t)),
+d AS (SELECT pair, fa, fb, i, ca[i] AS x, cb[i] AS y, (ca[i] IN ('A', 'G')) = (cb[i] IN ('A', 'G')) AS kind FROM (SELECT c.*, k.f AS fa, l.f AS fb FROM c JOIN (SELECT * FROM {SQL_CLASSES}) k ON k.codon = ca JOIN (SELECT * FROM {SQL_CLASSES}) l ON l.codon = cb), (SELECT unnest([1, 2, 3]) AS i)),
+s AS (SELECT pair, {SQL_CLASSED} FROM d GROUP BY 1), f AS (SELECT pair, {SQL_SHARES} FROM s), m AS (SELECT *, {SQL_AB} FROM f),
+r AS (SELECT pair, 3 * (l2 * b2 + l0 * (a0 + b0)) / nullif(2 * l2 + 3 * l0, 0) AS dn, 3 * (l2 * a2 + l4 * (a4 + b4)) / nullif(l2 + 3 * l4, 0) AS ds FROM m)
+SELECT pair, round(dn, 6) AS dn, round(ds, 6) AS ds, round(CASE WHEN ds > 0 THEN dn / ds END, 6) AS omega FROM r""")
+def lwl85_matrix(spark, sf_dir):
+    """All pairs of the sources' consensus sequences, by degeneracy classes; the SQL states the classes by itself."""
+    rows = source_alignment(spark, sf_dir)
+    left, right = rows.select(F.col("name").alias("na"), F.col("sequence").alias("a")), rows.select(F.col("name").alias("nb"), F.col("sequence").alias("b"))
+    pairs = left.join(right, F.col("na") < F.col("nb")).select(F.concat_ws("/", "na", "nb").alias("pair"), "a", "b")
+    return evolution.lwl85(pairs).select("pair", *[F.round(c, 6).alias(c) for c in ("dn", "ds", "omega")])
+
+
 @query(f"""WITH k AS (SELECT ord, substr(sequence, i + 1, 3) AS kmer FROM (SELECT ord, sequence, unnest(range(length(sequence) - 2)) AS i FROM ({SQL_DNA}) WHERE length(sequence) >= 3))
 SELECT ord, kmer, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY ord), 6) AS freq FROM k GROUP BY 1, 2""")
 def kmer_embedding(spark, sf_dir):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import alignment, clustering, embedding, evolution, profiles, similarity, structure, trees
+from helixframe.operators import alignment, clustering, embedding, evolution, kmer_index, profiles, similarity, structure, trees
 from helixframe.operators import linkage as linkage_module
 
 
@@ -397,3 +397,48 @@ def test_aligned_consensus(spark):
     expected = "".join(min(v)[1] for at, v in sorted(votes.items()) if v and -min(v)[0] > len(members) - sum(-n for n, _ in v))
     assert got[0] == expected and got[8] in ("ACGTACGAC", "ACGTACGTAC")
     assert clustering.aligned_consensus(df.limit(0), clusters.limit(0)).count() == 0
+
+
+def test_kmer_index(spark, sequences, monkeypatch):
+    """The index gives what comparing all gives, above a least score, and reads fewer postings."""
+    df = records(spark, sequences)
+    index = kmer_index.build(df, 8)
+    asked = df.where("ord % 5 = 0")
+    for probes, top_n, least in ((8, 4, 0.01), (1, 3, 0.5), (2, 60, 0.05)):
+        monkeypatch.setattr(kmer_index, "PROBES", probes)
+        got = sorted((r["query"], r["rank"], r["ord"], round(r["score"], 9)) for r in kmer_index.search(index, asked, top_n, least).collect())
+        expected = []
+        for q in range(0, len(sequences), 5):
+            scores = sorted((-jaccard(sequences[q], s, 8), o) for o, s in enumerate(sequences))
+            expected += [(q, rank + 1, o, round(-x, 9)) for rank, (x, o) in enumerate(y for y in scores[:top_n] if -y[0] >= least)]
+        assert got == sorted(expected)
+    shares = kmer_index.read_share(index, asked, 3, 0.5).agg(F.sum("postings_read"), F.sum("postings_all")).first()
+    assert 0 < shares[0] < 0.8 * shares[1]
+    with pytest.raises(ValueError):
+        kmer_index.search(index, asked, 3, 0.0)
+    saved = kmer_index.build(df, 8, "hf_test_index")
+    assert kmer_index.search(saved, asked, 3, 0.5).count() == kmer_index.search(index, asked, 3, 0.5).count()
+    assert "hf_test_index_postings" in {t.name for t in spark.catalog.listTables()}
+
+
+def test_lwl85(spark):
+    """By hand from the method's formulas, on a pair with a change of each kind."""
+    a = "TTTCTTATGGGTAAAGCTCCCACTGTT" * 2
+    b = "TTCCTAATGGGTAAGGCTCCCACTGTT" + a[27:-3] + "GAT"
+    row = evolution.lwl85(spark.createDataFrame([("p", a, b), ("same", a, a), ("short", "ATG", "ATG")], "pair string, a string, b string"))
+    got = {r["pair"]: r for r in row.collect()}
+    codons = [(a[i : i + 3], b[i : i + 3]) for i in range(0, len(a), 3)]
+    sites, p, q = dict.fromkeys("024", 0.0), dict.fromkeys("024", 0), dict.fromkeys("024", 0)
+    for x, y in codons:
+        fx, fy = evolution.degeneracy(x), evolution.degeneracy(y)
+        for i in range(3):
+            sites[fx[i]] += 0.5
+            sites[fy[i]] += 0.5
+            if x[i] != y[i]:
+                (p if {x[i], y[i]} in ({"A", "G"}, {"C", "T"}) else q)[fx[i]] += 1
+    share = {c: (p[c] / sites[c], q[c] / sites[c]) for c in "024"}
+    far = {c: (np.log(1 / (1 - 2 * x - y)) / 2 - np.log(1 / (1 - 2 * y)) / 4, np.log(1 / (1 - 2 * y)) / 2) for c, (x, y) in share.items()}
+    ds = 3 * (sites["2"] * far["2"][0] + sites["4"] * sum(far["4"])) / (sites["2"] + 3 * sites["4"])
+    dn = 3 * (sites["2"] * far["2"][1] + sites["0"] * sum(far["0"])) / (2 * sites["2"] + 3 * sites["0"])
+    assert (got["p"]["dn"], got["p"]["ds"]) == (pytest.approx(dn), pytest.approx(ds)) and got["p"]["omega"] == pytest.approx(dn / ds)
+    assert got["same"]["dn"] == 0 and got["same"]["ds"] == 0 and got["same"]["omega"] is None and got["short"]["ds"] is None
