@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,10 @@ from pyspark.sql import functions as F
 from helixframe.functions import sequences as S
 from helixframe.operators.alignment import BLOSUM_LETTERS, blosum
 from helixframe.operators.profiles import check_aligned
-from helixframe.operators.storage import checkpoint
+from helixframe.operators.storage import written
+from helixframe.operators.tree_joining import joined
+from helixframe.operators.tree_nodes import depths, nested, splits
+
 
 def identity_distance(a: Column, b: Column) -> Column:
     """1 less the share of equal places, two gaps counting as equal."""
@@ -40,73 +42,19 @@ def distances(alignment: DataFrame, model: str = "identity") -> DataFrame:
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", DISTANCES[model](F.col("sa"), F.col("sb")).alias("distance"))
 
 
-def joined(pairs: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
-    """Node tables (tree, node, parent, name, branch_length) and inner groups (tree, node, names) of all trees at once.
-
-    `pairs(tree, a, b, distance)` has all pairs of taxa of every tree, as many taxa in each. A round merges in every tree
-    the two clusters that are nearest by the criterion, the first by number of ties; distances, row sums and minima are
-    joins and aggregates over all trees.
-    """
-    if method not in ("nj", "upgma"):
-        raise ValueError(f"unknown method {method!r}: use nj or upgma")
-    taxa = pairs.select("tree", F.col("a").alias("name")).unionByName(pairs.select("tree", F.col("b").alias("name"))).distinct()
-    leaves = checkpoint(taxa.withColumn("node", F.row_number().over(Window.partitionBy("tree").orderBy("name")) - 1))
-    n = leaves.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    number = lambda name: leaves.select("tree", F.col("name").alias(name), F.col("node").alias(f"n{name}"))
-    one_way = pairs.join(number("a"), ["tree", "a"]).join(number("b"), ["tree", "b"])
-    # each row has what is known of both clusters, so that a round joins nothing but the merged pair
-    facts = lambda x, node, name: F.struct(F.col(node).alias("node"), F.lit(1).alias("size"), F.lit(0.0).alias("height"), F.array(name).alias("names")).alias(x)
-    ways = [one_way.select("tree", F.col(f"n{x}").alias("i"), F.col(f"n{y}").alias("j"), "distance", facts("own", f"n{x}", x), facts("other", f"n{y}", y)) for x, y in (("a", "b"), ("b", "a"))]
-    d = checkpoint(ways[0].unionByName(ways[1]))
-    merged: list[DataFrame] = []
-    new, left = n, n
-    while left > (3 if method == "nj" else 1) and left > 1:
-        sums = d.withColumns({"r": F.sum("distance").over(Window.partitionBy("tree", "i")), "s": F.sum("distance").over(Window.partitionBy("tree", "j"))}) if method == "nj" else d.withColumns({"r": F.lit(0.0), "s": F.lit(0.0)})
-        criterion = (left - 2) * F.col("distance") - F.col("r") - F.col("s") if method == "nj" else F.col("distance")
-        best = sums.where("i < j").groupBy("tree").agg(F.min(F.struct(F.round(criterion, 12).alias("q"), "i", "j", "distance", "r", "s", "own", "other")).alias("m")).select("tree", F.col("m.i").alias("p"), F.col("m.j").alias("o"), "m.distance", "m.r", "m.s", "m.own", "m.other")
-        first = F.col("distance") / 2 + (F.col("r") - F.col("s")) / (2 * max(1, left - 2)) if method == "nj" else F.col("distance") / 2 - F.col("own.height")
-        second = F.col("distance") - first if method == "nj" else F.col("distance") / 2 - F.col("other.height")
-        best = checkpoint(best.select("tree", "p", "o", F.lit(new).alias("node"), F.col("distance").alias("between"), first.alias("first"), second.alias("second"), F.col("own.size").alias("size_p"), F.col("other.size").alias("size_o"), F.array_sort(F.concat("own.names", "other.names")).alias("names")))
-        merged.append(best)
-        marked = d.join(F.broadcast(best), "tree")  # one row a tree
-        inside = lambda x: (F.col(x) == F.col("p")) | (F.col(x) == F.col("o"))
-        whole = F.struct("node", (F.col("size_p") + F.col("size_o")).alias("size"), (F.col("between") / 2).alias("height"), "names")
-        heavy = F.sum(F.col("distance") * F.when(F.col("i") == F.col("p"), F.col("size_p")).otherwise(F.col("size_o")))
-        middle = (F.sum("distance") - F.first("between")) / 2 if method == "nj" else heavy / F.first(F.col("size_p") + F.col("size_o"))
-        near = marked.where(inside("i") & ~inside("j")).groupBy("tree", "j").agg(middle.alias("distance"), F.first(whole).alias("own"), F.first("other").alias("other"))
-        two_ways = near.select("tree", "distance", F.explode(F.array(F.struct(F.lit(new).alias("i"), "j", "own", "other"), F.struct(F.col("j").alias("i"), F.lit(new).alias("j"), F.col("other").alias("own"), F.col("own").alias("other")))).alias("w"))
-        kept = marked.where(~inside("i") & ~inside("j")).select("tree", "i", "j", "distance", "own", "other")
-        d = checkpoint(kept.unionByName(two_ways.select("tree", "w.i", "w.j", "distance", "w.own", "w.other")))
-        new, left = new + 1, left - 1
-    two = lambda m: F.explode(F.array(F.struct(F.col("p").alias("node"), F.col("first").alias("length")), F.struct(F.col("o").alias("node"), F.col("second").alias("length"))))
-    edges = [m.select("tree", F.col("node").alias("parent"), two(m).alias("e")).select("tree", "e.node", "parent", F.col("e.length").alias("branch_length")) for m in merged]
-    if method == "nj" and left > 1:  # the last three, or two, hang on the root
-        sums = d.groupBy("tree", "i").agg(F.sum("distance").alias("r"))
-        whole = d.groupBy("tree").agg((F.sum("distance") / 2).alias("total"))
-        last = (F.col("r") - (F.col("total") - F.col("r"))) / 2 if left == 3 else F.col("r") / 2
-        edges.append(sums.join(whole, "tree").select("tree", F.col("i").alias("node"), F.lit(new).alias("parent"), last.alias("branch_length")))
-    else:
-        new -= 1
-    root = leaves.select("tree").distinct().select("tree", F.lit(new).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0.0).alias("branch_length"))
-    nodes = reduce(DataFrame.unionByName, edges, root).join(leaves, ["tree", "node"], "left")
-    inner = reduce(DataFrame.unionByName, [m.select("tree", "node", "names") for m in merged], leaves.limit(0).select("tree", "node", F.array("name").alias("names")))
-    return nodes.select("tree", "node", "parent", "name", "branch_length"), inner.where(F.size("names") < n)
-
-
 def tree(pairs: DataFrame, method: str = "nj") -> DataFrame:
     """node, parent, name, branch_length: the tree of `pairs(a, b, distance)`, which cover all pairs of its taxa.
 
     Neighbour joining leaves three branches at the root, UPGMA two.
     """
-    nodes, _ = joined(pairs.withColumn("tree", F.lit(0)), method)
-    return nodes.drop("tree")
+    return joined(pairs.withColumn("tree", F.lit(0)), method).drop("tree")
 
 
-def bootstrap_support(alignment: DataFrame, replicates: int = 100, method: str = "nj", seed: int = 0) -> DataFrame:
-    """`split`, `support` in percent: how often a group of taxa is parted from the rest in trees of resampled columns.
+def bootstrap_trees(alignment: DataFrame, replicates: int = 100, method: str = "nj", seed: int = 0) -> DataFrame:
+    """Node tables (tree, node, parent, name, branch_length) of alignments whose columns are drawn anew.
 
     A replicate draws as many columns as there are, each by a hash of replicate and place; the differences of each pair
-    are added up by columns, and all replicates' trees are joined together. A split is named by its side without the first taxon.
+    are added up by columns, and all replicates' trees are joined together.
     """
     width = check_aligned(alignment)
     rows = alignment.select("name", F.posexplode(S.symbols(F.col("sequence"))).alias("column", "letter"))
@@ -115,12 +63,30 @@ def bootstrap_support(alignment: DataFrame, replicates: int = 100, method: str =
     spark = alignment.sparkSession
     draws = spark.range(replicates).select(F.col("id").alias("tree"), F.explode(F.sequence(F.lit(1), F.lit(width))).alias("draw"))
     drawn = draws.select("tree", F.pmod(F.xxhash64(F.lit(seed), "tree", "draw"), F.lit(width)).cast("int").alias("column")).groupBy("tree", "column").agg(F.count("*").alias("times"))
-    pairs = differ.join(drawn, "column").groupBy("tree", "a", "b").agg((F.sum(F.col("differs") * F.col("times")) / width).alias("distance"))
-    _, inner = joined(pairs, method)
-    first, names = alignment.agg(F.min("name"), F.sort_array(F.collect_set("name"))).first()
-    side = F.when(F.array_contains("names", first), F.array_except(F.array(*[F.lit(x) for x in names]), "names")).otherwise(F.col("names"))
-    found = inner.select("tree", F.array_join(F.array_sort(side), ",").alias("split"), F.size(side).alias("n")).where((F.col("n") > 1) & (F.col("n") < len(names) - 1)).distinct()
-    return found.groupBy("split").agg((F.count("*") * 100.0 / replicates).alias("support"))
+    return joined(differ.join(drawn, "column").groupBy("tree", "a", "b").agg((F.sum(F.col("differs") * F.col("times")) / width).alias("distance")), method)
+
+
+def bootstrap_support(alignment: DataFrame, replicates: int = 100, method: str = "nj", seed: int = 0) -> DataFrame:
+    """`split`, `support` in percent: how often a group of taxa is parted from the rest in trees of resampled columns.
+
+    A split is named by its side without the first taxon.
+    """
+    found = splits(bootstrap_trees(alignment, replicates, method, seed), alignment)
+    return found.groupBy(F.array_join("names", ",").alias("split")).agg((F.count("*") * 100.0 / replicates).alias("support"))
+
+
+def consensus_tree(alignment: DataFrame, replicates: int = 100, method: str = "nj", seed: int = 0, more_than: float = 50.0) -> DataFrame:
+    """`node`, `parent`, `name`, `support`, `branch_length`: the majority consensus of the bootstrap trees.
+
+    Its groups are the splits in more than `more_than` percent of the replicates, by their side without the first taxon;
+    50 is the least allowed, since from there on groups cannot cross. Lengths are means over the replicates that have the branch.
+    """
+    if not 50 <= more_than <= 100:
+        raise ValueError("a majority consensus takes splits in more than 50 percent or higher")
+    nodes = written(bootstrap_trees(alignment, replicates, method, seed))
+    found = splits(nodes, alignment).groupBy("names").agg((F.count("*") * 100.0 / replicates).alias("support"), F.avg("branch_length").alias("branch_length"))
+    taxa = nodes.where("name IS NOT NULL").groupBy("name").agg(F.avg("branch_length").alias("branch_length"))
+    return nested(found.where(F.col("support") > more_than), taxa)
 
 
 def to_newick(nodes: list[tuple]) -> str:
@@ -156,17 +122,6 @@ def parse_newick(text: str) -> list[tuple[int, int | None, str | None, float]]:
     return [tuple(n) for n in nodes]
 
 
-def depths(nodes: DataFrame) -> DataFrame:
-    """`node`, `depth`: the branch lengths from the root added up, level by level."""
-    level = checkpoint(nodes.where("parent IS NULL").select("node", F.lit(0.0).alias("depth")))
-    whole = level
-    while True:
-        level = checkpoint(nodes.select(F.col("node").alias("child"), "parent", "branch_length").join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), (F.col("depth") + F.col("branch_length")).alias("depth")))
-        if not level.limit(1).count():
-            return whole
-        whole = checkpoint(whole.unionByName(level))
-
-
 def summary(nodes: DataFrame) -> DataFrame:
     """One row: taxa and their names, inner nodes, total branch length and the largest depth of a node table."""
     inner = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-from helixframe.operators import alignment, clustering, embedding, evolution, kmer_index, profiles, similarity, trees
+from helixframe.operators import alignment, clustering, embedding, evolution, kmer_index, profiles, similarity, tree_nodes, trees
 from helixframe.plans.record_queries import SQL_DNA, SQL_GAPPED
 from helixframe.sources import views
 
@@ -230,6 +230,21 @@ def bootstrap_support(spark, sf_dir):
     return trees.bootstrap_support(source_alignment(spark, sf_dir), 100)
 
 
+@query()
+def bootstrap_consensus(spark, sf_dir):
+    """The majority consensus of the sources' bootstrap trees."""
+    nodes = trees.consensus_tree(source_alignment(spark, sf_dir), 100)
+    return nodes.select("node", "parent", "name", "support", F.round("branch_length", 6).alias("branch_length"))
+
+
+@query()
+def pruned_tree(spark, sf_dir):
+    """The sources' UPGMA tree without the sources whose documents have no label."""
+    nodes = trees.tree(trees.distances(source_alignment(spark, sf_dir)), "upgma")
+    labelled = views.read(spark, sf_dir, "documents").join(views.read(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return tree_nodes.prune_nodes(nodes, labelled.select(F.col("source").alias("name"))).select("node", "parent", "name", F.round("branch_length", 6).alias("branch_length"))
+
+
 @query()
 def align_sources(spark, sf_dir):
     rows = source_alignment(spark, sf_dir)
