@@ -332,7 +332,7 @@ def signal_peptide(sequence: Column, max_length: int = 30) -> Column:
 
 
 #: Tag that a record gets for each kind of feature it has.
-TAGS = {"orfs": "has_orf", "introns": "has_intron_candidate", "promoter_hits": "has_tata_box", "tm_regions": "transmembrane", "coiled_coil_regions": "coiled_coil", "low_complexity_regions": "low_complexity"}
+TAGS = {"orfs": "has_orf", "introns": "has_intron_candidate", "promoter_hits": "has_tata_box", "tm_regions": "transmembrane", "coiled_coil_regions": "coiled_coil", "low_complexity_regions": "low_complexity", "interpro": "interpro_annotated"}
 
 
 def annotate(df: DataFrame, **features: Column) -> DataFrame:

@@ -24,8 +24,10 @@ def check_aligned(df: DataFrame) -> int:
 def pfm(df: DataFrame, alphabet: str = "ACGT") -> DataFrame:
     """`position` (from 1), `count_X` of every letter and `count_gap`; other letters are not counted.
 
+    Rows of different lengths, or none, are an error.
     Rows are split and counted per position with partial sums, so the shuffle carries a row a position and task.
     """
+    check_aligned(df)
     letters = df.select(F.posexplode(S.symbols(F.col("sequence"))).alias("at", "letter"))
     counted = [F.count(F.when(F.col("letter") == a, 1)).alias(f"count_{a}") for a in alphabet]
     return letters.groupBy((F.col("at") + 1).cast("long").alias("position")).agg(*counted, F.count(F.when(F.col("letter") == GAP, 1)).alias("count_gap"))
@@ -74,7 +76,6 @@ def profile_table(df: DataFrame, alphabet: str = "ACGT", pseudocount: float = 0.
 
     Rows of different lengths are an error.
     """
-    check_aligned(df)
     table = ppm(pfm(df, alphabet), alphabet, pseudocount)
     rounded = [F.round(c, 4).alias(n) for n, c in measures(alphabet, background).items()]
     return table.select("position", consensus(alphabet).alias("consensus"), *rounded, *[F.round(f"prob_{a}", 4).alias(f"freq_{a}") for a in alphabet], F.col("count_gap").alias("freq_gap"))
@@ -104,6 +105,16 @@ def alphabet_of(df: DataFrame) -> str:
     return ALPHABETS[first["seq_type"] if first else "dna"]
 
 
+def build_profile(df: DataFrame, alphabet: str | None = None, pseudocount: float = 0.5, background: dict[str, float] | None = None) -> DataFrame:
+    """One row a position with all that a profile has: counts, probabilities, weights, scores, consensus and measures.
+
+    The alphabet is that of the first record's type unless given; a letter without a background counts as 1e-9.
+    """
+    letters = alphabet or alphabet_of(df)
+    weighted = pwm(ppm(pfm(df, letters), letters, pseudocount), letters, background)
+    return weighted.withColumns({"consensus": consensus(letters), **measures(letters, background)})
+
+
 def viewer_data(df: DataFrame, most: int = 200) -> DataFrame:
     """`ord`, `name`, `position`, `letter`, `conservation_score`: what an alignment viewer draws, `most` positions of it, or all for 0."""
     letters = df.select("ord", "name", F.posexplode(S.symbols(F.col("sequence"))).alias("at", "letter")).select("ord", "name", (F.col("at") + 1).cast("long").alias("position"), "letter")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-from helixframe.operators import alignment, clustering, embedding, evolution, kmer_index, profiles, similarity, tree_nodes, trees
+from helixframe.operators import alignment, clustering, embedding, evolution, kmer_index, profiles, selection, similarity, tree_nodes, trees
 from helixframe.plans.record_queries import SQL_DNA, SQL_GAPPED
 from helixframe.sources import views
 
@@ -197,6 +197,20 @@ def logo_data(spark, sf_dir):
     return profiles.logo_data(views.tiles(spark, sf_dir)).select("position", "letter", F.round("height", 6).alias("height"))
 
 
+@query(f"SELECT position, {', '.join(f'round(prob_{a}, 6) AS prob_{a}, round(log2(prob_{a} / 0.25) * 100)::INTEGER AS pssm_{a}' for a in 'ACGT')}, {SQL_BEST} AS consensus, round({SQL_KL}, 6) AS relative_entropy FROM ({SQL_PPM})")
+def built_profile(spark, sf_dir):
+    tiles = views.tiles(spark, sf_dir).withColumn("seq_type", F.lit("dna"))
+    return profiles.build_profile(tiles).select("position", *[c for a in "ACGT" for c in (F.round(f"prob_{a}", 6).alias(f"prob_{a}"), f"pssm_{a}")], "consensus", F.round("relative_entropy", 6).alias("relative_entropy"))
+
+
+@query(f"SELECT t.* FROM ({ORACLES['kmer_top_n']}) t JOIN ({SQL_DNA}) s USING (ord) JOIN documents d ON d.doc_id = ord WHERE d.lang = 'en' AND length(s.sequence) >= 40 AND score >= 0.3")
+def search_then_filter(spark, sf_dir):
+    """The hits of a search that a selection of records keeps; ranks stay those of the whole search."""
+    hits = searched(spark, sf_dir, "kmer").where("score >= 0.3")
+    chosen = selection.Selection(min_length=40).apply(views.records(spark, sf_dir)).where("meta.lang = 'en'")
+    return hits.join(chosen.select("ord"), "ord", "left_semi").select("query", "rank", "ord", "score")
+
+
 def source_alignment(spark, sf_dir, gaps: bool = False):
     """`name`, `sequence`: the consensus of every source's tiles, an alignment of as many rows as there are sources; gaps vote only if asked."""
     letters = views.tiles(spark, sf_dir).select(F.col("meta.source").alias("name"), F.posexplode(S.symbols(F.col("sequence"))).alias("at", "letter"))
