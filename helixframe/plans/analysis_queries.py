@@ -253,10 +253,12 @@ def bootstrap_consensus(spark, sf_dir):
 
 @query()
 def pruned_tree(spark, sf_dir):
-    """The sources' UPGMA tree without the sources whose documents have no label."""
+    """The sources' UPGMA tree, reduced to the sources whose documents are on average of more than the common quality."""
     nodes = trees.tree(trees.distances(source_alignment(spark, sf_dir)), "upgma")
-    labelled = views.read(spark, sf_dir, "documents").join(views.read(spark, sf_dir, "labels"), "doc_id", "left_semi")
-    return tree_nodes.prune_nodes(nodes, labelled.select(F.col("source").alias("name"))).select("node", "parent", "name", F.round("branch_length", 6).alias("branch_length"))
+    labelled = views.read(spark, sf_dir, "documents").join(views.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    common = labelled.agg(F.avg("quality").alias("common"))
+    better = labelled.groupBy("source").agg(F.avg("quality").alias("own")).join(F.broadcast(common), F.col("own") > F.col("common"))
+    return tree_nodes.prune_nodes(nodes, better.select(F.col("source").alias("name"))).select("node", "parent", "name", F.round("branch_length", 6).alias("branch_length"))
 
 
 @query()
