@@ -214,14 +214,18 @@ def tm_regions_of(row: Row, window: int, threshold: float, least: int = 6) -> pa
 
 
 def coiled_coils_of(row: Row, window: int, threshold: float) -> pa.Array:
-    """The best of seven phases of a heptad: the mean of its core places less that of the others, written at the window's middle."""
-    values, places_ = _TENTHS[row.codes] / 10.0, np.arange(window)
+    """The best of seven phases of a heptad: the mean of its core places less that of the others, written at the window's middle.
+
+    Tenths are added up as integers and divided once, so scores at the threshold do not hang on rounding.
+    """
+    values, places_ = _TENTHS[row.codes], np.arange(window)
     scores = np.zeros(len(values))
     if len(values) >= window:
         best = np.full(len(values) - window + 1, -np.inf)
         for phase in range(7):
             core = np.isin((places_ - phase) % 7, (0, 3))
-            best = np.maximum(best, np.correlate(values, np.where(core, 1 / core.sum(), -1 / (~core).sum()), "valid"))
+            n_core, n_other = core.sum(), (~core).sum()
+            best = np.maximum(best, np.correlate(values, np.where(core, n_other, -n_core), "valid") / (10.0 * n_core * n_other))
         scores[window // 2 : window // 2 + len(best)] = np.where(row.starts_window(window)[: len(best)], np.maximum(best, 0.0), 0.0)
     begin, end = runs((scores >= threshold) & row.inside)
     most = np.maximum.reduceat(scores, np.stack([begin, end], axis=1).ravel())[::2] if len(begin) else np.zeros(0)

@@ -383,7 +383,14 @@ def tm_regions(spark, sf_dir):
     return _regions(spark, sf_dir, annotation.tm_regions)
 
 
-@query()
+#: Sums of tenths over windows of 28 from each place on, of all residues and of each place of the heptad.
+SQL_HEPTADS = f"SELECT seq_id, i, n, sum(h) OVER w AS total, {', '.join(f'coalesce(sum(h) FILTER (i % 7 = {k}) OVER w, 0) AS c{k}' for k in range(7))} FROM (SELECT r.*, h FROM ({SQL_RESIDUES}) r JOIN (VALUES {', '.join(f"('{a}', {round(v * 10)})" for a, v in descriptors.HYDROPATHY.items())}) AS s(aa, h) USING (aa)) WINDOW w AS (PARTITION BY seq_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING)"
+#: 8 core and 20 other places: core / 8 - (total - core) / 20, in tenths.
+SQL_COILS = f"SELECT seq_id, i + 14 AS i, (7 * greatest({', '.join(f'c{k} + c{(k + 3) % 7}' for k in range(7))}) - 2 * total) / 400.0::DOUBLE AS score FROM ({SQL_HEPTADS}) WHERE i + 27 <= n"
+
+
+@query(f"""WITH f AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id ORDER BY i) AS run FROM ({SQL_COILS}) WHERE score >= 1)
+SELECT seq_id, (min(i) - 1)::BIGINT AS "start", max(i)::BIGINT AS "end", round(max(score), 6) AS score FROM f GROUP BY seq_id, run""")
 def coiled_coils(spark, sf_dir):
     return _regions(spark, sf_dir, annotation.coiled_coils)
 
