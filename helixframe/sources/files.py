@@ -90,7 +90,7 @@ def read_fastq(spark: SparkSession, paths: Sequence[str], seq_type: str | None =
 
 
 def read_flat(spark: SparkSession, paths: Sequence[str], fmt: str, seq_type: str | None = None, recursive: bool = False) -> DataFrame:
-    """GenBank and EMBL entries: identifier, definition and sequence; their features and annotations are not kept."""
+    """GenBank and EMBL entries: identifier, definition and sequence; `read_features` has their features."""
     value = F.col("value")
     lines = lambda key: F.array_join(F.transform(F.regexp_extract_all(value, F.lit(rf"(?m)^{key}\s+(.*)$"), F.lit(1)), F.trim), " ")
     if fmt == "genbank":
@@ -107,6 +107,41 @@ def read_flat(spark: SparkSession, paths: Sequence[str], fmt: str, seq_type: str
     return _records(parsed, fmt, seq_type)
 
 
+def read_features(spark: SparkSession, paths: Sequence[str], fmt: str, recursive: bool = False) -> DataFrame:
+    """`source_file`, `name`, `number`, `kind`, `location`, `start`, `end`, `strand`, `qualifiers` of the features of GenBank or EMBL entries.
+
+    `start` counts from 0 and `end` is the first place after the feature, over all parts of its location; references to
+    other entries do not count. `strand` is -1 where the whole location is a complement, 0 where a part is, else 1.
+    Qualifiers are (key, value) in their order, since keys may repeat; one without a value has an empty one. Entries
+    without features have no rows.
+    """
+    if fmt not in ("genbank", "embl"):
+        raise ValueError(f"features are read from genbank or embl, not {fmt!r}")
+    value = F.col("value")
+    if fmt == "genbank":
+        version, locus = F.regexp_extract(value, r"(?m)^VERSION\s+(\S+)", 1), F.regexp_extract(value, r"(?m)^LOCUS\s+(\S+)", 1)
+        name = F.when(version != "", version).otherwise(locus)
+        table = F.regexp_extract(value, r"(?m)^FEATURES[^\n]*((?:\n {5}[^\n]*)+)", 1)
+    else:
+        name = F.concat_ws(".", F.regexp_extract(value, r"(?m)^ID\s+([^;\s]+)", 1), F.nullif(F.regexp_extract(value, r"(?m)^ID\s+[^;\s]+;\s*SV\s+(\d+)", 1), F.lit("")))
+        table = F.array_join(F.transform(F.regexp_extract_all(value, F.lit(r"(?m)^FT( {3}[^\n]*)$"), F.lit(1)), lambda x: F.concat(F.lit("\n  "), x)), "")
+    chunks = _chunks(spark, paths, "\n//", recursive).where(F.rlike("value", F.lit(r"(?m)^(LOCUS|ID)\s")))
+    items = chunks.select("source_file", name.alias("name"), F.posexplode(F.split(F.regexp_replace(table, "\r", ""), r"\n(?= {5}\S)")).alias("number", "item")).where(F.rlike("item", F.lit(r"^ {5}\S")))
+    kind = F.regexp_extract("item", r"^ {5}(\S+)", 1)
+    rest = F.regexp_replace(F.regexp_replace("item", r"^ {5}\S+\s*", ""), r"\n\s+", "\n")
+    parts = items.select("source_file", "name", "number", kind.alias("kind"), rest.alias("rest"))
+    location = F.regexp_replace(F.regexp_extract("rest", r"^([^/]*)", 1), r"\s", "")
+    numbers = F.transform(F.regexp_extract_all(F.regexp_replace("location", r"[A-Za-z_][\w.]*:[\d.<>^]+", ""), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    pattern = r'(?m)^/([^=\s]+)(?:=("[^"]*(?:""[^"]*)*"|[^\n]*))?'
+    keys, values = F.regexp_extract_all("rest", F.lit(pattern), F.lit(1)), F.regexp_extract_all("rest", F.lit(pattern), F.lit(2))
+    plain = lambda k, v: F.regexp_replace(F.regexp_replace(F.regexp_replace(v, '^"|"$', ""), '""', '"'), "\n", F.when(k == "translation", "").otherwise(" "))
+    strand = F.when(F.startswith("location", F.lit("complement(")), -1).when(F.contains("location", F.lit("complement(")), 0).otherwise(1)
+    return parts.withColumn("location", location).select(
+        "source_file", "name", "number", "kind", "location", (F.array_min(numbers) - 1).alias("start"), F.array_max(numbers).alias("end"), strand.alias("strand"),
+        F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), plain(k, v).alias("value"))).alias("qualifiers"),
+    )
+
+
 def files_under(spark: SparkSession, path: str, recursive: bool = False) -> list[str] | None:
     """The files of a folder by name, hidden ones left out, those of its folders too if `recursive`; None where the path is none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -131,3 +131,34 @@ def test_stream(spark, folder, tmp_path):
     query.stop()
     got = {r["seq_type"]: (r["records"], r["letters"]) for r in spark.table("fasta_counts").select("seq_type", "records", F.col("letters")).collect()}
     assert got == {"dna": (1, 8), "protein": (1, 6)}
+
+
+TABLE = [
+    "     source          1..40",
+    '                     /organism="A thing"',
+    "     CDS             complement(join(3..8,",
+    "                     J00194.1:100..202,12..>20))",
+    '                     /note="of two',
+    '                     /lines, a ""quoted"" word"',
+    "                     /pseudo",
+    '                     /db_xref="a:1"',
+    '                     /db_xref="b:2"',
+    '                     /translation="MKV',
+    '                     LAA"',
+    "                     /codon_start=1",
+]
+
+
+@pytest.mark.parametrize("fmt", ["genbank", "embl"])
+def test_features(spark, tmp_path, fmt):
+    if fmt == "genbank":
+        text = "LOCUS       L1  40 bp\nVERSION     L1.1\nFEATURES             Location/Qualifiers\n" + "\n".join(TABLE) + "\nORIGIN\n        1 acgt\n//\nLOCUS       L2 4 bp\nORIGIN\n        1 acgt\n//\n"
+    else:
+        text = "ID   L1; SV 1; linear;\nFH   Key             Location/Qualifiers\n" + "\n".join("FT" + t[2:] for t in TABLE) + "\nSQ   Sequence 4 BP;\n     acgt\n//\nID   L2; SV 1;\nSQ   Sequence\n     acgt\n//\n"
+    (tmp_path / "f.txt").write_text(text)
+    rows = files.read_features(spark, [str(tmp_path / "f.txt")], fmt).orderBy("number").collect()
+    assert [(r["name"], r["kind"], r["start"], r["end"], r["strand"]) for r in rows] == [("L1.1", "source", 0, 40, 1), ("L1.1", "CDS", 2, 20, -1)]
+    assert rows[1]["location"] == "complement(join(3..8,J00194.1:100..202,12..>20))"
+    assert [tuple(q) for q in rows[1]["qualifiers"]] == [("note", 'of two /lines, a "quoted" word'), ("pseudo", ""), ("db_xref", "a:1"), ("db_xref", "b:2"), ("translation", "MKVLAA"), ("codon_start", "1")]
+    with pytest.raises(ValueError):
+        files.read_features(spark, [str(tmp_path / "f.txt")], "fasta")
