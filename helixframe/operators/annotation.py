@@ -6,6 +6,7 @@ Arrow functions that lay the sequences of a batch end to end and scan them toget
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,12 +89,11 @@ def introns(sequence: Column, min_length: int = 20, max_length: int = 5000) -> C
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """(start, match) of the leftmost, non-overlapping matches in a text."""
+    """(start, match) of the leftmost, non-overlapping matches in a text; each is marked, and the marks before one are no letters."""
+    marked = F.regexp_replace(text, f"({pattern})", f"{MARK}$1")
+    starts = F.transform(places(S.symbols(marked), lambda x: x == MARK), lambda p, i: p - i)
     texts = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(F.regexp_replace(text, pattern, MARK), MARK)
-    step = lambda s, m: F.struct((s["at"] + F.char_length(F.get(s["gaps"], F.size(s["out"]))) + F.char_length(m)).alias("at"), s["gaps"].alias("gaps"), F.concat(s["out"], F.array(F.struct((s["at"] + F.char_length(F.get(s["gaps"], F.size(s["out"])))).alias("start"), m.alias("match")))).alias("out"))
-    empty = F.array().cast("array<struct<start:int,match:string>>")
-    return F.aggregate(texts, F.struct(F.lit(0).alias("at"), gaps.alias("gaps"), empty.alias("out")), step, lambda s: s["out"])
+    return F.zip_with(starts, texts, lambda s, m: F.struct(s.alias("start"), m.alias("match")))
 
 
 def tata_boxes(sequence: Column, search_window: int = 100) -> Column:
@@ -108,33 +108,6 @@ def tata_boxes(sequence: Column, search_window: int = 100) -> Column:
     return S.let(F.translate(F.upper(sequence), "U", "T"), scan)
 
 
-def motif_starts(sequence: Column, pattern: str) -> Column:
-    """Starts of all matches of a pattern, overlapping ones too: the letters at which one begins are marked in place."""
-    marked = F.regexp_replace(sequence, f"(?={pattern}).", MARK)
-    return F.when(F.contains(marked, F.lit(MARK)), places(S.symbols(marked), lambda x: x == MARK)).otherwise(F.array().cast("array<int>"))
-
-
-def motifs(sequence: Column, ids: list[str] | None = None) -> Column:
-    """(start, pattern_id, end, matched_text) of the motifs, by start, then in the order of the patterns."""
-    chosen = list(ids or MOTIFS)
-    for i in chosen:
-        if i not in MOTIFS:
-            raise ValueError(f"unknown motif {i!r}; known are {', '.join(MOTIFS)}")
-
-    def hit(order: int, i: str):
-        return lambda s, t: F.struct(s.cast("long").alias("start"), F.lit(order).alias("order"), F.lit(i).alias("pattern_id"), (s + F.char_length(t)).cast("long").alias("end"), t.alias("matched_text"))
-
-    def scan(seq: Column) -> Column:
-        every = []
-        for order, i in enumerate(chosen):
-            pattern = MOTIFS[i][1]
-            texts = F.regexp_extract_all(seq, F.lit(f"(?=({pattern}))"), F.lit(1))
-            every.append(F.zip_with(motif_starts(seq, pattern), texts, hit(order, i)))
-        return F.transform(F.array_sort(F.flatten(F.array(*every))), lambda h: F.struct(h["start"], h["pattern_id"], h["end"], h["matched_text"]))
-
-    return S.let(F.upper(sequence), scan)
-
-
 def motif_catalogue(spark) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("pattern_id"), F.lit(n).alias("name")) for i, (n, _) in MOTIFS.items()])).alias("m")).select("m.*")
 
@@ -146,6 +119,7 @@ for _letter, _value in HYDROPATHY.items():
 #: Letters of a batch that are scanned together; a longer sequence goes alone.
 SLICE = 1 << 19
 REGIONS = "array<struct<start:int,end:int,score:double>>"
+FOUND = "array<struct<start:bigint,pattern_id:string,end:bigint,matched_text:string>>"
 
 
 class Row:
@@ -251,8 +225,44 @@ def low_complexity_of(row: Row, window: int, threshold: float) -> pa.Array:
     return row.regions(begin, end, entropy)
 
 
-def _regions(helper, *args):
-    @F.arrow_udf(REGIONS)
+def letters_of(pattern: str) -> list[list[np.ndarray]]:
+    """The lengths that a motif can have, longer repeats first as in a greedy search, each as a table of letters a place."""
+    out = [[]]
+    for letters, low, high in re.findall(r"(\[[^\]]+\]|[.A-Z])(?:\{(\d+)(?:,(\d+))?\})?", pattern):
+        given = np.isin(np.arange(256), np.frombuffer(letters.strip("[^]").encode(), np.uint8))
+        table = ~np.isin(np.arange(256), (10, 13)) if letters == "." else ~given if letters.startswith("[^") else given
+        times = range(int(high or low or 1), int(low or 1) - 1, -1)
+        out = [before + [table] * n for before in out for n in times]
+    return out
+
+
+def motifs_of(row: Row, chosen: list[str]) -> pa.Array:
+    begin, order, size = [], [], []
+    for i, name in enumerate(chosen):
+        free = row.inside.copy()
+        for tables in letters_of(MOTIFS[name][1]):
+            at = np.flatnonzero(free & row.starts_window(len(tables)))
+            for j, table in enumerate(tables):
+                at = at[table[row.codes[at + j]]]
+            free[at] = False
+            begin.append(at)
+            order.append(np.full(len(at), i))
+            size.append(np.full(len(at), len(tables)))
+    begin, order, size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (begin, order, size))
+    rank = np.lexsort((order, begin))
+    begin, order, size = begin[rank], order[rank], size[rank]
+    owner = np.searchsorted(row.start, begin, "right") - 1
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=row.n))]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    letters = row.codes[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+    texts = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+    start = begin - row.start[owner]
+    found = pa.StructArray.from_arrays([pa.array(start), pa.array(chosen, pa.string()).take(pa.array(order)), pa.array(start + size), texts], ["start", "pattern_id", "end", "matched_text"])
+    return pa.ListArray.from_arrays(pa.array(offsets), found)
+
+
+def _regions(helper, *args, kind: str = REGIONS):
+    @F.arrow_udf(kind)
     def scan(sequence: pa.Array) -> pa.Array:
         return pa.concat_arrays([helper(row, *args) for row in rows_of(sequence)])
 
@@ -271,6 +281,18 @@ def low_complexity(sequence: Column, window: int = 12, threshold: float = 3.0) -
     return _regions(low_complexity_of, window, threshold)(sequence)
 
 
+def motifs(sequence: Column, ids: list[str] | None = None) -> Column:
+    """(start, pattern_id, end, matched_text) of the motifs, overlapping ones too, by start, then in the order of the patterns.
+
+    Null stays null; a letter outside ASCII is shown as a question mark.
+    """
+    chosen = list(ids or MOTIFS)
+    for i in chosen:
+        if i not in MOTIFS:
+            raise ValueError(f"unknown motif {i!r}; known are {', '.join(MOTIFS)}")
+    return F.when(sequence.isNotNull(), _regions(motifs_of, chosen, kind=FOUND)(sequence))
+
+
 def hydropathy(sequence: Column, window: int = 19) -> Column:
     """The windowed mean at every residue."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
+from helixframe.operators.storage import written
 
 #: Modulus and seed of the MinHash family; hashes are cut to 31 bits, so products fit in 64.
 PRIME, SEED = (1 << 31) - 1, 42
@@ -60,6 +61,8 @@ def search(collection: DataFrame, query: str, method: str = "kmer", k: int | Non
 
 #: Rows and queries of a block, and k-mers that are compared at a time.
 ROWS, ASKED, WIDE = 2048, 512, 4096
+#: Share of all k-mers, as one in so many, above which one is frequent; no more than so many can be.
+FREQUENT = 4096
 
 
 def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,21 +157,34 @@ def similar_signatures(collection: DataFrame, k: int, threshold: float, num_hash
 
 
 def similar_sets(collection: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Sequences by k-mer sets.
+    """Sequences by k-mer sets, exact up to 64-bit hashes of the k-mers.
 
     Prefix filtering: in an order by rising frequency, two such sets share a k-mer among the first n - ceil(t n) + 1, so
-    only those meet in the join, and the frequent ones seldom are among them.
+    only those meet in the join, and the frequent ones seldom are among them. The smaller set of a pair needs a shorter
+    prefix, and the first shared k-mer has to leave as many on both sides as the threshold asks for. A k-mer that makes up more than one in
+    `FREQUENT` of all is given its frequency by a broadcast of at most that many rows; the others meet theirs in a join.
     """
-    sets = distinct_sequences(collection).select("rep", S.kmer_set(F.col("sequence"), k).alias("kmers")).withColumn("n", F.size("kmers"))
-    items = sets.select("rep", "n", F.explode("kmers").alias("kmer"))
+    sets = written(distinct_sequences(collection).select("rep", F.transform(S.kmer_set(F.col("sequence"), k), lambda x: F.xxhash64(x)).alias("kmers")))
+    items = sets.select("rep", F.size("kmers").alias("n"), F.explode("kmers").alias("kmer"))
+    every = sets.agg(F.coalesce(F.sum(F.size("kmers")), F.lit(0))).first()[0]
     frequency = items.groupBy("kmer").agg(F.count("*").alias("f")).where("f > 1")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("f", "kmer"))
+    frequent = F.col("f") * FREQUENT > every
+    met = items.join(F.broadcast(written(frequency.where(frequent))), "kmer", "left")
+    shared = met.where("f IS NOT NULL").unionByName(met.where("f IS NULL").drop("f").join(frequency.where(~frequent), "kmer"))
+    ranked = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "kmer"))).alias("shared"))
     # k-mers of one sequence only come first in the order; they take up places of the prefix without joining
-    shared = items.join(frequency, "kmer").withColumn("shared", F.count("*").over(Window.partitionBy("rep"))).withColumn("place", place + F.col("n") - F.col("shared"))
-    prefix = shared.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("kmer", "rep", "n")
-    left, right = prefix.select("kmer", F.col("rep").alias("a"), F.col("n").alias("na")), prefix.select("kmer", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    close = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
-    pairs = left.join(right, "kmer").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    alone = F.col("n") - F.size("shared")
+    least = lambda n, share: F.ceil(n * share - 1e-9)
+    places = F.col("n") - least(F.col("n"), threshold) + 1 - alone
+    head = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["kmer"]
+    prefix = ranked.select("rep", "n", alone.alias("alone"), F.posexplode(head).alias("at", "kmer")).withColumn("at", F.col("at") + F.col("alone") + 1)
+    of = lambda name: prefix.select("kmer", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"))
+    small, large = of("s").where(F.col("ats") <= F.col("ns") - least(F.col("ns"), 2 * threshold / (1 + threshold)) + 1), of("l")
+    needed = least(F.col("ns") + F.col("nl"), threshold / (1 + threshold))
+    in_order = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
+    can_be_first = (F.col("ats") <= F.col("ns") - needed + 1) & (F.col("atl") <= F.col("nl") - needed + 1)
+    met = small.join(large, "kmer").where(in_order & (F.col("ns") >= F.col("nl") * threshold - 1e-9) & can_be_first)
+    pairs = met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
     named = lambda name: sets.select(F.col("rep").alias(name), F.col("kmers").alias(f"k{name}"))
     scored = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", jaccard(F.col("ka"), F.col("kb")).alias("score"))
     return scored.where(F.col("score") >= threshold)

@@ -53,6 +53,18 @@ def test_similar_pairs_lose_none(spark, sequences):
     assert got == want and want
 
 
+@pytest.mark.parametrize("frequent, threshold", [(4096, 0.5), (4, 0.8), (1, 0.7)])
+def test_similar_pairs_of_uneven_sizes(spark, monkeypatch, frequent, threshold):
+    """Parts, near copies and sequences of one common passage; frequencies by a broadcast, by both ways or by the join alone."""
+    rng = random.Random(11)
+    base, common = ["".join(rng.choice("ACGT") for _ in range(90)) for _ in range(3)], "ACGTTGCATTGACC"
+    rows = sorted({b[:size] + tail for b in base for size in (40, 60, 72, 81, 90) for tail in ("", common, rng.choice("ACGT"))})
+    monkeypatch.setattr(similarity, "FREQUENT", frequent)
+    want = {(i, j) for j, b in enumerate(rows) for i, a in enumerate(rows[:j]) if jaccard(a, b, 6) >= threshold}
+    got = [(r["a"], r["b"], round(r["score"], 9)) for r in similarity.similar_pairs(records(spark, rows), 6, threshold).collect()]
+    assert sorted(got) == sorted((i, j, round(jaccard(rows[i], rows[j], 6), 9)) for i, j in want) and len(want) > 20
+
+
 def test_search(spark, sequences):
     hits = similarity.search(records(spark, sequences), sequences[0], k=4, top_n=4).collect()
     assert [h["ord"] for h in hits][:1] == [0] and [h["score"] for h in hits] == [1.0] * 4

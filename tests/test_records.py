@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +143,25 @@ def test_introns_promoters_and_motifs(spark):
         A.motifs(F.col("s"), ["NONE"])
 
 
+def test_motifs_are_those_of_a_search(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("CCHHLGKSTAPRDE") for _ in range(rng.randrange(400))) for _ in range(30)]
+    texts += ["", "C", "CLLCLLLLDDDDDDDDHLLLHLH", "CLLCCLLLCDDDDDDDDHHLHHHCLLLLCLLLWDDDDDDDDHLLLLLH", "GLA\nSTG", "é" + "NATSA" * 50]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, s string").select("i", A.motifs(F.col("s")).alias("m")).collect()
+    assert len(found) == len(texts) + 1
+    for r in found:
+        if r["i"] == len(texts):
+            assert r["m"] is None
+            continue
+        want = [(m.start(), n, i, m[1]) for n, (i, (_, p)) in enumerate(A.MOTIFS.items()) for m in re.finditer(f"(?=({p}))", texts[r["i"]].upper().replace("É", "?"))]
+        assert [tuple(h) for h in r["m"]] == [(s, i, s + len(t), t) for s, _, i, t in sorted(want)]
+
+
+def test_matches_do_not_overlap(spark):
+    for text in ("", "TATA", "TATAAATATATAAATATAAA", "xTATATAATATAAAATATAAATy"):
+        assert [tuple(h) for h in one(spark, text, A.matches(F.col("s"), A.TATA))] == [(m.start(), m[0]) for m in re.finditer(A.TATA, text)]
+
+
 def test_protein_windows(spark):
     tm = one(spark, "D" * 20 + "L" * 22 + "D" * 20, A.tm_regions(F.col("s")))
     assert len(tm) == 1 and 20 <= tm[0]["start"] <= tm[0]["end"] <= 42
