@@ -167,9 +167,9 @@ def similar_sets(collection: DataFrame, k: int, threshold: float) -> DataFrame:
     sets = written(distinct_sequences(collection).select("rep", F.transform(S.kmer_set(F.col("sequence"), k), lambda x: F.xxhash64(x)).alias("kmers")))
     items = sets.select("rep", F.size("kmers").alias("n"), F.explode("kmers").alias("kmer"))
     every = sets.agg(F.coalesce(F.sum(F.size("kmers")), F.lit(0))).first()[0]
-    frequency = items.groupBy("kmer").agg(F.count("*").alias("f")).where("f > 1")
+    frequency = written(items.groupBy("kmer").agg(F.count("*").alias("f")).where("f > 1"))
     frequent = F.col("f") * FREQUENT > every
-    met = items.join(F.broadcast(written(frequency.where(frequent))), "kmer", "left")
+    met = items.join(F.broadcast(frequency.where(frequent)), "kmer", "left")
     shared = met.where("f IS NOT NULL").unionByName(met.where("f IS NULL").drop("f").join(frequency.where(~frequent), "kmer"))
     ranked = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "kmer"))).alias("shared"))
     # k-mers of one sequence only come first in the order; they take up places of the prefix without joining
@@ -178,6 +178,7 @@ def similar_sets(collection: DataFrame, k: int, threshold: float) -> DataFrame:
     places = F.col("n") - least(F.col("n"), threshold) + 1 - alone
     head = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["kmer"]
     prefix = ranked.select("rep", "n", alone.alias("alone"), F.posexplode(head).alias("at", "kmer")).withColumn("at", F.col("at") + F.col("alone") + 1)
+    prefix = written(prefix)
     of = lambda name: prefix.select("kmer", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"))
     small, large = of("s").where(F.col("ats") <= F.col("ns") - least(F.col("ns"), 2 * threshold / (1 + threshold)) + 1), of("l")
     needed = least(F.col("ns") + F.col("nl"), threshold / (1 + threshold))
