@@ -157,7 +157,7 @@ def similar_signatures(collection: DataFrame, k: int, threshold: float, num_hash
 
 
 def similar_sets(collection: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Sequences by k-mer sets, exact up to 64-bit hashes of the k-mers.
+    """Sequences by k-mer sets, exact up to hashes of the k-mers, 57 bits where candidates are found and 64 where they are scored.
 
     Prefix filtering: in an order by rising frequency, two such sets share a k-mer among the first n - ceil(t n) + 1, so
     only those meet in the join, and the frequent ones seldom are among them. The smaller set of a pair needs a shorter
@@ -171,12 +171,14 @@ def similar_sets(collection: DataFrame, k: int, threshold: float) -> DataFrame:
     frequent = F.col("f") * FREQUENT > every
     met = items.join(F.broadcast(frequency.where(frequent)), "kmer", "left")
     shared = met.where("f IS NOT NULL").unionByName(met.where("f IS NULL").drop("f").join(frequency.where(~frequent), "kmer"))
-    ranked = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "kmer"))).alias("shared"))
+    # the order in one number: the power of two of a frequency, then 57 bits of the hash
+    rank = F.shiftleft(F.floor(F.log2("f")).cast("long"), 57).bitwiseOR(F.col("kmer").bitwiseAND(F.lit((1 << 57) - 1)))
+    ranked = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(rank)).alias("shared"))
     # k-mers of one sequence only come first in the order; they take up places of the prefix without joining
     alone = F.col("n") - F.size("shared")
     least = lambda n, share: F.ceil(n * share - 1e-9)
     places = F.col("n") - least(F.col("n"), threshold) + 1 - alone
-    head = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["kmer"]
+    head = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
     prefix = ranked.select("rep", "n", alone.alias("alone"), F.posexplode(head).alias("at", "kmer")).withColumn("at", F.col("at") + F.col("alone") + 1)
     prefix = written(prefix)
     of = lambda name: prefix.select("kmer", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"))
