@@ -106,6 +106,83 @@ def test_cut_runs_are_those_of_a_sorted_suffix_array(spark, seed):
     assert got == want
 
 
+def random_pages(rng, n):
+    """Pages of tagged blocks, of few words, some blocks and runs of them on several pages; half of the pages have an article."""
+    word = lambda: f"W{rng.randrange(4)}" if rng.random() < 0.8 else f"u{rng.randrange(10**6)}"
+    block = lambda: "<{0}>{1}</{0}>".format(rng.choice(["div", "p", "li"]), " ".join(word() for _ in range(rng.randrange(1, 12))))
+    pool = [block() for _ in range(8)]
+    pages = []
+    for i in range(n):
+        some = [rng.choice(pool) if rng.random() < 0.5 else block() for _ in range(rng.randrange(1, 10))]
+        pages.append("".join(some[:5]) + (f"<article><p>own {i}</p>{pool[0]}</article>" if i % 2 else "") + "".join(some[5:]))
+    return pages
+
+
+def outer_tokens(page):
+    return [t for kind, text, lead in html.parse(page)[0] if kind in (html.OPEN, html.MARKED) for t in [f"\t{x}" for x in lead] + text.lower().split()]
+
+
+def weigh(tokens):
+    return sum(html.TAG_WEIGHT if t[0] == "\t" else 1 for t in tokens)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_host_suffix_array_is_sorted_and_its_neighbours_give_the_longest_runs(spark, seed):
+    """Every suffix is in the array, those of pages with an article too; runs are as by comparing each suffix with all of other pages."""
+    rng = random.Random(seed)
+    pages = list(dict.fromkeys(random_pages(rng, 16)))
+    rows = [(i, f"http://h{i % 2}.net/", f"h{i % 2}.net", i, p) for i, p in enumerate(pages)]
+    read = html.read_pages(spark.createDataFrame(rows, "hf_id long, hf_url string, hf_host string, hf_page long, hf_html string"))
+    assert not {"text", "n_repeated"} & set(read.columns)  # no text is settled before the array
+    tokens = [outer_tokens(p) for p in pages]
+    deep, want = {}, {}
+    for p, own in enumerate(tokens):
+        for i in range(len(own)):
+            if weigh(own[i:]) >= html.RUN:
+                end = next((k for k in range(i, len(own) + 1) if weigh(own[i:k]) >= html.DEPTH), len(own))
+                deep[p, i] = own[i:end]
+    for (p, i), own in deep.items():
+        longest = 0
+        for (q, _), other in deep.items():
+            if p != q and p % 2 == q % 2:
+                same = next((k for k, (a, b) in enumerate(zip(own, other, strict=False)) if a != b), min(len(own), len(other)))
+                if weigh(own[:same]) >= html.RUN:
+                    longest = max(longest, same)
+        if longest:
+            want[f"h{p % 2}.net", "".join(t + " " for t in own)] = longest
+    array = html.suffix_array(read)
+    parts = array.rdd.mapPartitions(lambda part: [[(r["hf_host"], r["head"], r["rest"]) for r in part]]).collect()
+    assert all(part == sorted(part) for part in parts)  # as in UTF-8, which these words are
+    heads = [set((host, head) for host, head, _ in part) for part in parts]
+    assert sum(map(len, heads)) == len(set().union(*heads))  # neighbours that share a run are not parted
+    assert {(host, head + rest) for part in parts for host, head, rest in part} == {(f"h{p % 2}.net", "".join(t + " " for t in own)) for (p, _), own in deep.items()}
+    keys = {html.suffix_key(host, head, rest): (host, head + rest) for part in parts for host, head, rest in part}
+    found = html.repeated_runs(array).collect()
+    assert want and {keys[r["key"]]: r["n_tokens"] for r in found} == want and len(found) == len(want)
+
+
+def test_an_article_stays_whole_and_runs_decide_what_is_outside_of_it(spark):
+    pages = list(dict.fromkeys(random_pages(random.Random(9), 12)))
+    got = {r["page_id"]: r for r in html.extract_text(spark.createDataFrame([(i, "http://one.net/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    flat = [[f"{t}.{k}" if t[0] == "\t" else t for t in outer_tokens(p) for k in range(html.TAG_WEIGHT if t[0] == "\t" else 1)] for p in pages]
+    seen = set()
+    for i, (page, flags) in enumerate(zip(pages, naive_cover(flat), strict=True)):
+        found, article = html.parse(page)
+        at, left, outside, touched = 0, [], 0, 0
+        for kind, text, lead in found:
+            if kind == html.KEPT:
+                left.append(text)
+                continue
+            end = at + html.TAG_WEIGHT * len(lead) + len(text.split())
+            outside, touched = outside + 1, touched + any(flags[at:end])
+            words = [w for w, gone in zip(text.split(), flags[end - len(text.split()) : end], strict=True) if not gone]
+            left += words if not article else []
+            at = end
+        assert (got[i]["text"], got[i]["n_outside"], got[i]["n_repeated"]) == (" ".join(left), outside, touched)
+        seen.add((article, touched > 0))
+    assert {(True, True), (False, True)} <= seen
+
+
 def test_blocks_outside_of_articles_fall_by_repeated_runs(spark):
     """The share of the given tables' blocks that the array finds; what it misses goes by landmarks."""
     got = html.extract_text(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).agg(F.sum("n_repeated"), F.sum("n_outside"), F.count("*")).first()
