@@ -161,6 +161,16 @@ def test_the_host_suffix_array_is_sorted_and_its_neighbours_give_the_longest_run
     assert want and {keys[r["key"]]: r["n_tokens"] for r in found} == want and len(found) == len(want)
 
 
+def test_suffixes_of_a_long_page_are_made_in_parts(monkeypatch):
+    tokens = "".join(t + " " for p in random_pages(random.Random(4), 6) for t in outer_tokens(p))
+    whole, known = list(html.suffixes(tokens)), {}
+    keys = html.suffix_keys("h", tokens, {})
+    assert len(whole) == len(keys) > 50
+    monkeypatch.setattr(html, "MERGED", 7)
+    assert list(html.suffixes(tokens)) == whole
+    assert html.suffix_keys("h", tokens, known) == keys and len(known) <= 7
+
+
 def test_an_article_stays_whole_and_runs_decide_what_is_outside_of_it(spark):
     pages = list(dict.fromkeys(random_pages(random.Random(9), 12)))
     got = {r["page_id"]: r for r in html.extract_text(spark.createDataFrame([(i, "http://one.net/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
