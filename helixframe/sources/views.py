@@ -21,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sequence_of(text: Column, view: str) -> Column:
     """The whole text, reduced to a view's letters, in upper case; spaces of the gapped view are gaps."""
-    kept = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{LETTERS[view]}]", ""))
+    kept = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{LETTERS[view]}]+", ""))
     return F.translate(kept, " ", "-") if view == "gapped" else kept
 
 
