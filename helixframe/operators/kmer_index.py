@@ -1,10 +1,10 @@
-"""An inverted index of k-mers for exact top-n search: short lists first, the others skipped where a bound proves it.
+"""An inverted index of k-mers for exact top-n search.
 
-The index is three tables: postings (k-mer, set size, record), bucketed by k-mer and sorted by size, the length of every
-k-mer's list, and the records' sets. A query reads its rarest lists first; the exact scores of what it finds there give a
-floor, its n-th best score. A record that reaches a similarity t shares at least t times the query's k-mers with it, so it
-stands in one of the query's rarest n - ceil(t n) + 1 lists, and its set is between t and 1/t times as large. Longer lists
-are not read, of the others only the postings of such sizes, and only what they hold is scored.
+The index is three tables: postings (k-mer, set size, record), bucketed by k-mer and sorted by size where it is saved, the
+length of every k-mer's list, and the records' sets. A search is dealt by records: each task sorts its own sets by k-mer
+and counts, for all queries, the records at the places of their k-mers. What a search dealt by k-mer would have to read
+is told by `read_share`: a query's rarest lists give a floor, its n-th best score; a record that reaches a similarity t
+shares at least t times the query's k-mers with it, so it stands in one of the rarest n - ceil(t n) + 1 lists.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
+from helixframe.operators.similarity import best_of
 from helixframe.operators.storage import written
 
 #: Lists that a query reads for its floor, and buckets of a saved index.
@@ -42,7 +43,7 @@ def build(records: DataFrame, k: int = 12, name: str | None = None) -> KmerIndex
     postings = sets.select(F.explode("kmers").alias("kmer"), "n", "ord")
     lists = postings.groupBy("kmer").agg(F.count("*").alias("f"))
     if name is None:
-        return KmerIndex(k, written(postings), written(lists), sets)
+        return KmerIndex(k, postings, lists, sets)
     postings.write.bucketBy(BUCKETS, "kmer").sortBy("kmer", "n").mode("overwrite").saveAsTable(f"{name}_postings")
     lists.write.bucketBy(BUCKETS, "kmer").sortBy("kmer").mode("overwrite").saveAsTable(f"{name}_lists")
     sets.write.bucketBy(BUCKETS, "ord").mode("overwrite").saveAsTable(f"{name}_sets")
@@ -83,13 +84,15 @@ def needed_lists(index: KmerIndex, queries: DataFrame, top_n: int, min_score: fl
 
 
 def search(index: KmerIndex, queries: DataFrame, top_n: int = 10, min_score: float = 1e-6) -> DataFrame:
-    """query, rank, ord, score: for each of `queries` the `top_n` records of at least `min_score`, which is above 0; ties in the collection's order."""
+    """query, rank, ord, score: for each of `queries` the `top_n` records of at least `min_score`, which is above 0; ties in the collection's order.
+
+    Records stay in their tasks: each sorts its own sets by k-mer, and the queries, broadcast in bounded parts, count the
+    records at the places of their k-mers. So no postings, and no sets of records to be scored, are shuffled.
+    """
     if not 0 < min_score <= 1:
         raise ValueError("an index holds no records that share nothing: min_score must be above 0")
-    asked, lists = needed_lists(index, queries, top_n, min_score)
-    size = F.col("n").between(F.ceil(F.col("floor") * F.col("nq") - 1e-9), F.floor(F.col("nq") / F.col("floor") + 1e-9))
-    found = scored(index, asked, lists.join(index.postings, "kmer").where(size)).where(F.col("score") >= min_score)
-    return best(found, top_n).select("query", "rank", "ord", "score")
+    asked = marked(queries, index.k).select(F.col("ord").alias("query"), F.col("kmers").alias("q"), F.xxhash64("ord").alias("part"))
+    return best_of(index.sets.select(F.col("ord").alias("o"), F.col("kmers").alias("m")), written(asked), "postings", top_n, min_score)
 
 
 def read_share(index: KmerIndex, queries: DataFrame, top_n: int = 10, min_score: float = 1e-6) -> DataFrame:

@@ -93,6 +93,21 @@ def shared_values(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.nda
     return out.astype(np.int64), a_size, b_size
 
 
+def shared_postings(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `shared_values`, for values that few sets hold: the sets of `right` are sorted by value, and each value of `left` counts those at its place."""
+    (a, a_row, a_size), (b, b_row, b_size) = lists(left), lists(right)
+    order = np.argsort(b, kind="stable")
+    known, holder, wide = b[order], b_row[order], len(b_size)
+    first = np.searchsorted(known, a)
+    n = np.searchsorted(known, a, "right") - first
+    out = np.zeros(len(a_size) * wide, dtype=np.int64)
+    there = np.flatnonzero(n)
+    total = np.cumsum(n[there])
+    for part in np.split(there, np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)) if len(total) else []):
+        out += np.bincount(np.repeat(a_row[part] * wide, n[part]) + holder[expanded(first[part], n[part])], minlength=len(out))
+    return out.reshape(len(a_size), wide), a_size, b_size
+
+
 def search_all(collection: DataFrame, queries: DataFrame, method: str = "kmer", k: int | None = None, top_n: int = 10, min_score: float = 0.0) -> DataFrame:
     """query, rank, ord, score: the `top_n` records most like each record of `queries`, ties in the collection's order.
 
@@ -106,6 +121,11 @@ def search_all(collection: DataFrame, queries: DataFrame, method: str = "kmer",
     marks = F.transform(S.kmer_set(F.col("sequence"), size), lambda x: F.xxhash64(x)) if method == "kmer" else minhash(F.col("sequence"), size)
     own = written(collection.select(F.col("ord").alias("o"), marks.alias("m")))
     asked = written(queries.select(F.col("ord").alias("query"), marks.alias("q")).withColumn("part", F.xxhash64("query")))
+    return best_of(own, asked, method, top_n, min_score)
+
+
+def best_of(own: DataFrame, asked: DataFrame, method: str, top_n: int, min_score: float) -> DataFrame:
+    """query, rank, ord, score: the best of `own(o, m)` for each of `asked(query, q, part)`, both written; `part` is a hash."""
     n_queries, total = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
     chunks = max(1, -(-total * 8 // QUERY_BYTES), -(-n_queries // QUERIES))
     found = [compared(own, asked.where(F.pmod("part", F.lit(chunks)) == i).select("query", "q"), method, top_n, min_score) for i in range(chunks)]
@@ -134,13 +154,14 @@ def compared(own: DataFrame, asked: DataFrame, method: str, top_n: int, min_scor
             rows = pa.table({"o": batch.column("o"), "m": batch.column("m")})
             order = rows.column("o").to_numpy()
             score = np.empty((len(names), len(order)))
-            for low in range(0, len(names), ASKED):
-                part = slice(low, min(low + ASKED, len(names)))
+            step = len(names) if method == "postings" else ASKED
+            for low in range(0, len(names), step or 1):
+                part = slice(low, min(low + step, len(names)))
                 own_sizes, first = sizes[part], ends[low] - sizes[low]
                 chosen = marks[first : first + own_sizes.sum()]
-                if method == "kmer":
+                if method != "minhash":
                     edges = pa.array(np.concatenate([[0], np.cumsum(own_sizes)]).astype(np.int32))
-                    both, b, a = shared_values(pa.chunked_array([pa.ListArray.from_arrays(edges, pa.array(chosen))]), rows.column("m"))
+                    both, b, a = (shared_values if method == "kmer" else shared_postings)(pa.chunked_array([pa.ListArray.from_arrays(edges, pa.array(chosen))]), rows.column("m"))
                     score[part] = both / np.maximum(a[None, :] + b[:, None] - both, 1)
                 else:
                     x, y = np.ascontiguousarray(lists(rows.column("m"))[0].reshape(len(rows), -1).T.astype(np.uint32)), chosen.reshape(len(own_sizes), -1).astype(np.uint32)
